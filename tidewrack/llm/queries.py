@@ -6,21 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import simhash
+from tidewrack.llm import fingerprints, langid, quality, sharding, simhash, toxicity
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each document's length that lies in chunks of other documents."""
+    return fingerprints.containment(_table(spark, sf_dir, "documents"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies to remove and the document of their group that stays."""
-    return simhash.near_duplicates(_docs(spark, sf_dir))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that pass line-first cleaning, with their cleaned text."""
+    return quality.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contiguous shard of each document, in order of ids."""
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Significant toxic passages of all documents."""
+    return toxicity.toxic_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, and whether it is sure."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_duplicates,)}
+    """All queries of this subpackage but the pipeline."""
+    every = (op2_containment, op3_near_duplicates, op4_quality_rules, op7_shards, op8_toxic_passages, op9_language_id)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of those that SQL can express."""
+    return {"op4_quality_rules": quality.SQL, "op7_shards": sharding.SQL}
