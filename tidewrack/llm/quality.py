@@ -6,6 +6,8 @@ where it is read: no shuffle and no Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,47 @@ BOILERPLATE = (
 )
 
 
+#: The phrases of :data:`BOILERPLATE` one by one, in lower case, and what remains of it.
+PHRASES = (
+    "all rights reserved", "licenced under", "licensed under", "released under the", "under the gnu", "terms of use", "terms of service", "privacy policy",
+    "cookie policy", "uses cookies", "enable javascript", "requires javascript", "subscribe to our", "sign up for", "log in to", "sign in to",
+    "click here", "read more", "share this", "follow us", "skip to main content", "skip to content", "copyright ©", "lorem ipsum",
+)
+DATED = "© ?[12][0-9]{3}"
+#: Marks that end a sentence, and those that may follow.
+ENDS, CLOSERS = ".!?:;…。！？", "\"'”’»)]"
+
+
 def line_passes(line: Column) -> Column:
-    """Whether a trimmed line passes the punctuation, navigation and boilerplate rules."""
+    """Whether a trimmed line passes the punctuation, navigation and boilerplate rules.
+
+    The rules are :data:`ENDING`, :data:`MARKS`, :data:`ENTRIES` and
+    :data:`BOILERPLATE`. Fixed phrases are searched as they are, and words are
+    counted only in lines that have marks or separators at all.
+    """
     words = F.regexp_count(line, F.lit("[^ \t]+"))
-    punctuation = line.rlike(ENDING) & (F.regexp_count(line, F.lit(MARKS)) * 10 <= words)
+    ended = F.substring(F.rtrim(line, F.lit(CLOSERS)), -1, 1).isin(*ENDS)
+    clean = ~line.rlike(MARKS) | (F.regexp_count(line, F.lit(MARKS)) * 10 <= words)
     separators = F.regexp_count(line, F.lit(ENTRIES))
-    navigation = (separators >= 2) & (words - separators <= 4 * (separators + 1))
-    return punctuation & ~navigation & ~line.rlike(BOILERPLATE)
+    navigation = line.rlike(ENTRIES) & (separators >= 2) & (words - separators <= 4 * (separators + 1))
+    dated = line.contains("©") & line.rlike(DATED)
+    phrase = F.exists(F.array(F.lower(line)), lambda low: reduce(Column.__or__, [low.contains(p) for p in PHRASES]))
+    return ended & clean & ~navigation & ~dated & ~phrase
 
 
 def _judged(docs: DataFrame, text_col: str, most_lost: float) -> tuple[DataFrame, str, str, str]:
-    """``docs`` that stay, with their kept lines and the characters before and after."""
-    lines, good, before, after = fresh(docs, "lines", "good", "before", "after")
+    """``docs`` that stay, with their kept lines and the characters before and after.
+
+    The lines are exploded as one struct a row, so that no optimizer rule
+    copies their evaluation into the conditions that use it.
+    """
+    one, good, before, after = fresh(docs, "one", "good", "before", "after")
     length = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x))
     split = F.filter(F.transform(F.split(docs[text_col].cast("string"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    out = docs.withColumn(lines, split).withColumn(good, F.filter(lines, line_passes))
-    out = out.withColumns({before: length(F.col(lines)), after: length(F.col(good))}).drop(lines)
+    kept = lambda x: F.struct(length(x).alias("before"), F.filter(x, line_passes).alias("good"))
+    counted = lambda x: F.struct(x["before"].alias("before"), x["good"].alias("good"), length(x["good"]).alias("after"))
+    out = docs.select("*", F.explode(F.transform(F.transform(F.array(split), kept), counted)).alias(one))
+    out = out.withColumns({good: F.col(f"{one}.good"), before: F.col(f"{one}.before"), after: F.col(f"{one}.after")}).drop(one)
     lost = F.col(before) - F.col(after)
     return out.where((F.col(after) > 0) & (lost <= F.col(before) * F.lit(most_lost))), good, before, after
 
