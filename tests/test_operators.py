@@ -1,0 +1,222 @@
+"""The triage operators on small tables."""
+
+import io
+import random
+import re
+import sqlite3
+import tarfile
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewrack.functions import quality as Q
+from tidewrack.functions import regex
+from tidewrack.functions import text as X
+from tidewrack.operators import compare, crossfile, gating, inspect_db, inspect_paths, matching, planner, review, summary
+from tidewrack.plans import registry
+from tidewrack.sinks import reports
+from tidewrack.sources import content, rules
+
+FILES = "file_id long, host string, share string, file_path string, name string, extension string, size long, modified_at long, source string, from_sysvol boolean, from_netlogon boolean, text string"
+
+
+def files(spark, *rows):
+    out = []
+    for i, (path, text) in enumerate(rows):
+        name = path.rsplit("/", 1)[-1]
+        ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
+        out.append((i, "h1", "s1", path, name, ext, len(text), 7, "cli", False, False, text))
+    return spark.createDataFrame(out, FILES)
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} string" for n in values))
+    return row.select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("pattern, text, want", [
+    ("(?im)^a$", "b\na", True), ("^a$", "a\n", False), (r"(?i)\bpwd\b", "épwd", True), (r"a\sb", "a\x0bb", False), ("(?i)key", "Key", True), ("a.b", "a\rb", True), (r"^\d$", "٣", False),
+])
+def test_patterns_mean_the_same_as_in_the_linear_dialect(spark, pattern, text, want):
+    assert one(spark, F.col("v").rlike(regex.to_java(pattern)), v=text) is want
+
+
+@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)b", r"(a)\1", "[a", "a\\"])
+def test_patterns_beyond_the_dialect_are_refused(pattern):
+    assert regex.check(pattern)
+
+
+def test_rule_files_are_validated():
+    good = {"id": "a.b", "name": "n", "type": "filename", "pattern": "x", "category": "c"}
+    got = rules.collect([("f", {"version": 1, "extra": 1, "rules": [good, good, good | {"id": "k", "colour": "red"}, good | {"id": "s", "severity": "info"}, good | {"id": "p", "pattern": "(?=x)"}]}), ("g", {"version": 2})])
+    assert [r["id"] for r in got.rules] == ["a.b"] and len(got.issues) == 5 and len(got.warnings) == 1
+    assert got.rules[0]["severity"] == "medium" and got.rules[0]["enabled"]
+
+
+def test_the_pack_has_its_rules():
+    every = rules.default_rules()
+    assert len(every) == 45 and sum(r["enabled"] for r in every) == 35
+    assert not [w for r in every for w in rules.validate(r)]
+    assert rules.select(every, disable={every[0]["id"]}, least_severity="high")[0]["id"] != every[0]["id"]
+
+
+@pytest.mark.parametrize("value, label, weak, least, most", [
+    ("changeme", "low", True, 1, 1), ("aaaaaaaaaaaa", "low", True, 0, 4), ("Xk9#mQ2vLp7z", "medium", False, 12, 12), ("${SECRET}", "low", True, 1, 1), ("Xk9#mQ2vLp7zR4", "high", False, 18, 18), ("test123", "low", True, 1, 1), ("", "low", True, 0, 0),
+])
+def test_quality_of_values(spark, value, label, weak, least, most):
+    q = one(spark, Q.value_quality(F.col("v")), v=value)
+    assert (q["label"], q["weak"]) == (label, weak) and least <= q["score"] <= most
+
+
+def test_redaction_stars_values_out(spark):
+    got = one(spark, Q.redact(F.col("v")), v="password = hunter22\n<token>abc</token>\n<add key=\"password\" value=\"zzz\"/>\nsvc_app: Qw8!kLm2Zx\nplain text")
+    assert not re.search("hunter22|abc<|zzz|Qw8", got) and got.endswith("plain text") and got.count("********") == 4
+
+
+def test_first_matches_and_lines(spark):
+    f = files(spark, ("a/x.conf", "one\npassword = Xk9mQ2vLp7\npassword = second1"), ("a/y.conf", "password=changeme"), ("a/vendor/z.conf", "password = Xk9mQ2vLp7"), ("a/id_rsa", "-----BEGIN RSA PRIVATE KEY-----\nx"))
+    active = rules.select(rules.default_rules())
+    got = matching.drop_weak(matching.content_matches(f, active)).where(F.col("rule_id") == matching.PASSWORD_RULE).collect()
+    assert [(r["file_id"], r["line"], r["match"]) for r in got] == [(0, 2, "password = Xk9mQ2vLp7")]
+    keys = f.select("file_id", F.explode(inspect_paths.key_matches(F.col("text"))).alias("m")).collect()
+    assert [(r["file_id"], r["m"]["line"]) for r in keys] == [(3, 1)]
+
+
+def test_gate_follows_rules_and_limits(spark):
+    f = files(spark, ("a/node_modules/x.txt", "t"), ("a/b.png", "t"), ("a/c.zip", "t"), ("a/d.txt", "t"), ("a/e.bin2", "t"))
+    got = {r["file_id"]: (r["skip_reason"], r["kind"], r["needs_content"]) for r in gating.decide(f, rules.select(rules.default_rules())).collect()}
+    assert got == {0: ("matched skip rule", "standard", False), 1: ("matched skip rule", "standard", False), 2: (None, "archive", True), 3: (None, "standard", True), 4: (None, "standard", False)}
+
+
+def test_connection_strings_are_taken_apart(spark):
+    text = "Server=db1;Database=erp;User Id=app;Password=Qw8kLm2Zx\nurl = \"jdbc:mysql://me:Pw99xx77@db3:3306/crm?useSSL=true\"\nServer=db2;Database=x;\nServer=<server>;Password=<password>"
+    got = {(r["rule_id"].split(".")[1], r["match"], r["has_password"]) for r in inspect_db.connections(files(spark, ("a.config", text))).collect()}
+    assert ("access", "db1 -> erp", True) in got and ("infrastructure", "db2 -> x", False) in got
+    assert any(m.startswith("mysql -> db3") and p for _, m, p in got)
+    assert not any("<" in m for _, m, _ in got)
+
+
+def finding(host, path, rule, score=20, severity="high", match="m", category="c", share="s"):
+    return (host, share, path, rule, category, severity, "high", score, match, "", [rule], "", [], "cli", "filename", False)
+
+
+FINDING = "host string, share string, file_path string, rule_id string, category string, severity string, confidence string, confidence_score int, match string, context string, matched_rule_ids array<string>, archive_path string, tags array<string>, source string, signal_type string, from_sysvol boolean"
+
+
+def test_artefacts_in_one_place_make_findings(spark):
+    rows = [
+        finding("h", "d/ntds.dit", "r"), finding("h", "d/SYSTEM", "r"), finding("h", "e/SYSTEM", "r"), finding("", "d2/ntds.dit", "r"), finding("", "d2/system", "r"),
+        finding("h", "u/.aws/credentials", "awsinspect.content.credentials_bundle"), finding("h", "u/.aws/config", "awsinspect.path.config"),
+        finding("h", "k/tier0/id_rsa", "filename.private_key_artifacts"), finding("h", "k/tier0/a.ovpn", "extension.client_auth_artifacts"),
+        finding("h", "c/a.pfx", "extension.key_and_certificate_extensions"), finding("h", "c/n.txt", "content.password_assignment_indicators"),
+        finding("h", "x/regback/SAM", "r"), finding("h", "x/regback/SECURITY", "backupinspect.path.regback", 40),
+        finding("h", "q/a.db::t", "sqliteinspect.cell"), finding("h", "q/.env", "r"),
+        finding("h", "Users/a/AppData/Roaming/Microsoft/Protect/k", "wincredinspect.path.protect"), finding("h", "Users/a/AppData/Roaming/Microsoft/Vault/k", "wincredinspect.path.vault"),
+    ]
+    found = crossfile.correlated(spark.createDataFrame(rows, FINDING))
+    got = {(r["rule_id"].split(".", 1)[1], r["file_path"], r["confidence_score"]) for r in found.collect()}
+    assert got == {
+        ("ad.ntds_system", "d/ntds.dit", 82), ("cloud.aws_profile_bundle", "u/.aws/credentials", 84), ("remote_access.private_key_bundle", "k/tier0/id_rsa", 84), ("remote_access.certificate_bundle", "c/a.pfx", 82),
+        ("backup.system_state_exposure", "x/regback/SECURITY", 86), ("database.sqlite_exposure", "q/a.db::t", 80), ("windows.dpapi_credential_store", "Users/a/AppData/Roaming/Microsoft/Vault/k", 84),
+    }
+    ranked = crossfile.exposure_paths(found, top=3).orderBy("rank").collect()
+    assert [r["rank"] for r in ranked] == [1, 2, 3] and ranked[0]["path_type"] == "ad-compromise-path" and ranked[0]["score"] == 99
+
+
+def test_suppression_and_duplicates(spark):
+    rows = spark.createDataFrame([finding("h", "a/x", "r1"), finding("H", "A/x", "r1", 10), finding("h", "b/y", "r2"), finding("g", "c/z", "r2")], FINDING)
+    off = {"id": "off", "hosts": ["h"]}
+    assert review.suppressed_by(rows, [off, {"id": "none", "enabled": True}]).where("suppression_id is not null").count() == 0
+    assert review.survivors(rows, [{"id": "s", "enabled": True, "hosts": ["H"], "path_prefixes": ["a/"]}]).count() == 2
+    assert review.exact_dedup(rows).count() == 3
+    groups = review.duplicate_groups(rows).collect()
+    assert {(g["rule_id"], g["n_places"]) for g in groups} == {("r1", 2), ("r2", 2)}
+
+
+def test_diff_and_evaluation(spark):
+    before = spark.createDataFrame([finding("h", "a", "r"), finding("h", "b", "r", severity="low"), finding("h", "c", "r")], FINDING)
+    now = spark.createDataFrame([finding("h", "A", "r"), finding("h", "b", "r"), finding("h", "d", "r")], FINDING)
+    assert {(r["path"], r["status"], r["changed_fields"]) for r in compare.diff(before, now).collect()} == {("a", "unchanged", ""), ("b", "changed", "severity"), ("c", "removed", ""), ("d", "new", "")}
+    labels = spark.createDataFrame([("1", "a", "c", ["r"], "high", ""), ("2", "zz", "c", [], "", ""), ("3", "b", "c", ["other"], "", "")], "id string, path string, category string, rule_ids array<string>, minimum_severity string, minimum_confidence string")
+    assert {(r["id"], r["matched"]) for r in compare.judge(now, labels).collect()} == {("1", True), ("2", False), ("3", False)}
+    s = compare.judge_summary(now, labels).first()
+    assert (s["expected"], s["matched"], s["missed"], s["noisy"]) == (3, 1, 2, 1)
+
+
+@pytest.mark.parametrize("encoding, mark", [("utf-8", b""), ("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b""), ("utf-16-be", b"\xfe\xff"), ("cp1252", b"")])
+def test_encoded_texts(encoding, mark):
+    text = "Größe: 12 Stück\r\nnext line"
+    assert content.decode(mark + text.encode(encoding)) == text.replace("\r\n", "\n")
+
+
+def test_bytes_that_are_no_text():
+    assert content.decode(bytes(range(32)) * 20) is None and content.decode(None) is None and content.decode(b"") == ""
+
+
+def test_archives_and_their_limits():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in (("ok.txt", "fine"), ("../up.txt", "no"), ("/abs.txt", "no"), ("in.zip", "no"), ("bin.txt", bytes(range(32)) * 40), ("big.txt", "a" * 2000)):
+            z.writestr(name, data)
+    assert [m[0] for m in content.members("a.zip", out.getvalue(), content.ArchiveLimits(member=1500))] == ["ok.txt"]
+    assert content.members("a.zip", b"broken") == [] and content.members("a.zip", None) == []
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        info = tarfile.TarInfo("d/n.ini")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"a=b"))
+    assert content.members("a.tgz", tar.getvalue()) == [("d/n.ini", 3, "a=b")]
+    doc = io.BytesIO()
+    with zipfile.ZipFile(doc, "w") as z:
+        z.writestr("word/document.xml", "<w><p>pass</p><p> word </p></w>")
+    assert content.members("a.docx", doc.getvalue())[0][2] == "pass\nword"
+
+
+def test_database_cells():
+    db = sqlite3.connect(":memory:")
+    db.execute("create table plain (a text)")
+    db.execute("create table users (id integer, password text)")
+    db.executemany("insert into users values (?, ?)", [(i, f"p{i}") for i in range(9)])
+    db.commit()
+    assert content.cells(db.serialize()) == [("users", "password", n, f"p{n - 1}") for n in range(1, 6)]
+    assert content.cells(b"nothing") == []
+
+
+def test_reports_are_redacted(spark, tmp_path):
+    rows = spark.createDataFrame([finding("h", "a|b", "r", match="password = hunter22")], FINDING)
+    assert "hunter22" not in reports.markdown(rows) + reports.page(rows) and "a\\|b" in reports.markdown(rows)
+    assert "hunter22" in reports.markdown(rows, clear=True)
+    reports.fan_out(rows, [lambda f: reports.write_csv(f, str(tmp_path / "c")), lambda f: reports.write_json(f, str(tmp_path / "j"))])
+    assert reports.read_json(str(tmp_path / "j"), spark).count() == 1
+    assert "hunter22" not in (tmp_path / "c").joinpath(next(p.name for p in (tmp_path / "c").glob("*.csv"))).read_text()
+
+
+def test_trees_and_targets(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "A.TXT").write_text("x")
+    (tmp_path / "list").write_text("# none\n\nh2\n")
+    assert [(r["name"], r["extension"], r["size"]) for r in content.tree(spark, str(tmp_path / "d")).collect()] == [("A.TXT", ".txt", 1)]
+    assert {(r["host"], r["source"]) for r in content.targets(spark, ["h1"], str(tmp_path / "list")).collect()} == {("h1", "cli"), ("h2", "file")}
+
+
+def test_plan_scores_and_filters(spark):
+    f = files(spark, ("Policies/x/groups.xml", ""), ("docs/readme.md", ""), ("docs/deep/er/a.key", ""))
+    got = {r["file_id"]: r["priority"] for r in planner.score_files(f).collect()}
+    assert got == {0: 10 + 30 + 40 + 35, 1: 10, 2: 10 + 55 + 55}
+    assert {r["file_id"] for r in planner.allow_paths(f, include=["docs"], max_depth=2).collect()} == {1}
+
+
+def test_every_query_has_one_name():
+    assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.oracle_sql()) > 40
+
+
+def test_clean_paths(spark):
+    cases = {"a//b/./c": "a/b/c", "./x": "x", "\\\\s\\t": "/s/t", "/": "/", "a/": "a", ".": "."}
+    for raw, want in random.Random(1).sample(sorted(cases.items()), len(cases)):
+        assert one(spark, X.slashes(F.col("v")), v=raw) == want
+
+
+def test_severities_without_findings_count(spark):
+    got = {r["severity"]: r["n"] for r in summary.by_severity(spark.createDataFrame([finding("h", "a", "r")], FINDING)).collect()}
+    assert got == {"info": 0, "low": 0, "medium": 0, "high": 1, "critical": 0}

@@ -49,6 +49,11 @@ def slashes(path: Column) -> Column:
     return F.when(p == "", ".").when(p == "/", "/").otherwise(F.regexp_replace(p, "/$", ""))
 
 
+def bare(path: Column) -> Column:
+    """Without slashes at both ends."""
+    return F.trim(path, F.lit("/"))
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)/*$", 1)
 

@@ -33,128 +33,162 @@ def _access_directory() -> Column:
     return F.when(d.rlike("/tier-?[0-9]+$"), X.directory(d)).otherwise(d)
 
 
-def _better() -> Column:
-    """Order of anchors: greatest is best. Score, severity, then the lesser path and rule."""
-    return F.struct(F.col("confidence_score"), X.severity_rank(F.col("severity")).alias("rank"))
+def _get(anchors: Column, family: str) -> Column:
+    return F.element_at(anchors, family)
 
 
-def _anchored(rows: DataFrame, family: Column, context: Column, full_key: bool) -> DataFrame:
-    """One row for each host, share, context and family: its anchor."""
-    rows = rows.withColumns({"family": family, "ctx": context, "k_host": X.norm(F.col("host")), "k_share": X.norm(F.col("share"))}).where("family is not null and ctx <> ''")
-    if full_key:
-        rows = rows.where("k_host <> '' and k_share <> ''")
-    order = Window.partitionBy("k_host", "k_share", "ctx", "family").orderBy(F.col("confidence_score").desc(), X.severity_rank(F.col("severity")).desc(), "file_path", "rule_id")
-    keep = F.struct("host", "share", "file_path", "rule_id", "confidence_score", "severity", "matched_rule_ids", "archive_path", "context")
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("k_host", "k_share", "ctx", "family", keep.alias("anchor"))
+def _has(anchors: Column, *families: str) -> Column:
+    return reduce(Column.__and__, [_get(anchors, f).isNotNull() for f in families])
 
 
-def _gathered(anchors: DataFrame, families: list[str]) -> DataFrame:
-    """One row for each context with the anchors by family."""
-    pick = lambda f: F.max(F.when(F.col("family") == f, F.col("anchor"))).alias(f)
-    return anchors.groupBy("k_host", "k_share", "ctx").agg(*[pick(f) for f in families])
-
-
-def _finding(rows: DataFrame, rule: str, category: str, severity: Column, score: Column, first: Column, second: Column, match: Column) -> DataFrame:
+def _finding(rule: str, category: str, severity: Column, score: Column, first: Column, second: Column, match: Column) -> Column:
+    """The finding that two anchors make together."""
     context = F.concat_ws("\n", F.lit("Paired artifact context:"), first["file_path"], second["file_path"])
     rules = X.unique_sorted(F.concat(first["matched_rule_ids"], F.coalesce(second["matched_rule_ids"], F.array().cast("array<string>")), F.array(F.lit(rule))))
-    return rows.select(
-        first["host"].alias("host"), first["share"].alias("share"), first["file_path"].alias("file_path"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), severity.alias("severity"), F.lit("high").alias("confidence"),
-        score.cast("int").alias("confidence_score"), match.alias("match"), context.alias("context"), rules.alias("matched_rule_ids"), first["archive_path"].alias("archive_path"),
-    )
+    values = (first["host"], first["share"], first["file_path"], F.lit(rule), F.lit(category), severity, F.lit("high"), score.cast("int"), match, context, rules, first["archive_path"])
+    return F.struct(*[v.alias(n) for n, v in zip(COLUMNS, values)])
 
 
-def ad_pairs(rows: DataFrame) -> DataFrame:
-    """A directory database beside the hive that opens it."""
+def _ad() -> list[tuple[Column, Column, bool]]:
     family = F.when(_base().rlike("^ntds\\.dit(?:\\.(?:bak|old))?$"), "ntds").when(_base().rlike("^system(?:\\.(?:bak|old))?$"), "system")
-    g = _gathered(_anchored(rows, family, _directory(), True), ["ntds", "system"]).where("ntds is not null and system is not null")
-    return _finding(g, "correlation.ad.ntds_system", "credentials", F.lit("critical"), F.lit(82), F.col("ntds"), F.col("system"), F.lit("NTDS + SYSTEM"))
+    return [(family, _directory(), True)]
 
 
-def cloud_pairs(rows: DataFrame) -> DataFrame:
-    """Credentials and settings of one cloud profile."""
+def _ad_pair(a: Column) -> Column:
+    """A directory database beside the hive that opens it."""
+    return F.when(_has(a, "ntds", "system"), _finding("correlation.ad.ntds_system", "credentials", F.lit("critical"), F.lit(82), _get(a, "ntds"), _get(a, "system"), F.lit("NTDS + SYSTEM")))
+
+
+def _cloud() -> list[tuple[Column, Column, bool]]:
     rule = X.norm(F.col("rule_id"))
     family = F.when(rule.isin("awsinspect.path.credentials", "awsinspect.content.credentials_bundle"), "credentials").when(rule == "awsinspect.path.config", "config")
-    g = _gathered(_anchored(rows, family, inspect_paths.aws_profile(), False), ["credentials", "config"]).where("credentials is not null and config is not null")
-    score = F.when(F.col("credentials.rule_id") == "awsinspect.content.credentials_bundle", 84).otherwise(78)
-    return _finding(g, "correlation.cloud.aws_profile_bundle", "credentials", F.lit("high"), score, F.col("credentials"), F.col("config"), F.lit("credentials + config"))
+    return [(family, inspect_paths.aws_profile(), False)]
 
 
-def key_bundles(rows: DataFrame) -> DataFrame:
-    """A private key beside what it logs in to."""
+def _cloud_pair(a: Column) -> Column:
+    """Credentials and settings of one cloud profile."""
+    score = F.when(_get(a, "credentials")["rule_id"] == "awsinspect.content.credentials_bundle", 84).otherwise(78)
+    return F.when(_has(a, "credentials", "config"), _finding("correlation.cloud.aws_profile_bundle", "credentials", F.lit("high"), score, _get(a, "credentials"), _get(a, "config"), F.lit("credentials + config")))
+
+
+def _keys() -> list[tuple[Column, Column, bool]]:
     ext, rule = X.extension(_base()), X.norm(F.col("rule_id"))
     family = (
         F.when(_base().isin(*inspect_paths.KEY_FILES), "private_key").when(_base().isin("authorized_keys", "known_hosts"), "ssh").when(ext.isin(".ovpn", ".ppk"), "client")
         .when(rule.isin("keyinspect.content.private_key_header", "filename.private_key_artifacts"), "private_key").when(rule == "filename.ssh_supporting_artifacts", "ssh").when(rule == "extension.client_auth_artifacts", "client")
     )
-    g = _gathered(_anchored(rows, family, _access_directory(), True), ["private_key", "ssh", "client"]).where("private_key is not null and (ssh is not null or client is not null)")
-    client = F.col("client").isNotNull()
-    return _finding(g, "correlation.remote_access.private_key_bundle", "remote-access", F.when(client, "critical").otherwise("high"), F.when(client, 84).otherwise(76), F.col("private_key"), F.coalesce("client", "ssh"), F.when(client, "private key + client-auth artifact").otherwise("private key + SSH support"))
+    return [(family, _access_directory(), True)]
 
 
-def certificate_bundles(rows: DataFrame) -> DataFrame:
-    """A certificate with its key beside a password."""
+def _key_bundle(a: Column) -> Column:
+    """A private key beside what it logs in to."""
+    client = _has(a, "client")
+    match = F.when(client, "private key + client-auth artifact").otherwise("private key + SSH support")
+    made = _finding("correlation.remote_access.private_key_bundle", "remote-access", F.when(client, "critical").otherwise("high"), F.when(client, 84).otherwise(76), _get(a, "private_key"), F.coalesce(_get(a, "client"), _get(a, "ssh")), match)
+    return F.when(_has(a, "private_key") & (client | _has(a, "ssh")), made)
+
+
+def _certificates() -> list[tuple[Column, Column, bool]]:
     rule = X.norm(F.col("rule_id"))
     passwords = ("content.password_assignment_indicators", "content.password_note_value_indicators", "content.note_style_credential_pair_indicators")
     family = F.when(X.extension(_base()).isin(".pfx", ".p12") & (rule == "extension.key_and_certificate_extensions"), "certificate").when(rule.isin(*passwords), "password")
-    g = _gathered(_anchored(rows, family, _access_directory(), True), ["certificate", "password"]).where("certificate is not null and password is not null")
-    return _finding(g, "correlation.remote_access.certificate_bundle", "remote-access", F.lit("critical"), F.lit(82), F.col("certificate"), F.col("password"), F.lit("certificate + password evidence"))
+    return [(family, _access_directory(), True)]
 
 
-def browser_pairs(rows: DataFrame) -> DataFrame:
-    """Both halves of a browser's credential store in one profile; Firefox counts before Chromium."""
+def _certificate_bundle(a: Column) -> Column:
+    """A certificate with its key beside a password."""
+    return F.when(_has(a, "certificate", "password"), _finding("correlation.remote_access.certificate_bundle", "remote-access", F.lit("critical"), F.lit(82), _get(a, "certificate"), _get(a, "password"), F.lit("certificate + password evidence")))
+
+
+def _browsers() -> list[tuple[Column, Column, bool]]:
     family = F.when(F.col("rule_id").startswith("browsercredinspect."), F.replace(F.regexp_extract("rule_id", "^browsercredinspect\\.(.*)$", 1), F.lit("."), F.lit("_")))
-    names = ["firefox_logins", "firefox_key4", "chromium_login_data", "chromium_cookies"]
-    g = _gathered(_anchored(rows, family, inspect_paths.browser_profile(), False), names)
-    fire = F.col("firefox_logins").isNotNull() & F.col("firefox_key4").isNotNull()
-    g = g.where(fire | (F.col("chromium_login_data").isNotNull() & F.col("chromium_cookies").isNotNull()))
-    pick = lambda a, b: F.when(fire, F.col(a)).otherwise(F.col(b))
-    return _finding(g, "correlation.browser.profile_credential_store", "browser-credentials", F.when(fire, "critical").otherwise("high"), F.when(fire, 84).otherwise(78), pick("firefox_logins", "chromium_login_data"), pick("firefox_key4", "chromium_cookies"), F.when(fire, "Firefox logins + key4").otherwise("Chromium Login Data + Cookies"))
+    return [(family, inspect_paths.browser_profile(), False)]
 
 
-def dpapi_pairs(rows: DataFrame) -> DataFrame:
+def _browser_pair(a: Column) -> Column:
+    """Both halves of a browser's credential store in one profile; Firefox counts before Chromium."""
+    fire = _has(a, "firefox_logins", "firefox_key4")
+    pick = lambda x, y: F.when(fire, _get(a, x)).otherwise(_get(a, y))
+    match = F.when(fire, "Firefox logins + key4").otherwise("Chromium Login Data + Cookies")
+    made = _finding("correlation.browser.profile_credential_store", "browser-credentials", F.when(fire, "critical").otherwise("high"), F.when(fire, 84).otherwise(78), pick("firefox_logins", "chromium_login_data"), pick("firefox_key4", "chromium_cookies"), match)
+    return F.when(fire | _has(a, "chromium_login_data", "chromium_cookies"), made)
+
+
+def _dpapi() -> list[tuple[Column, Column, bool]]:
+    return [(F.when(F.col("rule_id").startswith("wincredinspect.path."), F.regexp_extract("rule_id", "([a-z]+)$", 1)), inspect_paths.windows_profile(), False)]
+
+
+def _dpapi_pair(a: Column) -> Column:
     """A profile's protected credentials with the keys that open them."""
-    family = F.when(F.col("rule_id").startswith("wincredinspect.path."), F.regexp_extract("rule_id", "([a-z]+)$", 1))
-    g = _gathered(_anchored(rows, family, inspect_paths.windows_profile(), False), ["protect", "credentials", "vault"]).where("protect is not null and (credentials is not null or vault is not null)")
-    both = F.col("credentials").isNotNull() & F.col("vault").isNotNull()
-    match = F.concat_ws(" + ", F.when(F.col("credentials").isNotNull(), "Credentials"), F.when(F.col("vault").isNotNull(), "Vault"), F.lit("Protect"))
-    return _finding(g, "correlation.windows.dpapi_credential_store", "windows-credentials", F.lit("critical"), F.when(both, 88).otherwise(84), F.coalesce("credentials", "vault"), F.col("protect"), match)
+    match = F.concat_ws(" + ", F.when(_has(a, "credentials"), "Credentials"), F.when(_has(a, "vault"), "Vault"), F.lit("Protect"))
+    made = _finding("correlation.windows.dpapi_credential_store", "windows-credentials", F.lit("critical"), F.when(_has(a, "credentials", "vault"), 88).otherwise(84), F.coalesce(_get(a, "credentials"), _get(a, "vault")), _get(a, "protect"), match)
+    return F.when(_has(a, "protect") & (_has(a, "credentials") | _has(a, "vault")), made)
 
 
-def backup_sets(rows: DataFrame) -> DataFrame:
+_STORES = ("ntds", "sam", "system", "security")
+
+
+def _backups() -> list[tuple[Column, Column, bool]]:
+    artifact = F.regexp_extract(_base(), "^(ntds|system|sam|security)(?:\\.dit)?(?:\\.(?:bak|old))?$", 1)
+    exact = _base().rlike("^(?:ntds\\.dit|system|sam|security)(?:\\.(?:bak|old))?$")
+    context = inspect_paths.backup_context()
+    return [(F.when(exact, artifact), context, False), (F.when(F.col("rule_id").startswith("backupinspect.path."), "place"), context, False)]
+
+
+def _backup_set(a: Column) -> Column:
     """Two or more secret stores of a system in one backup; its path, where detected, adds to the score."""
-    names = ["ntds", "system", "sam", "security"]
-    rule = F.regexp_extract("rule_id", "^backupinspect\\.path\\.(.*)$", 1)
-    artifact = F.regexp_extract(_base(), "^(ntds\\.dit|system|sam|security)(?:\\.(?:bak|old))?$", 1)
-    family = F.when(artifact != "", F.regexp_replace(artifact, "\\.dit$", ""))
-    rows = rows.withColumn("__ctx", inspect_paths.backup_context())
-    g = _gathered(_anchored(rows, family, F.col("__ctx"), False), names)
-    paths = _anchored(rows, F.when(rule != "", "place"), F.col("__ctx"), False).select("k_host", "k_share", "ctx", F.col("anchor").alias("place"))
-    g = g.join(paths, ["k_host", "k_share", "ctx"], "left")
-    many = sum((F.col(n).isNotNull().cast("int") for n in names[1:]), F.col("ntds").isNotNull().cast("int"))
-    order = F.array_sort(F.array_compact(F.array(*names)), lambda a, b: F.when(a["confidence_score"] != b["confidence_score"], b["confidence_score"] - a["confidence_score"]).when(X.severity_rank(a["severity"]) != X.severity_rank(b["severity"]), X.severity_rank(b["severity"]) - X.severity_rank(a["severity"])).when(a["file_path"] < b["file_path"], -1).when(a["file_path"] > b["file_path"], 1).otherwise(0))
-    g = g.where(many >= 2).withColumn("best", order)
-    shown = F.concat_ws(" + ", *[F.when(F.col(n).isNotNull(), n.upper()) for n in ("ntds", "sam", "system", "security")])
-    return _finding(g, "correlation.backup.system_state_exposure", "backup-exposure", F.lit("critical"), F.when(F.col("place").isNotNull(), 86).otherwise(82), F.get("best", F.lit(0)), F.get("best", F.lit(1)), shown)
-
-
-def sqlite_support(rows: DataFrame) -> DataFrame:
-    """A secret found in a database's rows beside settings or backups that make it usable."""
-    base_path = F.regexp_replace(F.col("file_path"), "(?:!|::).*$", "")
-    name = X.norm(X.base_name(base_path))
+    rank = lambda x: F.struct((-x["confidence_score"]).alias("s"), (-X.severity_rank(x["severity"])).alias("r"), x["file_path"].alias("p"), x.alias("a"))
+    best = F.array_sort(F.transform(F.array_compact(F.array(*[_get(a, s) for s in _STORES])), rank))
+    match = F.concat_ws(" + ", *[F.when(_has(a, s), s.upper()) for s in _STORES])
+    made = _finding("correlation.backup.system_state_exposure", "backup-exposure", F.lit("critical"), F.when(_has(a, "place"), 86).otherwise(82), F.get(best, F.lit(0))["a"], F.get(best, F.lit(1))["a"], match)
+    return F.when(reduce(Column.__add__, [_has(a, s).cast("int") for s in _STORES]) >= 2, made)
+
+
+def _databases() -> list[tuple[Column, Column, bool]]:
+    path = F.regexp_replace(F.col("file_path"), "(?:!|::).*$", "")
+    name = X.norm(X.base_name(path))
     support = name.isin(".env", "appsettings.json", "web.config", "docker-compose.yml") | X.extension(name).isin(".bak", ".sql", ".dump") | F.col("rule_id").isin("dbinspect.access.connection_string", "dbinspect.access.dsn", "dbinspect.artifact.database_backup")
-    family = F.when(F.col("rule_id").startswith("sqliteinspect."), "sqlite").when(support, "support")
-    g = _gathered(_anchored(rows, family, X.norm(X.directory(base_path)), True), ["sqlite", "support"]).where("sqlite is not null and support is not null")
-    return _finding(g, "correlation.database.sqlite_exposure", "database-access", F.lit("high"), F.lit(80), F.col("sqlite"), F.col("support"), F.lit("SQLite row evidence + support artifact"))
+    return [(F.when(F.col("rule_id").startswith("sqliteinspect."), "sqlite").when(support, "support"), X.norm(X.directory(path)), True)]
+
+
+def _database_support(a: Column) -> Column:
+    """A secret found in a database's rows beside settings or backups that make it usable."""
+    return F.when(_has(a, "sqlite", "support"), _finding("correlation.database.sqlite_exposure", "database-access", F.lit("high"), F.lit(80), _get(a, "sqlite"), _get(a, "support"), F.lit("SQLite row evidence + support artifact")))
 
 
-KINDS = (ad_pairs, cloud_pairs, key_bundles, certificate_bundles, browser_pairs, dpapi_pairs, backup_sets, sqlite_support)
+#: Kind: the families that a finding belongs to, in which context, and whether host and share must be known; then what the anchors make.
+KINDS = {
+    "ad": (_ad, _ad_pair), "cloud": (_cloud, _cloud_pair), "keys": (_keys, _key_bundle), "certificates": (_certificates, _certificate_bundle),
+    "browsers": (_browsers, _browser_pair), "dpapi": (_dpapi, _dpapi_pair), "backups": (_backups, _backup_set), "databases": (_databases, _database_support),
+}
+
+
+def anchors(findings: DataFrame) -> DataFrame:
+    """One row for each kind, host, share and context: a map of its families' anchors.
+
+    An anchor has the greatest score of its family, then severity, then the
+    least path and rule. All kinds share one pass over the findings and one
+    shuffle of those that are in a family at all.
+    """
+    roles = []
+    for kind, (of, _) in KINDS.items():
+        for family, context, full in of():
+            known = (X.norm(F.col("host")) != "") & (X.norm(F.col("share")) != "") if full else F.lit(True)
+            roles.append(F.when(family.isNotNull() & known, F.struct(F.lit(kind).alias("kind"), family.alias("family"), context.alias("ctx"))))
+    rows = findings.select(*COLUMNS, F.explode(F.array_compact(F.array(*roles))).alias("role")).select(*COLUMNS, "role.*").where("ctx <> ''")
+    rows = rows.withColumns({"k_host": X.norm(F.col("host")), "k_share": X.norm(F.col("share"))})
+    keys = ["kind", "k_host", "k_share", "ctx"]
+    order = Window.partitionBy(*keys, "family").orderBy(F.col("confidence_score").desc(), X.severity_rank(F.col("severity")).desc(), "file_path", "rule_id")
+    keep = F.struct("host", "share", "file_path", "rule_id", "confidence_score", "severity", "matched_rule_ids", "archive_path")
+    rows = rows.withColumn("n", F.row_number().over(order)).where("n = 1")
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("family", keep.alias("anchor")))).alias("anchors"))
 
 
 def correlated(findings: DataFrame) -> DataFrame:
     """The findings that follow from several others; where a place has one of the rule already, none is added."""
     rows = findings if "archive_path" in findings.columns else findings.withColumn("archive_path", F.lit(""))
-    rows = rows.select(*COLUMNS)
-    new = reduce(DataFrame.unionByName, [k(rows) for k in KINDS])
+    made = F.coalesce(*[F.when(F.col("kind") == kind, make(F.col("anchors"))) for kind, (_, make) in KINDS.items()])
+    new = anchors(rows).select(made.alias("f")).where("f is not null").select("f.*")
     there = rows.where(F.col("rule_id").startswith("correlation.")).select("host", "share", "file_path", "rule_id").distinct()
     return new.join(there, ["host", "share", "file_path", "rule_id"], "left_anti").select(*COLUMNS)
 

@@ -98,7 +98,7 @@ def finding_quality(types: Column, category: Column, blob: Column) -> Column:
     validated = F.when(Q.is_connection(blob), X.let(connection, lambda q: F.when(q["score"] >= 14, q).otherwise(firm))).otherwise(firm)
     content = F.when(Q.is_connection(blob), connection).otherwise(X.let(extracted, lambda q: F.when(q["score"] > 0, q).otherwise(Q._quality(8, "medium"))))
     has = lambda t: F.array_contains(types, t)
-    return F.when(has("validated"), validated).when(has("content"), content).when(has("filename") | has("extension"), Q._quality(0, "low")).otherwise(Q.NONE)
+    return F.when(has("validated"), validated).when(has("content"), content).when(has("filename") | has("extension"), Q._quality(0, "low")).otherwise(Q.none())
 
 
 def strong_evidence(rule_id: Column, signal: Column, quality: Column) -> Column:

@@ -55,7 +55,7 @@ def backup_context() -> Column:
     out = []
     for token in ("/windowsimagebackup/", "/system volume information/", "/windows/system32/config/regback/", "/regback/", "/windows/repair/"):
         at = F.instr(path(), token)
-        out.append(F.when(at > 0, F.trim(F.lit("/"), F.substring(path(), F.lit(1), at + len(token) - 1))))
+        out.append(F.when(at > 0, X.bare(F.substring(path(), F.lit(1), at + len(token) - 1))))
     return F.coalesce(*out, F.lit(""))
 
 
@@ -83,7 +83,7 @@ def browser_profile() -> Column:
     out = []
     for root in (_FIREFOX, *_CHROMIUM):
         got = F.regexp_extract(path(), f"^(.*?{root}[^/]+)/", 1)
-        out.append(F.when(got != "", F.trim(F.lit("/"), got)))
+        out.append(F.when(got != "", X.bare(got)))
     return F.coalesce(*out, F.lit(""))
 
 
@@ -103,7 +103,7 @@ def windows_profile() -> Column:
     out = []
     for marker in ("/appdata/roaming/", "/appdata/local/"):
         at = F.instr(path(), marker)
-        out.append(F.when(at > 1, F.trim(F.lit("/"), F.substring(path(), F.lit(1), at - 1))))
+        out.append(F.when(at > 1, X.bare(F.substring(path(), F.lit(1), at - 1))))
     return F.coalesce(*out, F.lit(""))
 
 
@@ -130,7 +130,7 @@ def aws_matches() -> Column:
 
 def aws_profile() -> Column:
     at = F.instr(path(), "/.aws/")
-    return F.when(at > 1, F.trim(F.lit("/"), F.substring(path(), F.lit(1), at - 1))).otherwise("")
+    return F.when(at > 1, X.bare(F.substring(path(), F.lit(1), at - 1))).otherwise("")
 
 
 _KEY, _SECRET, _SESSION = "^(?:AKIA|ASIA)[A-Z0-9]{16}$", "^[A-Za-z0-9/+=]{40}$", "^[A-Za-z0-9/+=_-]{60,}$"
