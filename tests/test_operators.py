@@ -84,7 +84,7 @@ def test_first_matches_and_lines(spark):
 
 
 def test_gate_follows_rules_and_limits(spark):
-    f = files(spark, ("a/node_modules/x.txt", "t"), ("a/b.png", "t"), ("a/c.zip", "t"), ("a/d.txt", "t"), ("a/e.bin2", "t"))
+    f = files(spark, ("a/node_modules/x.txt", "t"), ("a/b.png", "t"), ("a/c.zip", "t"), ("a/d.txt", "t"), ("a/e.xyz", "t"))
     got = {r["file_id"]: (r["skip_reason"], r["kind"], r["needs_content"]) for r in gating.decide(f, rules.select(rules.default_rules())).collect()}
     assert got == {0: ("matched skip rule", "standard", False), 1: ("matched skip rule", "standard", False), 2: (None, "archive", True), 3: (None, "standard", True), 4: (None, "standard", False)}
 

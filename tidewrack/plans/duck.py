@@ -73,6 +73,7 @@ RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' TH
 
 def hits(rules: list[dict]) -> str:
     """``files`` and ``hits``: matches of name and path detectors, scored by their signals."""
+    rules = [r for r in rules if r["type"] != "content" and r["action"] != "skip"]
     score = "CASE signal_type WHEN 'validated' THEN 40 WHEN 'filename' THEN 18 ELSE 10 END"
     return f"{vfs.CTE}, hits AS (SELECT *, {score} AS confidence_score, {RANK} AS severity_rank FROM ({rule_hits(rules, COLUMNS)} UNION ALL {path_hits(COLUMNS)}))"
 

@@ -269,7 +269,7 @@ def suppression_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.survivors(_hits(spark, sf_dir), SUPPRESSIONS).select("file_id", "rule_id")
 
 
-@_query(f"{_HITS}, s AS (SELECT {_SUPPRESSED} AS suppression_id, {_PRINT} AS f FROM hits), n AS (SELECT *, row_number() OVER (PARTITION BY suppression_id ORDER BY f) AS at FROM s WHERE suppression_id IS NOT NULL) SELECT suppression_id, count(*) AS n, string_agg(f, ';' ORDER BY f) FILTER (WHERE at <= 3) AS samples FROM n GROUP BY suppression_id")
+@_query(f"{_HITS}, s AS (SELECT {_SUPPRESSED} AS suppression_id, {_PRINT} AS f FROM hits), n AS (SELECT *, row_number() OVER (PARTITION BY suppression_id ORDER BY f) AS pos FROM s WHERE suppression_id IS NOT NULL) SELECT suppression_id, count(*) AS n, string_agg(f, ';' ORDER BY f) FILTER (WHERE pos <= 3) AS samples FROM n GROUP BY suppression_id")
 def suppression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppressed findings by rule."""
     return review.suppression_summary(_hits(spark, sf_dir), SUPPRESSIONS)
@@ -281,7 +281,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.exact_dedup(_hits(spark, sf_dir)).select("host", "share", "file_path", "rule_id", "match", "confidence_score")
 
 
-@_query(f"{_HITS}, p AS (SELECT DISTINCT rule_id, category, match, confidence_score, concat_ws('/', lower(host), lower(share), file_path) AS place FROM hits), q AS (SELECT *, row_number() OVER (PARTITION BY rule_id, category, match ORDER BY confidence_score DESC, place) AS at FROM p) SELECT rule_id, category, match, max(CASE WHEN at = 1 THEN place END) AS canonical, count(*) AS n_places, string_agg(place, ';' ORDER BY place) FILTER (WHERE at <= 20) AS places FROM q GROUP BY ALL HAVING count(*) > 1")
+@_query(f"{_HITS}, p AS (SELECT DISTINCT rule_id, category, match, confidence_score, concat_ws('/', lower(host), lower(share), file_path) AS place FROM hits), q AS (SELECT *, row_number() OVER (PARTITION BY rule_id, category, match ORDER BY confidence_score DESC, place) AS pos FROM p) SELECT rule_id, category, match, max(CASE WHEN pos = 1 THEN place END) AS canonical, count(*) AS n_places, string_agg(place, ';' ORDER BY place) FILTER (WHERE pos <= 20) AS places FROM q GROUP BY ALL HAVING count(*) > 1")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Material that stands in several places."""
     return review.duplicate_groups(_hits(spark, sf_dir))
