@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidewrack.llm import _text as X
@@ -150,3 +151,23 @@ def test_sampled_pieces_follow_the_lattice():
     for way, weight in ways.items():
         p = weight / total
         assert abs(seen[way] / n - p) <= 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def test_near_pairs_meet_in_a_grid():
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])
+    data, offsets = X.buffers(table["text"])
+    prints = np.unique(np.concatenate([simhash.simhash(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[1] for a, b in X.pieces(offsets)]), axis=0)
+    left, right = [], []
+    for i in range(len(prints) - 1):
+        j = i + 1 + np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(1) <= simhash.DISTANCE)
+        left.append(np.full(len(j), i))
+        right.append(j)
+    left, right = np.concatenate(left), np.concatenate(right)
+    a, b = prints & np.uint64(simhash._EVEN), prints >> np.uint64(1) & np.uint64(simhash._EVEN)
+    counts = (a ^ b) | ((a & b) << np.uint64(1))
+    for points in (10_000, 1_000_000_000):
+        met = np.zeros(len(left), bool)
+        for mask in simhash._masks(*simhash.grids(points)):
+            m = np.array(mask, np.int64).view(np.uint64)
+            met |= ((counts[left] & m) == (counts[right] & m)).all(1)
+        assert len(left) > 1000 and met.mean() >= 0.9

@@ -15,6 +15,7 @@ costs one pass and a star of edges instead of all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from tidewrack.llm._scratch import cut
 
 #: Greatest Hamming distance of a near copy, of 128 bits.
 DISTANCE = 24
-#: Grids, and coordinates of each.
-TABLES, WIDTH = 64, 14
+#: Grids, and coordinates of each, up to ``POINTS`` documents.
+TABLES, WIDTH, POINTS = 160, 12, 30_000_000
+#: Share of unlike pairs that agree in one coordinate, and of pairs at the limit that differ there: the grids' growth.
+AGREE, GROWTH = 0.375, 1.4
 #: Words of fewer bytes are common words; they count only where a text has no longer ones.
 LONG = 5
 
@@ -101,6 +104,17 @@ def _counts(bits: Column) -> Column:
     return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
+def grids(points: int) -> tuple[int, int]:
+    """Grids and coordinates for a number of documents.
+
+    Unlike pairs that share a cell grow with the documents, so beyond ``POINTS``
+    each further coordinate keeps their number for a document constant, and
+    more grids keep the share of near pairs that meet in one.
+    """
+    more = max(0, math.ceil(math.log(max(points, 1) / POINTS) / -math.log(AGREE)))
+    return round(TABLES * GROWTH**more), WIDTH + more
+
+
 def _masks(tables: int, width: int) -> list[tuple[int, int]]:
     """The coordinates of each grid as masks of the two halves, signed."""
     draw = np.random.default_rng(20)
@@ -174,8 +188,10 @@ def _link_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.R
         yield edges(np.concatenate([c for c, _ in kept]), np.concatenate([p for _, p in kept]))
 
 
-def near_pairs(prints: DataFrame, most: int = DISTANCE, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
-    """Edges between distinct fingerprints (``a_lo a_hi b_lo b_hi``), all within ``most`` bits."""
+def near_pairs(prints: DataFrame, most: int = DISTANCE, tables: int | None = None, width: int | None = None) -> DataFrame:
+    """Edges between distinct fingerprints (``a_lo a_hi b_lo b_hi``), all within ``most`` bits; grids by :func:`grids` unless given."""
+    if tables is None or width is None:
+        tables, width = grids(prints.count())
     points = prints.select("lo", "hi").distinct()
     lo, hi = _counts(F.col("lo")), _counts(F.col("hi"))
     cells = F.array(*[F.xxhash64(F.lit(t), F.col("c_lo").bitwiseAND(F.lit(m)), F.col("c_hi").bitwiseAND(F.lit(n))) for t, (m, n) in enumerate(_masks(tables, width))])
@@ -184,7 +200,7 @@ def near_pairs(prints: DataFrame, most: int = DISTANCE, tables: int = TABLES, wi
     return cells.mapInArrow(lambda b: _link_batches(b, most), "a_lo long, a_hi long, b_lo long, b_hi long").distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int, tables: int, width: int) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int, tables: int | None, width: int | None) -> DataFrame:
     """Fingerprinted rows in groups of two or more: ``id k1 k2 rank keeper``."""
     prints = cut(fingerprints(docs, id_col, text_col))
     pairs = near_pairs(prints, most, tables, width)
@@ -196,7 +212,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int, tables: int
     return rows.withColumn("keeper", F.first("id").over(every))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, tables: int | None = None, width: int | None = None) -> DataFrame:
     """Rows to remove: ``doc_id`` and ``keeper_id``, the row of its group that stays.
 
     A group is what a chain of pairs within ``most`` bits connects; its least
@@ -208,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(docs, id_col, text_col, most, tables, width).where("rank > 1").select(F.col("id").alias("doc_id"), F.col("keeper").alias("keeper_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, tables: int | None = None, width: int | None = None) -> DataFrame:
     """``docs`` without the rows that :func:`near_duplicates` names; same columns.
 
     Of rows that agree in id and text, as many go as are to be removed.
