@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewrack.functions import quality as Q
 from tidewrack.functions import text as X
 from tidewrack.operators import gating, inspect_db, inspect_paths, matching, planner
+from tidewrack.sources.scratch import cut
 
 TYPES = ("validated", "content", "filename", "extension", "path", "share_priority", "planner_priority")
 CAPS = {"content": 40, "validated": 42, "filename": 24, "extension": 14, "path": 12, "share_priority": 12, "planner_priority": 14}
@@ -84,9 +85,10 @@ def raw_findings(files: DataFrame, rules: list[dict], limits: gating.Limits = ga
                                                              "tags": F.array(*[F.lit(t) for t in ("database", "db:source:config", "db:type:server-indicator", "db:ecosystem:oracle")])}))
     out.append(_named(inspect_db.sections(read), base | {"seq": F.lit(3500), "line": F.lit(1), "context": F.col("match"), "tags": either}))
     out.append(_named(inspect_db.connections(read), base | {"seq": F.lit(5000) + F.least(F.col("line"), F.lit(999)), "line": F.col("line"), "context": X.limit(F.col("fragment"), 320), "tags": either}))
-    rows = out[0]
+    # one plan of all parts would take the optimizer longer than the parts take to run
+    rows = cut(out[0])
     for o in out[1:]:
-        rows = rows.unionByName(o)
+        rows = rows.unionByName(cut(o))
     return _tagged(rows)
 
 
@@ -164,7 +166,7 @@ def correlate(raw: DataFrame) -> DataFrame:
     together, add to the score. Context of path, share and plan counts where
     content was found, or where the category doesn't speak of mere files.
     """
-    raw = raw_severity(raw)
+    raw = cut(raw_severity(raw))
     signal = F.col("signal_type")
     firm = F.when(signal == "validated", 4).when(signal == "content", 3).when(signal == "filename", 2).when(signal == "extension", 1).otherwise(0)
     item = F.struct("seq", "rule_id", "severity", X.severity_rank(F.col("severity")).alias("rank"), firm.alias("firm"), "signal_type", "weight", "path_weight", "match", "line", "context", "account", "tags", F.col("confidence").alias("rule_confidence"), F.col("category").alias("cat"), F.col("file_path").alias("fp"))
@@ -205,6 +207,7 @@ def correlate(raw: DataFrame) -> DataFrame:
         best["rule_confidence"].alias("rule_confidence"), "tags", (F.col("s_content") + F.col("s_validated")).alias("content_score"), (F.col("s_filename") + F.col("s_extension")).alias("heuristic_score"),
         (F.col("s_path") + F.col("s_share_priority") + F.col("s_planner_priority")).alias("path_score"), "correlation_score",
     )
+    g = cut(g)
     blob = F.coalesce(*[F.when(X.strip(F.col(c)) != "", F.col(c)) for c in ("context", "match")], F.lit(""))
     g = g.withColumn("quality", finding_quality(F.col("matched_signal_types"), F.col("category"), blob))
     g = g.withColumns({"strong": strong_evidence(F.col("rule_id"), F.col("signal_type"), F.col("quality")), "confidence_score": F.col("base_score"), "confidence": level(F.col("base_score"))})
