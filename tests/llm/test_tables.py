@@ -118,6 +118,33 @@ def test_containment_is_that_of_brute_force(spark):
     assert got[2]["containment"] > 0.8 and got[4]["containment"] == 0 and got[2]["source_id"] == 1
 
 
+def test_containment_of_near_copies_with_scattered_edits(spark):
+    draw = np.random.default_rng(9)
+    rows, want = [], {}
+    for g in range(60):
+        n = 30 if g < 20 else 60 if g < 40 else 300
+        base = prose(n, 500 + g).split(" ")
+        copy = list(base)
+        for j in range(int(draw.integers(0, 20)), n, 20):
+            copy[j % len(copy)] = "edit%d" % draw.integers(0, 10**6)
+        a, b = " ".join(base), "\n".join(copy).upper()
+        rows += [(2 * g, a, "en"), (2 * g + 1, b, "en")]
+        # chunk-free: words in runs of four or more that the other text has too
+        low = b.lower().split()
+        grams = {tuple(a.split()[i : i + 4]) for i in range(n)}
+        held = {i + k for i in range(len(low) - 3) if tuple(low[i : i + 4]) in grams for k in range(4)}
+        want[2 * g + 1] = sum(len(low[i]) + 1 for i in held) / (len(b) + 1)
+    rows += [(1000 + k, prose(200, 900 + k, 10**6), "en") for k in range(20)]
+    got = {r["doc_id"]: r for r in fingerprints.containment(table(spark, rows + rows[:2])).collect()}
+    assert min(want.values()) > 0.5
+    for i, share in want.items():
+        assert 0 < got[i]["containment"] <= share + 0.15 and got[i]["source_id"] == i - 1
+    for lo, hi in ((2, 40), (40, 80), (80, 120)):
+        mine = [i for i in want if lo <= i < hi]
+        assert sum(got[i]["containment"] for i in mine) > 0.65 * sum(want[i] for i in mine)
+    assert all(got[1000 + k]["containment"] == 0 for k in range(20))
+
+
 def test_repeated_spans_are_those_of_sql(spark):
     a, b = prose(130, 1), prose(90, 2)
     rows = [(1, a, "en"), (2, prose(70, 3) + " " + a, "en"), (3, b + " " + a[200:900] + " " + b, "en"), (4, "same " * 200, "en"), (5, prose(60, 4), "en")]
