@@ -171,3 +171,21 @@ def test_near_pairs_meet_in_a_grid():
             m = np.array(mask, np.int64).view(np.uint64)
             met |= ((counts[left] & m) == (counts[right] & m)).all(1)
         assert len(left) > 1000 and met.mean() >= 0.9
+
+
+def test_pairs_at_every_distance_meet_in_a_grid():
+    draw = np.random.default_rng(3)
+    a = draw.integers(0, 1 << 63, (1500, 2), dtype=np.uint64) << np.uint64(1) | draw.integers(0, 2, (1500, 2), dtype=np.uint64)
+    counts = lambda x: (x & np.uint64(simhash._EVEN)) + (x >> np.uint64(1) & np.uint64(simhash._EVEN))
+    for points in (100, 10_000, 300_000, 30_000_000, 1_000_000_000):
+        masks = np.array(simhash._masks(*simhash.grids(points)), np.int64).view(np.uint64)
+        for distance in (12, 20, 24):
+            b = a.copy()
+            for i in range(len(b)):
+                for k in draw.choice(128, distance, replace=False).tolist():
+                    b[i, k // 64] ^= np.uint64(1 << k % 64)
+            apart = counts(a) ^ counts(b)
+            met = np.zeros(len(a), bool)
+            for m in masks:
+                met |= ((apart & m) == 0).all(1)
+            assert met.mean() >= 0.9, (points, distance)

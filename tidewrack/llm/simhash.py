@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from tidewrack.llm._scratch import cut
 
 #: Greatest Hamming distance of a near copy, of 128 bits.
 DISTANCE = 24
-#: Grids, and coordinates of each, up to ``POINTS`` documents.
-TABLES, WIDTH, POINTS = 160, 12, 30_000_000
-#: Share of unlike pairs that agree in one coordinate, and of pairs at the limit that differ there: the grids' growth.
-AGREE, GROWTH = 0.375, 1.4
+#: Unlike points that share a cell with a point, at most, and the share of unlike pairs that agree in one coordinate.
+MATES, AGREE = 300, 0.375
+#: Least chance of a pair at the limit to meet in a grid.
+CHANCE = 0.92
 #: Words of fewer bytes are common words; they count only where a text has no longer ones.
 LONG = 5
 
@@ -104,15 +105,38 @@ def _counts(bits: Column) -> Column:
     return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
-def grids(points: int) -> tuple[int, int]:
+def _agreeing(most: int) -> dict[int, float]:
+    """Chance of each number of equal coordinates, of 64, for fingerprints ``most`` bits apart."""
+    out: dict[int, float] = {}
+    for two in range(max(0, most - 64), most // 2 + 1):  # segments with both bits flipped; half of them keep their count
+        one = most - 2 * two
+        p = math.comb(64, two) * math.comb(64 - two, one) * 2**one / math.comb(128, most)
+        for k in range(two + 1):
+            out[64 - one - two + k] = out.get(64 - one - two + k, 0.0) + p * math.comb(two, k) / 2**two
+    return out
+
+
+@cache
+def grids(points: int, most: int = DISTANCE) -> tuple[int, int]:
     """Grids and coordinates for a number of documents.
 
-    Unlike pairs that share a cell grow with the documents, so beyond ``POINTS``
-    each further coordinate keeps their number for a document constant, and
-    more grids keep the share of near pairs that meet in one.
+    Unlike pairs that share a cell grow with the documents, so the coordinates
+    of a grid grow too, and the number of grids is the least that lets a pair
+    ``most`` bits apart meet with :data:`CHANCE`; nearer pairs meet more often.
+    Few documents are one cell.
     """
-    more = max(0, math.ceil(math.log(max(points, 1) / POINTS) / -math.log(AGREE)))
-    return round(TABLES * GROWTH**more), WIDTH + more
+    agree = _agreeing(most)
+    width = max(0, math.ceil(math.log(max(points, 1) / MATES) / -math.log(AGREE)))
+    while sum(p for a, p in agree.items() if a >= width) <= CHANCE:
+        width -= 1
+    meet = lambda n: sum(p * (1 - (1 - math.comb(a, width) / math.comb(64, width)) ** n) for a, p in agree.items())
+    low, high = 0, 1
+    while meet(high) < CHANCE:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if meet(middle) >= CHANCE else (middle, high)
+    return high, width
 
 
 def _masks(tables: int, width: int) -> list[tuple[int, int]]:
@@ -145,6 +169,7 @@ def link(cell: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, n
     many = np.diff(np.append(begin, size))
     begin, many = begin[many > 1], many[many > 1]
     free = np.ones(size, bool)
+    low = np.ascontiguousarray(prints[:, 0])
     tails, heads = [], []
     while len(begin):
         at = np.cumsum(many) - many
@@ -157,7 +182,8 @@ def link(cell: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, n
         leader = np.repeat(first, many)
         other = index != leader
         a, b = leader[other], index[other]
-        good = _near(prints[a], prints[b], most)
+        good = np.bitwise_count(low[a] ^ low[b]) <= most  # half of the bits rule out most
+        good[good] = _near(prints[a[good]], prints[b[good]], most)
         tails.append(a[good])
         heads.append(b[good])
         free[first] = False
@@ -191,7 +217,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.R
 def near_pairs(prints: DataFrame, most: int = DISTANCE, tables: int | None = None, width: int | None = None) -> DataFrame:
     """Edges between distinct fingerprints (``a_lo a_hi b_lo b_hi``), all within ``most`` bits; grids by :func:`grids` unless given."""
     if tables is None or width is None:
-        tables, width = grids(prints.count())
+        tables, width = grids(prints.count(), most)
     points = prints.select("lo", "hi").distinct()
     lo, hi = _counts(F.col("lo")), _counts(F.col("hi"))
     cells = F.array(*[F.xxhash64(F.lit(t), F.col("c_lo").bitwiseAND(F.lit(m)), F.col("c_hi").bitwiseAND(F.lit(n))) for t, (m, n) in enumerate(_masks(tables, width))])
