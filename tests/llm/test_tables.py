@@ -158,6 +158,16 @@ def test_repeated_spans_are_those_of_sql(spark):
     assert left[2].split() == prose(70, 3).split()
 
 
+def test_the_first_of_repeated_rows_keeps_what_others_share(spark):
+    a = prose(130, 1)
+    other = prose(70, 3) + " " + " ".join(a.split()[20:110]) + " " + prose(70, 4)
+    docs = table(spark, [(1, a, "en"), (1, a, "en"), (2, other, "en")])
+    got = sorted(tuple(r) for r in suffix_dedup.repeated_spans(docs).collect())
+    assert got == [(1, 0, 130), (2, 70, 90)]
+    left = sorted((r["doc_id"], r["text"].split()) for r in suffix_dedup.drop_repeated(docs).collect())
+    assert left == [(1, a.split()), (2, (prose(70, 3) + " " + prose(70, 4)).split())]
+
+
 def test_sampled_pieces_round_trip_and_depend_on_the_row_alone(spark):
     docs = odd(spark).union(table(spark, [(8, "tab\tand  spaces\r\n\x00ünï🙂 ▁mark 漢字", "en")]))
     encoded = sampling.sample_encode(docs, MODEL)

@@ -265,7 +265,10 @@ def _covers(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
     every = every.withColumn("one", F.min("content").over(group) == F.max("content").over(group))
     every = cut(every.where("rank > 1 or turn > 1 or not one or loops").withColumn("whole", F.expr("rank > 1 or turn > 1")).select("id", "k1", "k2", "turn", "cell", "at", "many", "whole"))
     wanted = every.where("not whole").groupBy("k1", "k2").agg(F.collect_set(F.struct("cell", "at", "many")).alias("cells"))
-    found = rows.join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _content_batches(b, window), fields("k1 long, k2 long, cell long, at int, many int, words binary"))
+    # rows alike bring their contents once: the first of them is no copy of the others
+    once = Window.partitionBy("k1", "k2").orderBy(F.lit(0))
+    held = rows.join(wanted, ["k1", "k2"]).withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
+    found = held.mapInArrow(lambda b: _content_batches(b, window), fields("k1 long, k2 long, cell long, at int, many int, words binary"))
     found = found.repartition("cell").sortWithinPartitions("cell", *_order())
     found = found.mapInArrow(lambda b: _factor_batches(b, window), fields("k1 long, k2 long, at int, many int"))
     whole = every.where("whole").select("id", "k1", "k2", "turn", "at", "many")
