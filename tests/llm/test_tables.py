@@ -230,6 +230,17 @@ def test_held_out_languages(spark):
     assert right / n > 0.97
 
 
+def test_a_rare_language_is_learned_whole(spark):
+    draw = np.random.default_rng(6)
+    text = lambda letters: " ".join("".join(draw.choice(list(letters), 5)) for _ in range(30))
+    rows = [(i, text("abcdefgh"), "common") for i in range(2000)] + [(i, text("efghijkl"), "rare") for i in range(2000, 2020)] + [(3000, "123 456", "digits")]
+    docs = table(spark, rows)
+    model = langid.train(docs, sample=20)
+    assert model.languages == ("common", "rare")
+    got = {r["doc_id"]: (r["lang"], r["accepted"]) for r in langid.identify(docs, model).collect()}
+    assert all(got[i] == (label, True) for i, _, label in rows[:-1]) and got[3000] == ("und", False)
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.1"  # at sf0.01 some 40 toxic documents are too few to learn from
     docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewrack.llm import _text as X
 from tidewrack.llm._rows import fresh
 
-#: Rows that the model is fitted on, about: the bound of the training sample.
+#: Rows of each language that the model is fitted on, about: the bound of the training sample.
 SAMPLE = 20_000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -91,21 +91,28 @@ def _count_batches(batches: Iterator[pa.RecordBatch], languages: tuple[str, ...]
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on about ``sample`` labelled rows, chosen by a hash of their ids; None without any.
+    """Fit on at most about ``sample`` labelled rows of each language, chosen by a hash of their ids; None without any.
 
-    Rows with a null label or text don't count.
+    Rows with a null label or text don't count. A language with no more rows
+    than that is learned whole; one whose rows have no n-gram is left out.
     """
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].cast("string").alias("text"), labelled[label_col].cast("string").alias("label")).where("label is not null and text is not null")
     known = rows.groupBy("label").count().collect()  # one row for each language
     if not known:
         return None
-    languages, n = tuple(sorted(r["label"] for r in known)), sum(r["count"] for r in known)
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    languages = tuple(sorted(r["label"] for r in known))
+    large = [x for r in known if r["count"] > sample for x in (F.lit(r["label"]), F.lit(int((1 << 30) * sample / r["count"])))]
+    if large:
+        part = F.coalesce(F.create_map(*large)[F.col("label")], F.lit(1 << 30))
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part)
     counts = rows.select("text", "label").mapInArrow(lambda b: _count_batches(b, languages), "language long, bucket long, n long")
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     for r in counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most BUCKETS rows a language
         np.add.at(table, (r.column("bucket").to_numpy(), r.column("language").to_numpy()), r.column("n").to_numpy())
+    some = table.sum(0) > SMOOTHING * BUCKETS
+    if not some.any():
+        return None
+    languages, table = tuple(x for x, good in zip(languages, some) if good), table[:, some]
     return Model(languages, (np.log(table) - np.log(table.sum(0))).astype(np.float32))
 
 
