@@ -1,27 +1,33 @@
 """SimHash near-duplicate removal by segment-popcount embedding.
 
-Each document has a 128-bit SimHash of its set of words. The fingerprint is
-cut into 64 segments of two bits, and the counts of set bits per segment embed
-it in a grid {0, 1, 2}^64. Flipping one bit moves one count by one, so the
-Manhattan distance of two embeddings never exceeds the Hamming distance.
-
-The range join lays ``tables`` grids over the embedding, each on ``width`` of
-its coordinates, and joins the points of one cell. Within a cell, points are
-compared with leaders: Manhattan distance first, then the exact Hamming
-distance. Every leader is compared with the whole cell and every point is a
-leader or within reach of one, so nothing is capped, and a cell full of copies
-costs one pass and a star of edges instead of all pairs.
+Each document has a 128-bit SimHash of all its words and pairs of neighbouring
+words, weighted by the root of their counts. The fingerprint is cut into 64
+segments of two bits, and the counts of set bits per segment embed it in a grid
+{0, 1, 2}^64. Flipping one bit moves one count by one, so the Manhattan
+distance of two embeddings never exceeds the Hamming distance.
+
+The range join is exact. Of two points within ``most`` bits, one half of the
+fingerprint is within ``most // 2``; cut into ``most // 2 + r`` blocks of whole
+segments, it agrees in at least ``r`` of them, in counts and in bits. So there
+is a grid for each half and each choice of ``r`` blocks, whose cells are the
+values of those blocks: every pair meets in one of them. Points of a cell are
+compared by Manhattan distance first, then by the exact Hamming distance. ``r``
+grows with the number of points to keep cells small; the result doesn't depend
+on it. A small cell gives each of its pairs once, in the first grid where they
+meet; a larger one gives a forest that connects what its pairs connect, and
+pairs that are connected already aren't compared, so a cell full of copies
+costs a few passes and a star of edges.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -32,13 +38,13 @@ from tidewrack.llm._rows import fresh, key, narrow
 from tidewrack.llm._scratch import cut
 
 #: Greatest Hamming distance of a near copy, of 128 bits.
-DISTANCE = 24
-#: Unlike points that share a cell with a point, at most, and the share of unlike pairs that agree in one coordinate.
-MATES, AGREE = 300, 0.375
-#: Least chance of a pair at the limit to meet in a grid.
-CHANCE = 0.92
-#: Words of fewer bytes are common words; they count only where a text has no longer ones.
-LONG = 5
+DISTANCE = 20
+#: Weights of a word and of a pair of words that stand once.
+WORD, PAIR = 16, 8
+#: Unlike points that share a cell with a point, at most on average; more need one more block.
+MATES = 20_000
+#: Points of a cell whose pairs are listed; larger cells are compared in blocks of this many rows.
+SMALL = 64
 
 _EVEN = 0x5555555555555555
 _SPREAD = np.array([int.from_bytes(bytes(v >> b & 1 for b in range(8)), "little") for v in range(256)], np.uint64)
@@ -54,28 +60,48 @@ def _votes(features: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.add.reduceat(lanes, begin, axis=0).view(np.uint8).reshape(-1, 64), at, axis=0, dtype=np.int64)
 
 
+def _counted(features: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different features of each row, their rows and counts."""
+    # a slice has fewer than 2**21 rows with words, so 43 bits are left to tell a row's features apart
+    joint = row.astype(np.uint64) << np.uint64(43) | features >> np.uint64(21)
+    order = np.argsort(joint)
+    features, row, joint = features[order], row[order], joint[order]
+    new = np.ones(len(features), bool)
+    new[1:] = joint[1:] != joint[:-1]
+    at = np.flatnonzero(new)
+    return features[at], row[at], np.diff(np.append(at, len(features)))
+
+
 def simhash(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that have words, and their fingerprints as (rows, 2) ``uint64``."""
     start, end, first = X.word_spans(data, offsets)
     words = X.span_hashes(data, start, end)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    long = end - start >= LONG
-    has = np.zeros(len(offsets) - 1, bool)
-    has[row[long]] = True
-    long |= ~has[row]
-    words, row = words[long], row[long]
-    order = np.lexsort((words, row))
-    words, row = words[order], row[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
-    words, row = words[new], row[new]
-    rows, at = np.unique(row, return_index=True)
+    rows = np.flatnonzero(np.diff(first))
+    row = np.repeat(np.arange(len(rows)), np.diff(first)[rows])
     if not len(rows):
         return rows, np.zeros((0, 2), np.uint64)
-    at = np.append(at, len(words))
-    half = np.diff(at)[:, None]
-    bits = np.concatenate([2 * _votes(X.mix(words + np.uint64(s)), at) > half for s in (1, 2)], axis=1)
-    return rows, np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    votes, total = np.zeros((len(rows), 128), np.int64), np.zeros(len(rows), np.int64)
+    near = row[1:] == row[:-1]
+    pairs = X.mix(words[:-1] * np.uint64(3) + words[1:])[near]
+    for features, of, unit in ((words, row, WORD), (pairs, row[1:][near], PAIR)):
+        if not len(features):
+            continue
+        features, of, count = _counted(features, of)
+        to, at = np.unique(of, return_index=True)
+        at = np.append(at, len(of))
+        weight = np.rint(unit * np.sqrt(count)).astype(np.int64)
+        total[to] += np.add.reduceat(weight, at[:-1])
+        more = np.flatnonzero(weight > unit)
+        owner = of[more]
+        begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(more) else more
+        for half in (0, 1):
+            hashes = X.mix(features + np.uint64(half + 1))
+            votes[to, 64 * half : 64 * half + 64] += unit * _votes(hashes, at)
+            if len(more):
+                bits = np.unpackbits(hashes[more].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+                bits *= (weight[more] - unit).astype(np.int32)[:, None]
+                votes[owner[begin], 64 * half : 64 * half + 64] += np.add.reduceat(bits, begin, axis=0)
+    return rows, np.packbits(2 * votes > total[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
 _PRINTS = T.StructType([T.StructField(n, T.LongType()) for n in ("k1", "k2", "lo", "hi")])
@@ -99,54 +125,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("id", k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(_print_batches, schema)
 
 
-def _counts(bits: Column) -> Column:
-    """Popcounts of all two-bit segments, each in its place."""
-    a, b = bits.bitwiseAND(F.lit(_EVEN)), F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(_EVEN))
-    return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
-
-
-def _agreeing(most: int) -> dict[int, float]:
-    """Chance of each number of equal coordinates, of 64, for fingerprints ``most`` bits apart."""
-    out: dict[int, float] = {}
-    for two in range(max(0, most - 64), most // 2 + 1):  # segments with both bits flipped; half of them keep their count
-        one = most - 2 * two
-        p = math.comb(64, two) * math.comb(64 - two, one) * 2**one / math.comb(128, most)
-        for k in range(two + 1):
-            out[64 - one - two + k] = out.get(64 - one - two + k, 0.0) + p * math.comb(two, k) / 2**two
-    return out
+def grids(points: int, most: int = DISTANCE) -> int:
+    """Blocks that make a cell: the fewest that leave :data:`MATES` unlike points in it. Pairs are found with any number."""
+    half = most // 2
+    r = 1
+    while r < 64 - 2 * half and points * 2.0 ** (-64 * r / (half + r)) > MATES:
+        r += 1
+    return r
 
 
 @cache
-def grids(points: int, most: int = DISTANCE) -> tuple[int, int]:
-    """Grids and coordinates for a number of documents.
-
-    Unlike pairs that share a cell grow with the documents, so the coordinates
-    of a grid grow too, and the number of grids is the least that lets a pair
-    ``most`` bits apart meet with :data:`CHANCE`; nearer pairs meet more often.
-    Few documents are one cell.
-    """
-    agree = _agreeing(most)
-    width = max(0, math.ceil(math.log(max(points, 1) / MATES) / -math.log(AGREE)))
-    while sum(p for a, p in agree.items() if a >= width) <= CHANCE:
-        width -= 1
-    meet = lambda n: sum(p * (1 - (1 - math.comb(a, width) / math.comb(64, width)) ** n) for a, p in agree.items())
-    low, high = 0, 1
-    while meet(high) < CHANCE:
-        low, high = high, 2 * high
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (low, middle) if meet(middle) >= CHANCE else (middle, high)
-    return high, width
-
-
-def _masks(tables: int, width: int) -> list[tuple[int, int]]:
-    """The coordinates of each grid as masks of the two halves, signed."""
-    draw = np.random.default_rng(20)
-    out = []
-    for _ in range(tables):
-        mask = sum(3 << 2 * int(s) for s in draw.choice(64, width, replace=False))
-        lo, hi = mask & (1 << 64) - 1, mask >> 64
-        out.append(tuple(x - (1 << 64) if x >> 63 else x for x in (lo, hi)))
+def blocks(most: int, r: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """Masks of the blocks of a half, of whole segments where there are enough, and the choices of ``r`` of them."""
+    many = most // 2 + r
+    unit = 2 if many <= 32 else 1
+    ends = [unit * (k * (64 // unit) // many) for k in range(many + 1)]
+    masks = np.array([(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])], np.uint64)
+    return masks, list(combinations(range(many), r))
+
+
+def _first_grid(x: np.ndarray, y: np.ndarray, most: int, r: int) -> np.ndarray:
+    """Number of the first grid that pairs share, by the differing bits ``x`` and ``y`` of their halves."""
+    masks, chosen = blocks(most, r)
+    number = {sum(1 << b for b in c): k for k, c in enumerate(chosen)}
+    out = np.full(len(x), -1, np.int64)
+    for k in (1, 0):
+        v = (x, y)[k]
+        equal = np.zeros(len(v), np.int64)
+        for b, m in enumerate(masks):
+            equal |= ((v & m) == 0).astype(np.int64) << b
+        low, left = np.zeros(len(v), np.int64), equal
+        for _ in range(r):
+            bit = left & -left
+            low, left = low | bit, left ^ bit
+        enough = np.bitwise_count(low) == r
+        keys, inverse = np.unique(low[enough], return_inverse=True)
+        out[enough] = np.array([number[c] + k * len(chosen) for c in keys.tolist()], np.int64)[inverse]
     return out
 
 
@@ -162,40 +176,101 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return good
 
 
-def link(cell: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (leader, member) of points sorted by cell: see the module."""
+def _forest(prints: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of one cell that connect exactly the points that its near pairs connect; ``other``: a half to compare first."""
+    m = len(prints)
+    label = np.arange(m)
+    tails, heads = [], []
+
+    def join(i: int, near: np.ndarray) -> None:
+        near = near[label[near] != label[i]]
+        if len(near):
+            labels, at = np.unique(label[near], return_index=True)
+            tails.append(np.full(len(at), i))
+            heads.append(near[at])
+            known = np.zeros(m, bool)
+            known[labels] = True
+            label[known[label]] = label[i]
+
+    free = np.ones(m, bool)
+    while free.any():  # leaders, as long as each of them brings many
+        i = int(free.argmax())
+        near = np.flatnonzero(np.bitwise_count(other ^ other[i]) <= most)
+        near = near[_near(np.broadcast_to(prints[i], (len(near), 2)), prints[near], most)]
+        brought = int(free[near].sum())
+        free[near] = False
+        join(i, near)
+        if 8 * brought < m:
+            break
+    most_points = np.bincount(label, minlength=m)
+    giant = int(most_points.argmax())
+    inside = label == giant if most_points[giant] > 1 else np.zeros(m, bool)
+    order = np.concatenate([np.flatnonzero(~inside), np.flatnonzero(inside)])
+    rows = int((~inside).sum())
+    x = other[order]
+    for lo in range(0, rows, SMALL):
+        hi = min(lo + SMALL, rows)
+        for left in range(lo + 1, m, 1 << 16):
+            right = min(m, left + (1 << 16))
+            a, b = np.nonzero(np.bitwise_count(x[lo:hi, None] ^ x[None, left:right]) <= most)
+            a, b = order[a + lo], order[b + left]
+            good = label[a] != label[b]
+            a, b = a[good], b[good]
+            good = _near(prints[a], prints[b], most)
+            a, b = a[good], b[good]
+            cuts = np.flatnonzero(np.diff(a)) + 1
+            for i, near in zip(a[np.append(0, cuts)].tolist() if len(a) else [], np.split(b, cuts)):
+                join(i, near)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *tails]), np.concatenate([none, *heads])
+
+
+def link(cell: np.ndarray, prints: np.ndarray, most: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of points sorted by cell, see the module; the upper bits of a cell are its grid's number."""
     size = len(cell)
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if size else np.zeros(0, np.int64)
     many = np.diff(np.append(begin, size))
-    begin, many = begin[many > 1], many[many > 1]
-    free = np.ones(size, bool)
-    low = np.ascontiguousarray(prints[:, 0])
+    grid = cell >> _SHIFT
+    per_half = len(blocks(most, r)[1])
     tails, heads = [], []
-    while len(begin):
-        at = np.cumsum(many) - many
-        index = np.arange(many.sum()) + np.repeat(begin - at, many)
-        first = np.minimum.reduceat(np.where(free[index], index, size), at)
-        on = first < size
-        if not on.all():
-            begin, many = begin[on], many[on]
-            continue
-        leader = np.repeat(first, many)
-        other = index != leader
-        a, b = leader[other], index[other]
-        good = np.bitwise_count(low[a] ^ low[b]) <= most  # half of the bits rule out most
-        good[good] = _near(prints[a[good]], prints[b[good]], most)
-        tails.append(a[good])
-        heads.append(b[good])
-        free[first] = False
-        free[b[good]] = False
+    for b, m in zip(begin[many > SMALL].tolist(), many[many > SMALL].tolist()):
+        other = np.ascontiguousarray(prints[b : b + m, 1 if grid[b] < per_half else 0])
+        x, y = _forest(prints[b : b + m], other, most)
+        tails.append(x + b)
+        heads.append(y + b)
+    small = (many > 1) & (many <= SMALL)
+    begin, many = begin[small], many[small]
+    point = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
+    after = np.repeat(begin + many, many) - 1 - point
+    total = np.concatenate([[0], np.cumsum(after)])
+    lo = 0
+    while lo < len(point):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + (1 << 20), "right")) - 1)
+        n = after[lo:hi]
+        a = np.repeat(point[lo:hi], n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], n)
+        good = np.bitwise_count(prints[a, 1] ^ prints[b, 1]) <= most
+        a, b = a[good], b[good]
+        good = _near(prints[a], prints[b], most)
+        a, b = a[good], b[good]
+        apart = prints[a] ^ prints[b]
+        once = _first_grid(apart[:, 0], apart[:, 1], most, r) == grid[a]
+        tails.append(a[once])
+        heads.append(b[once])
+        lo = hi
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *tails]), np.concatenate([none, *heads])
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    def edges(cell: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        a, b = link(cell, prints, most)
-        pair = np.unique(np.concatenate([prints[a], prints[b]], axis=1), axis=0).astype(np.int64, copy=False) if len(a) else np.zeros((0, 4), np.int64)
+#: Bits of a cell below the number of its grid.
+_SHIFT = 48
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch], most: int, r: int) -> Iterator[pa.RecordBatch]:
+    def edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cell, prints = (np.concatenate(x) for x in zip(*parts))
+        a, b = link(cell, prints, most, r)
+        pair = np.concatenate([prints[a], prints[b]], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in pair.T], ["a_lo", "a_hi", "b_lo", "b_hi"])
 
     kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -207,29 +282,38 @@ def _link_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.R
         last = int(np.searchsorted(cell, cell[-1]))
         if last or (kept and kept[-1][0][-1] != cell[0]):
             kept.append((cell[:last], prints[:last]))
-            yield edges(np.concatenate([c for c, _ in kept]), np.concatenate([p for _, p in kept]))
+            yield edges(kept)
             kept = []
         kept.append((cell[last:], prints[last:]))
     if kept:
-        yield edges(np.concatenate([c for c, _ in kept]), np.concatenate([p for _, p in kept]))
+        yield edges(kept)
 
 
-def near_pairs(prints: DataFrame, most: int = DISTANCE, tables: int | None = None, width: int | None = None) -> DataFrame:
-    """Edges between distinct fingerprints (``a_lo a_hi b_lo b_hi``), all within ``most`` bits; grids by :func:`grids` unless given."""
-    if tables is None or width is None:
-        tables, width = grids(prints.count(), most)
-    points = prints.select("lo", "hi").distinct()
-    lo, hi = _counts(F.col("lo")), _counts(F.col("hi"))
-    cells = F.array(*[F.xxhash64(F.lit(t), F.col("c_lo").bitwiseAND(F.lit(m)), F.col("c_hi").bitwiseAND(F.lit(n))) for t, (m, n) in enumerate(_masks(tables, width))])
-    cells = points.select("lo", "hi", lo.alias("c_lo"), hi.alias("c_hi")).select(F.explode(cells).alias("cell"), "lo", "hi")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "lo", "hi")
-    return cells.mapInArrow(lambda b: _link_batches(b, most), "a_lo long, a_hi long, b_lo long, b_hi long").distinct()
+def near_pairs(prints: DataFrame, most: int = DISTANCE, r: int | None = None) -> DataFrame:
+    """Edges between distinct fingerprints (``a_lo a_hi b_lo b_hi``), all within ``most`` bits.
 
-
-def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int, tables: int | None, width: int | None) -> DataFrame:
+    They connect exactly the fingerprints that all such pairs connect.
+    """
+    points = cut(prints.select("lo", "hi").distinct())
+    if r is None:
+        r = grids(points.count(), most)
+    masks, chosen = blocks(most, r)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [signed(sum(int(masks[b]) for b in c)) for c in chosen]
+    low = (1 << _SHIFT) - 1
+    cell = lambda t, half, m: F.xxhash64(F.lit(t), F.col(half).bitwiseAND(F.lit(m))).bitwiseAND(F.lit(low)) + F.lit(t << _SHIFT)
+    cells = F.array(*[cell(k * len(masks) + t, half, m) for k, half in enumerate(("lo", "hi")) for t, m in enumerate(masks)])
+    # few bytes become many rows: tasks aren't counted by the bytes that AQE would merge them by
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.repartition(tasks, "lo", "hi").select(F.explode(cells).alias("cell"), "lo", "hi")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "lo", "hi")
+    return rows.mapInArrow(lambda b: _link_batches(b, most, r), "a_lo long, a_hi long, b_lo long, b_hi long").distinct()
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int, r: int | None) -> DataFrame:
     """Fingerprinted rows in groups of two or more: ``id k1 k2 rank keeper``."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    pairs = near_pairs(prints, most, tables, width)
+    pairs = near_pairs(prints, most, r)
     labels = components(pairs.select(F.xxhash64("a_lo", "a_hi").alias("a"), F.xxhash64("b_lo", "b_hi").alias("b")))
     rows = prints.withColumn("node", F.xxhash64("lo", "hi")).join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
     near = Window.partitionBy("group").orderBy(F.col("id").asc_nulls_last(), "k1", "k2")
@@ -238,24 +322,24 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, most: int, tables: int
     return rows.withColumn("keeper", F.first("id").over(every))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, tables: int | None = None, width: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, r: int | None = None) -> DataFrame:
     """Rows to remove: ``doc_id`` and ``keeper_id``, the row of its group that stays.
 
-    A group is what a chain of pairs within ``most`` bits connects; its least
-    id stays (a null id only where there is no other). Repeated rows are a
+    A group is what a chain of pairs within ``most`` bits connects, and no such
+    pair is missed; its least id stays (a null id only where there is no other). Repeated rows are a
     group of their own, of which one stays. Texts that are null, empty or only
     white space have no fingerprint and are in no group. An empty table gives
     no rows. Extra columns are ignored, whatever their names.
     """
-    return _grouped(docs, id_col, text_col, most, tables, width).where("rank > 1").select(F.col("id").alias("doc_id"), F.col("keeper").alias("keeper_id"))
+    return _grouped(docs, id_col, text_col, most, r).where("rank > 1").select(F.col("id").alias("doc_id"), F.col("keeper").alias("keeper_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, tables: int | None = None, width: int | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE, r: int | None = None) -> DataFrame:
     """``docs`` without the rows that :func:`near_duplicates` names; same columns.
 
     Of rows that agree in id and text, as many go as are to be removed.
     """
-    gone = _grouped(docs, id_col, text_col, most, tables, width).groupBy("k1", "k2").agg(F.count(F.when(F.col("rank") > 1, 1)).alias("gone"), F.count("*").alias("all"))
+    gone = _grouped(docs, id_col, text_col, most, r).groupBy("k1", "k2").agg(F.count(F.when(F.col("rank") > 1, 1)).alias("gone"), F.count("*").alias("all"))
     gone = gone.where("gone > 0")
     a, b, n, r = fresh(docs, "k1", "k2", "gone", "turn")
     k1, k2 = key(docs[id_col], docs[text_col].cast("string"))
