@@ -1,15 +1,17 @@
 """Sampled segmentations by forward filtering and backward sampling.
 
-The vocabulary is that of a SentencePiece model, read from its file. A text is
-cut into units that no piece crosses: a unit begins at each space and at each
-new line. For every different unit the lattice of pieces is built once, forward
-sums give the probability of each piece at each end, and every occurrence then
-draws its pieces backwards from its end. All draws come from a hash of the
-row's key and the place in the text, so a row's sample depends on nothing else.
-
-A piece's weight is ``(rank + 3) ** -sharpness`` by its rank among the model's
-scores. Characters that no piece covers become byte pieces, so does the mark
-that stands for a space; decoding is therefore lossless.
+The vocabulary is that of a SentencePiece model, read from its file, and the
+lattice is the whole one: all of its pieces, wherever they match. A text is cut
+into units between two bytes that no piece has side by side, so no piece could
+cross a cut. For every different unit the lattice is built once, forward sums
+give the probability of each piece at each end, and every occurrence then draws
+its pieces backwards from its end. All draws come from a hash of the row's key
+and the place in the text, so a row's sample depends on nothing else.
+
+A piece's weight is ``exp(sharpness * score)`` where the model's scores are log
+probabilities. The scores of a BPE model are ranks, and its pieces weigh
+``(rank + 3) ** -sharpness``. Characters that no piece covers become byte
+pieces, so does the mark that stands for a space; decoding is therefore lossless.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tidewrack.llm import _text as X
 SHARPNESS = 1.0
 SEED = 0
 #: Bytes of different units whose lattices a worker keeps.
-KEPT_BYTES = 4 << 20
+KEPT_BYTES = 1 << 20
 #: Bytes of units whose lattices are built at a time.
 ADDED_BYTES = 1 << 17
 _MARK = "▁".encode()
@@ -45,7 +47,7 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         count = model.get_piece_size()
         order = sorted((i for i in range(count) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))), key=lambda i: (-model.get_score(i), i))
-        rank = {i: k for k, i in enumerate(order)}
+        usual = set(order)
         self.byte = np.full(256, -1, np.int64)
         self.text: dict[int, bytes] = {}
         found: dict[bytes, int] = {}
@@ -55,17 +57,23 @@ class Vocabulary:
                 b = int(piece[3:5], 16)
                 self.byte[b] = i
                 self.text[i] = bytes([b])
-            elif i in rank:
+            elif i in usual:
                 raw = piece.encode().replace(_MARK, b" ")
-                if raw.count(b" ") == (1 if raw[:1] == b" " else 0):  # a unit has no space but its first
-                    found[raw] = i
+                found[raw] = i
                 self.text[i] = raw
         if (self.byte < 0).any():
             raise ValueError("the model has no byte pieces, so it can't encode every text")
-        self.weight = np.zeros(count)
-        for i, k in rank.items():
-            self.weight[i] = (k + 3.0) ** -sharpness
-        self.weight[self.byte] = (count + 3.0) ** -sharpness
+        self.weight = np.zeros(count)  # logarithms
+        scores = np.array([model.get_score(i) for i in order])
+        ranks = bool((scores == np.rint(scores)).all())
+        self.weight[order] = -sharpness * np.log(np.arange(len(order)) + 3.0) if ranks else sharpness * scores
+        self.weight[self.byte] = -sharpness * np.log(count + 3.0) if ranks else sharpness * (scores.min() - 10.0)
+        #: Bytes that stand side by side within a piece.
+        self.inner = np.zeros((256, 256), bool)
+        for piece in found:
+            raw = np.frombuffer(piece, np.uint8)
+            self.inner[raw[:-1], raw[1:]] = True
+        self.inner[:, 0x80:0xC0] = True  # a character is never cut
         self.longest = max(map(len, found))
         self.single = {p for p in found if len(p.decode()) == 1}
         self.pieces = found
@@ -176,7 +184,7 @@ class Lattices:
         fresh = np.zeros(len(flat) + 1, bool)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
         fresh[off[:-1]] = True
-        weight = np.log(self.vocab.weight[p])
+        weight = self.vocab.weight[p]
         share = np.empty(len(a))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             x = np.where(fresh[a[lo:hi]], 0.0, log[a[lo:hi]]) + weight[lo:hi]
@@ -251,8 +259,8 @@ def encode_rows(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, lattice
     n = len(data)
     if not n:
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    cut = (data == 32) | (data == 10)
-    cut[1:] |= data[:-1] == 10
+    cut = np.zeros(n, bool)
+    cut[1:] = ~lattices.vocab.inner[data[:-1], data[1:]]
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     start = np.flatnonzero(cut)
     end = np.append(start[1:], n)
