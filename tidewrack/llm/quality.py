@@ -16,6 +16,10 @@ from tidewrack.llm._rows import fresh
 #: Greatest share of a text's characters that its failing lines may hold.
 MOST_LOST = 0.5
 
+#: Line ends of all systems, and what is trimmed from a line.
+LINE_END = "\r\n|[\n\r\u0085\u2028\u2029]"
+BLANKS = " \t\f\v\u00a0\u2007\u202f\u3000\ufeff"
+
 #: A line ends a sentence, perhaps inside quotes or brackets.
 ENDING = "[.!?:;…。！？][\"'”’»)\\]]*$"
 #: Runs of marks that prose doesn't have; more than one to ten words fails a line.
@@ -25,7 +29,10 @@ ENTRIES = " [|>/›»•·] "
 BOILERPLATE = (
     "(?i)(all rights reserved|licen[cs]ed under|released under the|under the gnu|terms of (use|service)|privacy policy|"
     "cookie policy|uses cookies|enable javascript|requires javascript|subscribe to our|sign up for|log in to|sign in to|"
-    "click here|read more|share this|follow us|skip to (main )?content|copyright ©|© ?[12][0-9]{3}|lorem ipsum)"
+    "click here|read more|share this|follow us|skip to (main )?content|copyright ©|© ?[12][0-9]{3}|lorem ipsum|"
+    "alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|verwendet cookies|cookie-richtlinie|hier klicken|mehr lesen|weiterlesen|folgen sie uns|newsletter abonnieren|"
+    "tous droits réservés|conditions d'utilisation|politique de confidentialité|utilise des cookies|cliquez ici|en savoir plus|suivez-nous|abonnez-vous|"
+    "todos los derechos reservados|condiciones de uso|política de privacidad|utiliza cookies|haga clic aquí|leer más|síguenos|suscríbete)"
 )
 
 
@@ -34,6 +41,9 @@ PHRASES = (
     "all rights reserved", "licenced under", "licensed under", "released under the", "under the gnu", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "uses cookies", "enable javascript", "requires javascript", "subscribe to our", "sign up for", "log in to", "sign in to",
     "click here", "read more", "share this", "follow us", "skip to main content", "skip to content", "copyright ©", "lorem ipsum",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "cookie-richtlinie", "hier klicken", "mehr lesen", "weiterlesen", "folgen sie uns", "newsletter abonnieren",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "cliquez ici", "en savoir plus", "suivez-nous", "abonnez-vous",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "utiliza cookies", "haga clic aquí", "leer más", "síguenos", "suscríbete",
 )
 DATED = "© ?[12][0-9]{3}"
 #: Marks that end a sentence, and those that may follow.
@@ -47,7 +57,7 @@ def line_passes(line: Column) -> Column:
     :data:`BOILERPLATE`. Fixed phrases are searched as they are, and words are
     counted only in lines that have marks or separators at all.
     """
-    words = F.regexp_count(line, F.lit("[^ \t]+"))
+    words = F.regexp_count(line, F.lit(f"[^{BLANKS}]+"))
     ended = F.substring(F.rtrim(line, F.lit(CLOSERS)), -1, 1).isin(*ENDS)
     clean = ~line.rlike(MARKS) | (F.regexp_count(line, F.lit(MARKS)) * 10 <= words)
     separators = F.regexp_count(line, F.lit(ENTRIES))
@@ -65,7 +75,7 @@ def _judged(docs: DataFrame, text_col: str, most_lost: float) -> tuple[DataFrame
     """
     one, good, before, after = fresh(docs, "one", "good", "before", "after")
     length = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x))
-    split = F.filter(F.transform(F.split(docs[text_col].cast("string"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    split = F.filter(F.transform(F.split(docs[text_col].cast("string"), LINE_END), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
     kept = lambda x: F.struct(length(x).alias("before"), F.filter(x, line_passes).alias("good"))
     counted = lambda x: F.struct(x["before"].alias("before"), x["good"].alias("good"), length(x["good"]).alias("after"))
     out = docs.select("*", F.explode(F.transform(F.transform(F.array(split), kept), counted)).alias(one))
@@ -77,8 +87,9 @@ def _judged(docs: DataFrame, text_col: str, most_lost: float) -> tuple[DataFrame
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", most_lost: float = MOST_LOST) -> DataFrame:
     """``docs`` with failing lines removed and without documents that lost too much.
 
-    Same columns; ``chars_col``, where there is one, is counted anew. Lines are
-    trimmed and empty ones dropped, which counts as no loss. A text that is
+    Same columns; ``chars_col``, where there is one, is counted anew. Lines may
+    end as on any system and are joined by line feeds; they are trimmed of all
+    white space and empty ones dropped, which counts as no loss. A text that is
     null, empty, or left without a line is rejected; repeated rows are judged
     alike, each by itself; an empty table gives no rows.
     """
@@ -104,15 +115,15 @@ def _quoted(pattern: str) -> str:
 
 SQL = f"""
 WITH split AS (
-  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '{LINE_END}'), lambda x: trim(x, '{BLANKS}')), lambda x: x <> '') AS lines
   FROM documents
 ), judged AS (
   SELECT doc_id, lines, list_filter(lines, lambda x:
     regexp_matches(x, '{_quoted(ENDING)}')
-    AND len(regexp_extract_all(x, '{MARKS}')) * 10 <= len(regexp_extract_all(x, '[^ \t]+'))
+    AND len(regexp_extract_all(x, '{MARKS}')) * 10 <= len(regexp_extract_all(x, '[^{BLANKS}]+'))
     AND NOT (len(regexp_extract_all(x, '{ENTRIES}')) >= 2
-      AND len(regexp_extract_all(x, '[^ \t]+')) - len(regexp_extract_all(x, '{ENTRIES}')) <= 4 * (len(regexp_extract_all(x, '{ENTRIES}')) + 1))
-    AND NOT regexp_matches(x, '{BOILERPLATE}')) AS good
+      AND len(regexp_extract_all(x, '[^{BLANKS}]+')) - len(regexp_extract_all(x, '{ENTRIES}')) <= 4 * (len(regexp_extract_all(x, '{ENTRIES}')) + 1))
+    AND NOT regexp_matches(x, '{_quoted(BOILERPLATE)}')) AS good
   FROM split
 ), counted AS (
   SELECT doc_id, array_to_string(good, chr(10)) AS text, CAST(len(good) AS INTEGER) AS n_lines,
