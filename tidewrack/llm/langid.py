@@ -2,7 +2,7 @@
 
 Training counts n-grams of a bounded sample of labelled rows; the result is a
 matrix of log probabilities, buckets x languages, whose size the parameters
-fix. It is broadcast, and each batch of texts is scored by gathering its
+bound, and the languages' shares as prior. It is broadcast, and each batch of texts is scored by gathering its
 n-grams' rows and summing them per text.
 """
 
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm import _text as X
-from tidewrack.llm._rows import fresh
+from tidewrack.llm._rows import fresh, key
 
 #: Rows of each language that the model is fitted on, about: the bound of the training sample.
 SAMPLE = 20_000
+#: Languages of a model, at most; of more the most frequent are learned.
+LANGUAGES = 256
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
@@ -30,10 +32,11 @@ MARGIN = 0.02
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order, and the log-probability matrix (buckets, languages)."""
+    """Languages in order, the log-probability matrix (buckets, languages), and the languages' log shares of the labelled rows."""
 
     languages: tuple[str, ...]
     table: np.ndarray
+    prior: np.ndarray
 
 
 def _letters() -> np.ndarray:
@@ -91,20 +94,24 @@ def _count_batches(batches: Iterator[pa.RecordBatch], languages: tuple[str, ...]
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most about ``sample`` labelled rows of each language, chosen by a hash of their ids; None without any.
+    """Fit on at most about ``sample`` labelled rows of each language, chosen by a hash of id and text; None without any.
 
-    Rows with a null label or text don't count. A language with no more rows
-    than that is learned whole; one whose rows have no n-gram is left out.
+    Rows with a null label or text don't count, and of rows alike in the sample
+    one is learned, so that the bound holds whatever repeats, null ids too. A
+    language with no more rows than ``sample`` is learned whole; one whose rows
+    have no n-gram is left out, and so are all but the :data:`LANGUAGES` most
+    frequent labels (ties: first in the alphabet).
     """
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].cast("string").alias("text"), labelled[label_col].cast("string").alias("label")).where("label is not null and text is not null")
-    known = rows.groupBy("label").count().collect()  # one row for each language
+    known = rows.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(LANGUAGES).collect()
     if not known:
         return None
-    languages = tuple(sorted(r["label"] for r in known))
-    large = [x for r in known if r["count"] > sample for x in (F.lit(r["label"]), F.lit(int((1 << 30) * sample / r["count"])))]
-    if large:
-        part = F.coalesce(F.create_map(*large)[F.col("label")], F.lit(1 << 30))
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part)
+    shares = {r["label"]: r["count"] for r in known}
+    languages = tuple(sorted(shares))
+    k1, k2 = key(F.col("id"), F.col("text"))
+    part = F.create_map(*[x for r in known for x in (F.lit(r["label"]), F.lit(int((1 << 30) * min(1.0, sample / r["count"]))))])[F.col("label")]
+    rows = rows.withColumns({"k1": k1, "k2": k2}).where(F.pmod("k1", F.lit(1 << 30)) < part)
+    rows = rows.groupBy("k1", "k2", "label").agg(F.first("text").alias("text"))
     counts = rows.select("text", "label").mapInArrow(lambda b: _count_batches(b, languages), "language long, bucket long, n long")
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     for r in counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most BUCKETS rows a language
@@ -113,7 +120,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not some.any():
         return None
     languages, table = tuple(x for x, good in zip(languages, some) if good), table[:, some]
-    return Model(languages, (np.log(table) - np.log(table.sum(0))).astype(np.float32))
+    prior = np.log(np.array([shares[x] for x in languages]) / sum(shares[x] for x in languages))
+    return Model(languages, (np.log(table) - np.log(table.sum(0))).astype(np.float32), prior)
 
 
 def score(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +130,7 @@ def score(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     _, offsets = X.buffers(column)
     for lo, hi in X.pieces(offsets):
         bucket, row = grams(column, lo, hi)
-        sums = np.stack([np.bincount(row, model.table[:, k][bucket], hi - lo) for k in range(len(model.languages))], axis=1)
+        sums = np.stack([np.bincount(row, model.table[:, k][bucket], hi - lo) for k in range(len(model.languages))], axis=1) + model.prior
         many[lo:hi] = np.bincount(row, minlength=hi - lo)
         order = np.sort(sums, axis=1)
         best[lo:hi] = np.where(many[lo:hi] > 0, sums.argmax(1), -1)
@@ -148,7 +156,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     everything if no row is labelled. Ties go to the language first in the
     alphabet and have no margin. Repeated rows are scored alike.
     """
-    model = model or train(docs, id_col, text_col, label_col) or Model((), np.zeros((BUCKETS, 0), np.float32))
+    model = model or train(docs, id_col, text_col, label_col) or Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     if not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang"), F.lit(0.0).alias("margin"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("accepted"))
