@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm import _text as X
+from tidewrack.llm._scratch import cut
 
 #: Labelled rows of each class that the model is fitted on: the bound of the training sample.
 SAMPLE = 40_000
@@ -116,30 +117,28 @@ def _rate(scores: np.ndarray, chance: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most about ``sample`` labelled rows of each class, chosen by a hash of their ids.
 
-    Rows with a null id, label or text don't count; without both classes the
-    model has no evidence. The sample's ids are broadcast: the bound limits them.
+    Rows with a null id or text, or a label that is neither 0 nor 1, don't
+    count; of several labels of an id the greatest counts; without both classes
+    the model has no evidence. The sample's ids are broadcast: the bound limits them.
     """
-    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).where("id is not null and toxic is not null").dropDuplicates(["id"])
+    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     part = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part * float(1 << 30))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null").join(F.broadcast(known), "id").select("text", "toxic")
-    counts = rows.mapInArrow(_count_batches, "token long, y long, n long").groupBy("token").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).where("y + n > 1").persist()
-    try:
-        total = counts.agg(F.sum("y").alias("y"), F.sum("n").alias("n")).first()
-        if not total["y"] or not total["n"]:
-            return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-        y_all, n_all = float(total["y"]), float(total["n"])
-        a = (F.col("y") + F.col("n")) * PRIOR
-        a_all = (y_all + n_all) * PRIOR
-        odds = F.log((F.col("y") + a) / (y_all + a_all - F.col("y") - a)) - F.log((F.col("n") + a) / (n_all + a_all - F.col("n") - a))
-        z = odds / F.sqrt(1 / (F.col("y") + a) + 1 / (F.col("n") + a))
-        good = (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)
-        found = counts.select("token", "y", odds.alias("odds"), z.alias("z"), ((F.col("n") + a) / (n_all + a_all)).alias("chance")).where(good).toArrow()
-    finally:
-        counts.unpersist()
+    counts = cut(rows.mapInArrow(_count_batches, "token long, y long, n long").groupBy("token").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).where("y + n > 1"))
+    total = counts.agg(F.sum("y").alias("y"), F.sum("n").alias("n")).first()
+    if not total["y"] or not total["n"]:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    y_all, n_all = float(total["y"]), float(total["n"])
+    a = (F.col("y") + F.col("n")) * PRIOR
+    a_all = (y_all + n_all) * PRIOR
+    odds = F.log((F.col("y") + a) / (y_all + a_all - F.col("y") - a)) - F.log((F.col("n") + a) / (n_all + a_all - F.col("n") - a))
+    z = odds / F.sqrt(1 / (F.col("y") + a) + 1 / (F.col("n") + a))
+    good = (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)
+    found = counts.select("token", "y", odds.alias("odds"), z.alias("z"), ((F.col("n") + a) / (n_all + a_all)).alias("chance")).where(good).toArrow()
     token = found.column("token").to_numpy().view(np.uint64)
     order = np.argsort(token)
     token, y, scores, chance = token[order], *(found.column(c).to_numpy()[order] for c in ("y", "odds", "chance"))
