@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 from tidewrack.llm._scratch import cut
 
 SHARDS = 16
-#: Ranges that the prefix sums are taken over.
+#: Ranges that the prefix sums are taken over, at least; more where the session shuffles into more partitions.
 RANGES = 256
+#: Bounds that one step of the search for a range tells apart.
+STEP = 64
 
 
 def _bounds(rows: DataFrame, ranges: int) -> list:
@@ -26,18 +28,24 @@ def _bounds(rows: DataFrame, ranges: int) -> list:
 
 
 def _range(rank: Column, bounds: list) -> Column:
-    """Number of bounds that are at most ``rank``, by binary search; -1 for null."""
+    """Number of bounds that are at most ``rank``, -1 for null: first every ``STEP``-th bound is searched, then those behind it."""
+    coarse = bounds[STEP - 1 :: STEP]
 
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         middle = (lo + hi) // 2
-        return F.when(rank < bounds[middle], search(lo, middle)).otherwise(search(middle + 1, hi))
+        return F.when(rank < coarse[middle], search(lo, middle)).otherwise(search(middle + 1, hi))
 
-    return F.when(rank.isNull(), -1).otherwise(search(0, len(bounds)))
+    if not bounds:
+        return F.when(rank.isNull(), -1).otherwise(0)
+    fine = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[k : k + STEP]]) for k in range(0, len(bounds), STEP)])
+    chunk = search(0, len(coarse))
+    within = F.size(F.filter(F.coalesce(F.get(fine, chunk), F.array().cast("array<bigint>")), lambda b: b <= rank))
+    return F.when(rank.isNull(), -1).otherwise(chunk * STEP + within)
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Each row's shard: ``doc_id``, ``n_bytes``, ``byte_start`` and ``shard_id``.
 
     Rows are ordered by id, null ids first; ties by size. ``byte_start`` is the
@@ -49,9 +57,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """
     sized = cut(docs.select(docs[id_col].alias("doc_id"), F.coalesce(F.octet_length(docs[text_col].cast("string")), F.lit(0)).cast("long").alias("n_bytes")))
     ranked = sized.withColumn("rank", F.col("doc_id").cast("long"))
-    bounds = _bounds(ranked, ranges)
+    bounds = _bounds(ranked, ranges or max(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     ranked = ranked.withColumn("range", _range(F.col("rank"), bounds))
-    totals = ranked.groupBy("range").agg(F.sum("n_bytes").alias("bytes")).orderBy("range").collect()  # at most RANGES + 1 rows
+    totals = ranked.groupBy("range").agg(F.sum("n_bytes").alias("bytes")).orderBy("range").collect()  # a row for each range
     offsets, at = [], 0
     for row in totals:
         offsets.append((row["range"], at))
