@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import wraps
+from typing import TypeVar
+
+from pyspark.errors import utils
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.regex import to_java
 
+_Made = TypeVar("_Made")
+
+
+def untraced(make: Callable[..., _Made]) -> Callable[..., _Made]:
+    """``make`` without a note of the Python line for each Column: with thousands of them the notes take most of the driver's time."""
+
+    @wraps(make)
+    def run(*args, **kwargs):
+        was = getattr(utils, "_enable_debugging_cache", None)
+        utils._enable_debugging_cache = False
+        try:
+            return make(*args, **kwargs)
+        finally:
+            utils._enable_debugging_cache = was
+
+    return run
+
+
 BLANK = "[\\s\\u0085\\u00a0]+"
 
 
@@ -15,6 +38,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def aside(value: Column) -> Column:
+    """The value computed outside of generated code: large expressions don't fit into one method."""
+    return F.get(F.transform(F.array(F.lit(0)), lambda _: value), F.lit(0))
+
+
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with columns that no optimizer rule copies into the expressions that use them."""
+    at = "__once"
+    rows = rows.select("*", F.explode(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))).alias(at))
+    return rows.withColumns({n: F.col(f"{at}.{n}") for n in values}).drop(at)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(F.regexp_replace(c, "^" + BLANK, ""), BLANK + "$", "")

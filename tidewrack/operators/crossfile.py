@@ -163,6 +163,7 @@ KINDS = {
 }
 
 
+@X.untraced
 def anchors(findings: DataFrame) -> DataFrame:
     """One row for each kind, host, share and context: a map of its families' anchors.
 
@@ -184,6 +185,7 @@ def anchors(findings: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("family", keep.alias("anchor")))).alias("anchors"))
 
 
+@X.untraced
 def correlated(findings: DataFrame) -> DataFrame:
     """The findings that follow from several others; where a place has one of the rule already, none is added."""
     rows = findings if "archive_path" in findings.columns else findings.withColumn("archive_path", F.lit(""))
@@ -193,6 +195,7 @@ def correlated(findings: DataFrame) -> DataFrame:
     return new.join(there, ["host", "share", "file_path", "rule_id"], "left_anti").select(*COLUMNS)
 
 
+@X.untraced
 def exposure_paths(found: DataFrame, top: int | None = None) -> DataFrame:
     """Correlated findings as ways in, ranked by how exploitable they are; ``top`` cuts the list.
 

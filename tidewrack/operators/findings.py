@@ -32,16 +32,23 @@ def _weight(signal: Column) -> Column:
 
 
 def _numbered(matches: Column, start: int, with_path: bool) -> Column:
-    return F.transform(matches, lambda m, i: F.struct((F.lit(start) + i).alias("seq"), F.lit(with_path).alias("p"), m.alias("m")))
+    """Matches of a detector as hits, numbered from ``start``; a path signal may go with them."""
+    fields = lambda m, i: {
+        "seq": F.lit(start) + i, "rule_id": m["rule_id"], "rule_type": m["rule_type"], "signal_type": m["signal_type"], "category": m["category"], "severity": m["severity"], "confidence": m["confidence"], "match": m["match"],
+        "line": m["line"], "context": m["text"], "account": F.lit(""), "tags": m["tags"], "weight": _weight(m["signal_type"]), "path_weight": F.lit(12 if with_path else 0),
+    }
+    return F.transform(matches, lambda m, i: _hit_struct(fields(m, i)))
 
 
-def _inspected(files: DataFrame, groups: list[tuple[int, Column, bool]]) -> DataFrame:
-    """Hits of inspectors; ``groups``: first sequence number, match array, and whether a path signal goes with it."""
-    arrays = [_numbered(a, s, p) for s, a, p in groups]
-    rows = files.select("*", F.explode(F.concat(*arrays)).alias("h"))
-    v = {n: F.col(f"h.m.{n}") for n in ("rule_id", "rule_type", "signal_type", "category", "severity", "confidence", "match", "line", "tags")}
-    v |= {"seq": F.col("h.seq"), "context": F.col("h.m.text"), "account": F.lit(""), "weight": _weight(F.col("h.m.signal_type")), "path_weight": F.when(F.col("h.p"), 12).otherwise(0)}
-    return _named(rows, v)
+def _hit_struct(values: dict[str, Column]) -> Column:
+    kinds = dict(c.split() for c in HIT.split(", "))
+    return F.struct(*[values[n].cast(k).alias(n) for n, k in kinds.items()])
+
+
+def _of_rule(h: Column, content: bool) -> Column:
+    values = {n: h[n] for n in ("seq", "rule_id", "rule_type", "category", "severity", "confidence", "match", "tags")} | {"signal_type": h["rule_type"], "weight": _weight(h["rule_type"]), "path_weight": F.lit(0)}
+    more = {"line": h["line"], "context": X.limit(h["context"], 320), "account": X.limit(h["account"], 160)} if content else {"line": F.lit(0), "context": F.lit(""), "account": F.lit("")}
+    return _hit_struct(values | more)
 
 
 def _tagged(rows: DataFrame) -> DataFrame:
@@ -50,12 +57,14 @@ def _tagged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tags", F.concat("tags", more))
 
 
+@X.untraced
 def planned(files: DataFrame) -> DataFrame:
     """``files`` with the priorities of a plan."""
     shares = planner.score_shares(files.drop("priority", "reason")).withColumnRenamed("priority", "share_priority").drop("reason")
     return planner.score_files(shares)
 
 
+@X.untraced
 def raw_findings(files: DataFrame, rules: list[dict], limits: gating.Limits = gating.Limits()) -> DataFrame:
     """All hits of rules and inspectors on files that aren't skipped, in the order ``seq`` within a file.
 
@@ -63,20 +72,18 @@ def raw_findings(files: DataFrame, rules: list[dict], limits: gating.Limits = ga
     members come back as files. ``files`` needs the planner's columns.
     """
     looked = gating.decide(files, rules, limits).where("skip_reason is null and kind in ('standard', 'sqlite')").drop("skip_reason", "skip_rule", "kind")
-    read = looked.where("needs_content and text <> ''").drop("needs_content")
-    looked = looked.drop("needs_content")
-    flat = {n: F.col(n) for n in ("seq", "rule_id", "rule_type", "category", "severity", "confidence", "match", "tags")}
-    signal = F.col("rule_type")
-    named = matching.metadata_matches(looked, rules)
-    out = [_named(named, flat | {"signal_type": signal, "line": F.lit(0), "context": F.lit(""), "account": F.lit(""), "weight": _weight(signal), "path_weight": F.lit(0)})]
-    out.append(_inspected(looked.drop("text"), [
-        (200, inspect_paths.backup_matches(), True), (220, inspect_paths.aws_matches(), True), (240, inspect_paths.browser_matches(), True),
-        (260, inspect_db.artifact_matches(), False), (280, inspect_paths.windows_matches(), True),
-    ]))
-    found = matching.drop_weak(matching.content_matches(read, rules))
-    out.append(_named(found, flat | {"signal_type": signal, "line": F.col("line"), "context": X.limit(F.col("context"), 320), "account": X.limit(F.col("account"), 160), "weight": _weight(signal), "path_weight": F.lit(0)}))
-    text = F.col("text")
-    out.append(_inspected(read, [(2000, inspect_paths.aws_content_matches(text), True), (4000, inspect_db.dump_matches(text), False), (6000, inspect_paths.key_matches(text), False)]))
+    looked = X.once(looked, __path=inspect_paths.path(), __read=F.when(F.col("needs_content") & (F.col("text") != ""), F.col("text")))
+    p, text = F.col("__path"), F.col("__read")
+    named = F.transform(F.array_compact(F.array(*matching.metadata_hits(rules))), lambda h: _of_rule(h, False))
+    placed = [
+        (200, inspect_paths.backup_matches(p), True), (220, inspect_paths.aws_matches(p), True), (240, inspect_paths.browser_matches(p), True), (260, inspect_db.artifact_matches(), False), (280, inspect_paths.windows_matches(p), True),
+    ]
+    inside = [(2000, inspect_paths.aws_content_matches(text, p), True), (4000, inspect_db.dump_matches(text), False), (6000, inspect_paths.key_matches(text), False)]
+    found = F.transform(matching.content_hits(rules, text), lambda h: _of_rule(h, True))
+    every = F.concat(named, *[_numbered(a, s, w) for s, a, w in placed], F.when(text.isNotNull(), F.concat(found, *[_numbered(a, s, w) for s, a, w in inside])).otherwise(F.array()))
+    rows = X.once(looked, __hits=X.aside(every)).select(*FILE, F.explode("__hits").alias("h")).select(*FILE, "h.*")
+    out = [matching.drop_weak(rows, F.col("seq").between(1000, 1999)).drop("quality")]
+    read = looked.where("__read is not null").drop("needs_content", "__path", "__read")
     tags = lambda kind: F.array(F.lit("database"), F.lit("db:source:config"), F.lit(f"db:type:{kind}"), F.concat(F.lit("db:ecosystem:"), F.col("ecosystem")))
     base = {n: F.col(n) for n in ("rule_id", "category", "severity", "match")} | {"rule_type": F.lit("content"), "signal_type": F.lit("validated"), "confidence": F.lit("high"), "account": F.lit(""), "weight": F.lit(40), "path_weight": F.lit(0)}
     kind = F.when(F.col("category") == "database-access", F.lit(True)).otherwise(False)
@@ -85,22 +92,26 @@ def raw_findings(files: DataFrame, rules: list[dict], limits: gating.Limits = ga
                                                              "tags": F.array(*[F.lit(t) for t in ("database", "db:source:config", "db:type:server-indicator", "db:ecosystem:oracle")])}))
     out.append(_named(inspect_db.sections(read), base | {"seq": F.lit(3500), "line": F.lit(1), "context": F.col("match"), "tags": either}))
     out.append(_named(inspect_db.connections(read), base | {"seq": F.lit(5000) + F.least(F.col("line"), F.lit(999)), "line": F.col("line"), "context": X.limit(F.col("fragment"), 320), "tags": either}))
-    # one plan of all parts would take the optimizer longer than the parts take to run
-    rows = cut(out[0])
+    rows = out[0]
     for o in out[1:]:
-        rows = rows.unionByName(cut(o))
+        rows = rows.unionByName(o)
     return _tagged(rows)
 
 
 def finding_quality(types: Column, category: Column, blob: Column) -> Column:
     """Quality struct of a finding by its signals: structure counts most, names alone count nothing."""
-    connection = Q.connection_quality(blob, Q.sensitive_values(blob))
-    extracted = Q.best_quality(Q.sensitive_values(blob))
-    firm = F.when(X.norm(category).isin("deployment", "crypto", "credentials", "database-access"), Q._quality(18, "high", strong=True)).otherwise(Q._quality(14, "high", strong=True))
-    validated = F.when(Q.is_connection(blob), X.let(connection, lambda q: F.when(q["score"] >= 14, q).otherwise(firm))).otherwise(firm)
-    content = F.when(Q.is_connection(blob), connection).otherwise(X.let(extracted, lambda q: F.when(q["score"] > 0, q).otherwise(Q._quality(8, "medium"))))
     has = lambda t: F.array_contains(types, t)
-    return F.when(has("validated"), validated).when(has("content"), content).when(has("filename") | has("extension"), Q._quality(0, "low")).otherwise(Q.none())
+    firm = F.when(X.norm(category).isin("deployment", "crypto", "credentials", "database-access"), Q._quality(18, "high", strong=True)).otherwise(Q._quality(14, "high", strong=True))
+
+    def of_values(v: Column) -> Column:
+        """One reading of the values serves connections and others."""
+        of_connection = Q.is_connection(blob)
+        extracted = X.let(Q.best_quality(v), lambda q: F.struct(q.alias("best"), F.when(of_connection, Q.connection_of(v, q)).alias("connection")))
+        firm_one = lambda x: F.when(of_connection & (x["connection"]["score"] >= 14), x["connection"]).otherwise(firm)
+        content = lambda x: F.when(of_connection, x["connection"]).when(x["best"]["score"] > 0, x["best"]).otherwise(Q._quality(8, "medium"))
+        return X.let(extracted, lambda x: F.when(has("validated"), firm_one(x)).otherwise(content(x)))
+
+    return F.when(has("validated") | has("content"), X.let(Q.sensitive_values(blob), of_values)).when(has("filename") | has("extension"), Q._quality(0, "low")).otherwise(Q.none())
 
 
 def strong_evidence(rule_id: Column, signal: Column, quality: Column) -> Column:
@@ -127,7 +138,7 @@ def triage(rows: DataFrame) -> DataFrame:
 def raw_severity(rows: DataFrame) -> DataFrame:
     """Raw findings with the severity that their own triage leaves them."""
     blob = F.coalesce(*[F.when(X.strip(F.col(c)) != "", F.col(c)) for c in ("context", "match")], F.lit(""))
-    rows = rows.withColumn("__q", finding_quality(F.array("signal_type"), F.col("category"), blob))
+    rows = X.once(rows, __q=X.let(blob, lambda b: finding_quality(F.array("signal_type"), F.col("category"), b)))
     rows = rows.withColumns({"strong": strong_evidence(F.col("rule_id"), F.col("signal_type"), F.col("__q")), "confidence_score": F.lit(0)}).drop("__q")
     kept = rows.select("*", F.col("confidence").alias("__c"))
     return triage(kept).withColumn("confidence", F.col("__c")).drop("__c", "strong", "confidence_score", "triage_class", "actionable")
@@ -159,6 +170,7 @@ _POLICY = ["scripts/", "preferences/", "policies/"]
 _WORDS = ["deploy", "admin", "vpn", "customer", "hr", "finance", "payroll", "export", "backup", "token", "password", "secret", "settings", "config"]
 
 
+@X.untraced
 def correlate(raw: DataFrame) -> DataFrame:
     """One finding for each host, share, path and category, from all its raw hits.
 
@@ -173,7 +185,7 @@ def correlate(raw: DataFrame) -> DataFrame:
     keys = [X.norm(F.col(c)).alias(f"k_{c}") for c in ("host", "share", "file_path", "category")]
     meta = [F.first(c).alias(c) for c in FILE if c not in ("file_path",)]
     g = raw.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), *meta)
-    g = g.withColumn("best", primary(F.col("items")))
+    g = X.once(g, best=primary(F.col("items")))
     items, best = F.col("items"), F.col("best")
     tags = F.array_distinct(F.flatten(F.transform(items, lambda x: x["tags"])))
     g = g.withColumns({"tags": X.unique_sorted(tags), "types0": F.transform(items, lambda x: x["signal_type"])})
@@ -209,7 +221,7 @@ def correlate(raw: DataFrame) -> DataFrame:
     )
     g = cut(g)
     blob = F.coalesce(*[F.when(X.strip(F.col(c)) != "", F.col(c)) for c in ("context", "match")], F.lit(""))
-    g = g.withColumn("quality", finding_quality(F.col("matched_signal_types"), F.col("category"), blob))
+    g = X.once(g, quality=X.let(blob, lambda b: finding_quality(F.col("matched_signal_types"), F.col("category"), b)))
     g = g.withColumns({"strong": strong_evidence(F.col("rule_id"), F.col("signal_type"), F.col("quality")), "confidence_score": F.col("base_score"), "confidence": level(F.col("base_score"))})
     g = g.withColumn("correlated", (F.size("matched_signal_types") > 1) | (F.size("matched_rule_ids") > 1))
     return lower_visibility(triage(g).drop("strong"))
@@ -234,6 +246,7 @@ def visible(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("actionable") & ~F.col("rule_id").isin(*SUPPORTING))
 
 
+@X.untraced
 def evaluate(files: DataFrame, rules: list[dict], limits: gating.Limits = gating.Limits()) -> DataFrame:
     """Findings of a table of files, from gate to score."""
     return correlate(raw_findings(planned(files), rules, limits))

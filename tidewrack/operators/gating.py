@@ -62,6 +62,7 @@ def skip_rule(rules: list[dict]) -> Column:
     return F.coalesce(*out) if out else F.lit(None).cast("string")
 
 
+@X.untraced
 def decide(files: DataFrame, rules: list[dict], limits: Limits = Limits()) -> DataFrame:
     """``files`` with ``skip_reason`` (null: looked at), ``kind`` and ``needs_content``.
 
@@ -78,12 +79,12 @@ def decide(files: DataFrame, rules: list[dict], limits: Limits = Limits()) -> Da
         .when((F.col("kind") == "sqlite") & (F.col("size") > limits.sqlite), "database exceeds its size limit")
         .when((F.lit(limits.max_file) > 0) & (F.col("size") > limits.max_file), "file exceeds the size limit")
     )
-    out = files.withColumn("skip_rule", skip_rule(rules)).withColumn("kind", kind)
-    out = out.withColumn("skip_reason", F.when(F.col("skip_rule").isNotNull(), "matched skip rule").otherwise(reason))
+    out = X.once(files, skip_rule=X.aside(skip_rule(rules)), kind=kind)
+    out = X.once(out, skip_reason=F.when(F.col("skip_rule").isNotNull(), "matched skip rule").otherwise(reason))
     wanted = (F.col("size") <= limits.max_read) if limits.max_read else F.lit(True)
     content = F.lit(False)
     for r in rules:
         if r["type"] == "content" and r["action"] != "skip":
             content = content | eligible(r)
     reads = (wanted & content) | inspect_paths.is_aws() | inspect_paths.is_key() | inspect_db.needs_content() | F.col("kind").isin("archive", "wim", "sqlite")
-    return out.withColumn("needs_content", F.col("skip_reason").isNull() & reads)
+    return X.once(out, needs_content=X.aside(F.col("skip_reason").isNull() & reads))

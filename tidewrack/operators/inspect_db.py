@@ -85,10 +85,13 @@ PLACEHOLDERS = [a + b for a in ("your_", "your-") for b in ("database", "server"
 
 def meaningful(c: Column) -> Column:
     """The value without its wrapping, empty for a placeholder."""
-    v = unwrap(F.coalesce(c, F.lit("")))
-    low = F.lower(v)
-    bad = low.rlike("^(?:<.*>|\\$?\\{.*\\})$") | low.isin("dsn", "dbname", "database", "host", "server", "pwd", "password", "user", "username") | X.contains_any(low, PLACEHOLDERS)
-    return F.when(bad, "").otherwise(v)
+
+    def judged(v: Column) -> Column:
+        low = F.lower(v)
+        bad = low.rlike("^(?:<.*>|\\$?\\{.*\\})$") | low.isin("dsn", "dbname", "database", "host", "server", "pwd", "password", "user", "username") | X.contains_any(low, PLACEHOLDERS)
+        return F.when(bad, "").otherwise(v)
+
+    return X.let(unwrap(F.coalesce(c, F.lit(""))), judged)
 
 
 def pair(line: Column) -> Column:
@@ -104,8 +107,9 @@ def key_name(k: Column) -> Column:
 
 
 def last_of_each(pairs: Column) -> Column:
-    """Map of pairs (structs ``k`` and ``v``); a later pair overwrites an earlier one of its key."""
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    """Map of pairs (structs ``k`` and ``v``); a later pair overwrites an earlier one of its key. Sorted once, not compared pair by pair."""
+    at = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
+    last = X.let(at, lambda a: F.filter(a, lambda p, i: F.coalesce(F.get(a, i + 1)["k"] != p["k"], F.lit(True))))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
 
 
@@ -123,35 +127,42 @@ def first_value(values: Column, *keys: str) -> Column:
 
 def ecosystem(values: Column) -> Column:
     """Database product that keys and values speak of, empty if none."""
-    flat = F.lower(F.concat_ws(";", F.array_sort(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit("="), e["value"])))))
+    every = F.lower(F.concat_ws(";", F.array_sort(F.transform(F.map_entries(values), lambda e: F.concat(e["key"], F.lit("="), e["value"])))))
     kinds = (
         ("mssql", ["sqlserver", "sqloledb", "mssql", "initialcatalog"]), ("mysql", ["mysql", ":3306"]), ("postgresql", ["postgres", "pgsql", ":5432"]),
         ("oracle", ["oracle", "oraoledb", ":1521", "servicename", "sid"]), ("sqlite", ["sqlite"]), ("access", [".accdb", ".mdb", "microsoft.ace.oledb", "microsoft.jet.oledb"]), ("odbc", ["dsn=", "driver=", "odbc"]),
     )
-    return F.coalesce(*[F.when(X.contains_any(flat, parts), name) for name, parts in kinds], F.lit(""))
+    return X.let(every, lambda flat: F.coalesce(*[F.when(X.contains_any(flat, parts), name) for name, parts in kinds], F.lit("")))
 
 
 def url_values(fragment: Column) -> Column:
     """Pairs of a database URL, with or without ``jdbc:``; null if it is none."""
-    plain = F.regexp_extract(fragment, "^(?i:jdbc:)?(.*)$", 1)
-    scheme = F.lower(F.regexp_extract(plain, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     user = "(?:([^/?#@:]*)(?::([^/?#@]*))?@)?"
     whole = f"^[A-Za-z][A-Za-z0-9+.-]*://{user}([^/?#:]*)(?::[0-9]*)?(/[^?#]*)?(?:\\?([^#]*))?"
-    part = lambda i: F.regexp_extract(plain, whole, i)
-    query = F.filter(F.transform(F.split(part(5), "&"), lambda p: F.struct(key_name(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v"))), lambda p: p["k"] != "")
-    fixed = [("driver", scheme), ("server", part(3)), ("database", F.regexp_replace(part(4), "^/", "")), ("user", F.try_url_decode(part(1))), ("password", F.try_url_decode(part(2)))]
-    base = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(v, F.lit("")).alias("v")) for k, v in fixed])
-    low = F.lower(fragment)
-    jdbc = low.rlike("^jdbc:(?:mysql|postgresql)://") | low.startswith("jdbc:sqlite:")
-    plain_url = low.rlike("^(?:postgres|postgresql|mysql)://") & (part(3) != "")
-    sqlite = F.array(F.struct(F.lit("driver").alias("k"), F.lit("sqlite").alias("v")), F.struct(F.lit("database").alias("k"), F.regexp_extract(plain, "^[^:]*:/*(.*)$", 1).alias("v")))
-    server = F.regexp_extract(fragment, "^jdbc:sqlserver://([^;]*);", 1)
-    mssql = F.concat(connection_values(F.regexp_extract(fragment, "^jdbc:sqlserver://[^;]*;(.*)$", 1)), F.array(F.struct(F.lit("server").alias("k"), server.alias("v"))))
     ora = "^(?i:jdbc:oracle:)[^@]+@(?://)?([^:/;]+)(?::([0-9]{2,5}))?/([A-Za-z0-9_.-]+)$"
-    got = lambda i: F.regexp_extract(fragment, ora, i)
-    oracle = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("driver", F.lit("oracle")), ("server", got(1)), ("port", got(2)), ("database", got(3)))])
-    out = F.when(low.startswith("jdbc:sqlserver://") & (meaningful(server) != ""), mssql).when(low.startswith("jdbc:sqlite:"), sqlite).when(jdbc | plain_url, F.concat(base, query)).when(low.startswith("jdbc:oracle:") & (got(1) != ""), oracle)
-    return F.filter(out, lambda p: p["v"] != "")
+    pairs = lambda *kv: F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(v, F.lit("")).alias("v")) for k, v in kv])
+
+    def of_url(plain: Column) -> Column:
+        part = lambda i: F.regexp_extract(plain, whole, i)
+        query = F.filter(F.transform(F.split(part(5), "&"), lambda p: F.struct(key_name(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, "^[^=]*=?(.*)$", 1)).alias("v"))), lambda p: p["k"] != "")
+        scheme = F.lower(F.regexp_extract(plain, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        return F.concat(pairs(("driver", scheme), ("server", part(3)), ("database", F.regexp_replace(part(4), "^/", "")), ("user", F.try_url_decode(part(1))), ("password", F.try_url_decode(part(2)))), query)
+
+    def taken(low: Column) -> Column:
+        plain = F.regexp_extract(fragment, "^(?i:jdbc:)?(.*)$", 1)
+        server = F.regexp_extract(fragment, "^jdbc:sqlserver://([^;]*);", 1)
+        mssql = F.concat(connection_values(F.regexp_extract(fragment, "^jdbc:sqlserver://[^;]*;(.*)$", 1)), pairs(("server", server)))
+        sqlite = pairs(("driver", F.lit("sqlite")), ("database", F.regexp_extract(plain, "^[^:]*:/*(.*)$", 1)))
+        got = lambda i: F.regexp_extract(fragment, ora, i)
+        oracle = pairs(("driver", F.lit("oracle")), ("server", got(1)), ("port", got(2)), ("database", got(3)))
+        jdbc = low.rlike("^jdbc:(?:mysql|postgresql)://")
+        plain_url = low.rlike("^(?:postgres|postgresql|mysql)://") & (F.regexp_extract(plain, whole, 3) != "")
+        return (
+            F.when(low.startswith("jdbc:sqlserver://") & (meaningful(server) != ""), mssql).when(low.startswith("jdbc:sqlite:"), sqlite)
+            .when(jdbc | plain_url, X.let(plain, of_url)).when(low.startswith("jdbc:oracle:") & (got(1) != ""), oracle)
+        )
+
+    return F.filter(X.let(F.lower(fragment), taken), lambda p: p["v"] != "")
 
 
 def fragments(files: DataFrame) -> DataFrame:
@@ -174,14 +185,14 @@ def connections(files: DataFrame) -> DataFrame:
     has = F.col("fragment").contains("=") & F.col("fragment").contains(";")
     kinds = F.array(F.struct(F.lit(0).alias("by"), F.when(has, connection_values(F.col("fragment"))).alias("pairs")), F.struct(F.lit(1).alias("by"), url_values(F.col("fragment")).alias("pairs")))
     rows = rows.select("*", F.explode(kinds).alias("got")).select("*", "got.by", "got.pairs").drop("got").where(F.size("pairs") >= 2)
-    rows = rows.withColumn("values", last_of_each(F.col("pairs"))).drop("pairs")
+    rows = X.once(rows, values=last_of_each(F.col("pairs"))).drop("pairs")
     v = F.col("values")
     endpoint, database, driver = first_value(v, "server", "host", "datasource", "dsn"), first_value(v, "database", "dbname", "initialcatalog", "servicename", "sid"), first_value(v, "driver", "provider")
     user, password = first_value(v, "uid", "userid", "user", "username"), first_value(v, "password", "pwd")
     trusted = F.lower(F.coalesce(F.nullif(v["integratedsecurity"], F.lit("")), v["trustedconnection"], F.lit(""))).isin("1", "true", "yes", "sspi")
-    rows = rows.withColumns({"endpoint": endpoint, "database": database, "driver": driver, "user": user, "password": password}).where("endpoint <> '' or database <> '' or driver <> ''")
-    access = (F.col("user") != "") | (F.col("password") != "") | trusted
-    eco = F.when(ecosystem(v) != "", ecosystem(v)).when(F.coalesce(X.strip(v["driver"]), F.lit("")) != "", "odbc").otherwise("generic")
+    rows = X.once(rows, endpoint=endpoint, database=database, driver=driver, user=user, password=password, trusted=trusted, known=ecosystem(v), named=F.coalesce(X.strip(v["driver"]), F.lit("")) != "").where("endpoint <> '' or database <> '' or driver <> ''")
+    access = (F.col("user") != "") | (F.col("password") != "") | F.col("trusted")
+    eco = F.when(F.col("known") != "", F.col("known")).when(F.col("named"), "odbc").otherwise("generic")
     rows = rows.withColumns(
         {
             "rule_id": F.when(access, "dbinspect.access.connection_string").otherwise("dbinspect.infrastructure.connection_string"),
@@ -192,7 +203,7 @@ def connections(files: DataFrame) -> DataFrame:
         }
     )
     first = Window.partitionBy("file_id", "rule_id", F.lower("match")).orderBy("line", "part", "by")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "values", "part", "by", "endpoint", "database", "driver", "password")
+    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "values", "part", "by", "endpoint", "database", "driver", "password", "trusted", "known", "named")
 
 
 def sections(files: DataFrame) -> DataFrame:
@@ -205,17 +216,17 @@ def sections(files: DataFrame) -> DataFrame:
     keys = [c for c in files.columns if c != "text"]
     entry = F.struct("at", key_name(F.col("p.k")).alias("k"), F.col("p.v").alias("v"))
     rows = rows.groupBy("file_id", "number").agg(*[F.first(c).alias(c) for c in keys if c != "file_id"], F.max(F.when(head, F.regexp_extract("raw", "^\\[(.*)\\]$", 1))).alias("section"), F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), entry))).alias("pairs"))
-    rows = rows.where((F.size("pairs") > 0) & (F.trim("section") != "")).withColumn("values", last_of_each(F.col("pairs")))
+    rows = X.once(rows.where((F.size("pairs") > 0) & (F.trim("section") != "")), values=last_of_each(F.col("pairs")))
     v = F.col("values")
     got = {"driver": first_value(v, "driver", "provider"), "endpoint": first_value(v, "server", "host", "datasource"), "database": first_value(v, "database", "dbname"), "user": first_value(v, "uid", "userid", "user", "username"), "password": first_value(v, "password", "pwd")}
-    rows = rows.withColumns(got)
+    rows = X.once(rows, known=ecosystem(v), **got)
     access = (F.col("user") != "") | (F.col("password") != "")
     rows = rows.where(access | (F.col("endpoint") != "") | (F.col("database") != ""))
     found = F.concat(F.trim("section"), F.when(F.col("endpoint") != "", F.concat(F.lit(" -> "), "endpoint")).otherwise(""), F.when(F.col("database") != "", F.concat(F.lit("/"), "database")).otherwise(""))
     rows = rows.withColumns(
         {
             "rule_id": F.when(access, "dbinspect.access.dsn").otherwise("dbinspect.infrastructure.dsn"), "category": F.when(access, "database-access").otherwise("database-infrastructure"),
-            "severity": F.when(access, "high").otherwise("medium"), "match": found, "ecosystem": F.when(ecosystem(v) != "", ecosystem(v)).otherwise("odbc"),
+            "severity": F.when(access, "high").otherwise("medium"), "match": found, "ecosystem": F.when(F.col("known") != "", F.col("known")).otherwise("odbc"),
         }
     )
     first = Window.partitionBy("file_id", "rule_id", F.lower("match")).orderBy("number")
@@ -230,8 +241,8 @@ def tns_services(files: DataFrame) -> DataFrame:
     starts = F.transform(blocks, lambda b, i: F.struct(b.alias("block"), F.aggregate(F.slice(blocks, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("at")))
     rows = rows.select("*", F.explode(starts).alias("b")).select("*", "b.block", (F.size(F.split(F.expr("substring(text, 1, b.at)"), "\n"))).alias("line")).drop("b", "text")
     get = lambda p: meaningful(F.regexp_extract("block", to_java(p), 1))
-    service = F.when(get(r"(?i)\bSERVICE_NAME\s*=\s*([^) \t\r\n]+)") != "", get(r"(?i)\bSERVICE_NAME\s*=\s*([^) \t\r\n]+)")).otherwise(get(r"(?i)\bSID\s*=\s*([^) \t\r\n]+)"))
-    rows = rows.withColumns({"alias": F.regexp_extract("block", alias, 1), "host_name": get(r"(?i)\bHOST\s*=\s*([^) \t\r\n]+)"), "port": get(r"(?i)\bPORT\s*=\s*([0-9]{2,5})"), "service": service})
+    service = F.coalesce(F.nullif(get(r"(?i)\bSERVICE_NAME\s*=\s*([^) \t\r\n]+)"), F.lit("")), get(r"(?i)\bSID\s*=\s*([^) \t\r\n]+)"))
+    rows = X.once(rows, alias=F.regexp_extract("block", alias, 1), host_name=get(r"(?i)\bHOST\s*=\s*([^) \t\r\n]+)"), port=get(r"(?i)\bPORT\s*=\s*([0-9]{2,5})"), service=service)
     rows = rows.where("alias <> '' and host_name <> '' and service <> ''")
     found = F.concat("alias", F.lit(" -> "), "host_name", F.when(F.col("port") != "", F.concat(F.lit(":"), "port")).otherwise(""), F.lit("/"), "service")
     rows = rows.withColumn("match", found)

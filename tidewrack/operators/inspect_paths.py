@@ -40,22 +40,24 @@ def path() -> Column:
 _BACKUPS = (("windowsimagebackup", "windowsimagebackup"), ("system_volume_information", "system volume information"), ("regback", "regback"), ("windows_repair", "windows/repair"))
 
 
-def backup_matches() -> Column:
+def backup_matches(p: Column | None = None) -> Column:
     """Families of system-state backups; a path may be in several."""
+    p = path() if p is None else p
     out = []
     for name, part in _BACKUPS:
         token = f"/{part}/"
         tags = _tags("backup", "windows", "artifact:backup-family", "backup-family:" + name.replace("_", "-"))
-        out.append(F.when(path().contains(token), match(f"backupinspect.path.{name}", "filename", "high", "backup-exposure", F.lit(token), path(), tags)))
+        out.append(F.when(p.contains(token), match(f"backupinspect.path.{name}", "filename", "high", "backup-exposure", F.lit(token), p, tags)))
     return present(*out)
 
 
-def backup_context() -> Column:
+def backup_context(p: Column | None = None) -> Column:
     """The backup that a path belongs to, empty if none."""
+    p = path() if p is None else p
     out = []
     for token in ("/windowsimagebackup/", "/system volume information/", "/windows/system32/config/regback/", "/regback/", "/windows/repair/"):
-        at = F.instr(path(), token)
-        out.append(F.when(at > 0, X.bare(F.substring(path(), F.lit(1), at + len(token) - 1))))
+        at = F.instr(p, token)
+        out.append(F.when(at > 0, X.bare(F.substring(p, F.lit(1), at + len(token) - 1))))
     return F.coalesce(*out, F.lit(""))
 
 
@@ -67,70 +69,77 @@ _BROWSERS = (
 )
 
 
-def browser_matches() -> Column:
+def browser_matches(p: Column | None = None) -> Column:
     """Stores of browser credentials in their profiles."""
+    p = path() if p is None else p
     out = []
     for kind, name, severity, chromium in _BROWSERS:
-        inside = X.contains_any(path(), list(_CHROMIUM)) if chromium else path().contains(_FIREFOX)
+        inside = X.contains_any(p, list(_CHROMIUM)) if chromium else p.contains(_FIREFOX)
         family = kind.replace(".", "-").replace("_", "-")
         tags = _tags("browser", kind.split(".")[0], "artifact:browser-credstore", f"browsercred:type:{family}")
-        out.append(F.when((X.base_name(path()) == name) & inside, match(f"browsercredinspect.{kind}", "filename", severity, "browser-credentials", F.lit(name), path(), tags)))
+        out.append(F.when((X.base_name(p) == name) & inside, match(f"browsercredinspect.{kind}", "filename", severity, "browser-credentials", F.lit(name), p, tags)))
     return present(*out)
 
 
-def browser_profile() -> Column:
+def browser_profile(p: Column | None = None) -> Column:
     """The browser profile that a path belongs to, empty if none."""
+    p = path() if p is None else p
     out = []
     for root in (_FIREFOX, *_CHROMIUM):
-        got = F.regexp_extract(path(), f"^(.*?{root}[^/]+)/", 1)
+        got = F.regexp_extract(p, f"^(.*?{root}[^/]+)/", 1)
         out.append(F.when(got != "", X.bare(got)))
     return F.coalesce(*out, F.lit(""))
 
 
-def windows_matches() -> Column:
+def windows_matches(p: Column | None = None) -> Column:
     """Stores of Windows credentials."""
+    p = path() if p is None else p
     out = []
     for kind, severity in (("credentials", "high"), ("vault", "high"), ("protect", "medium")):
         token = f"/microsoft/{kind}/"
         more = ["credstore:type:dpapi-protect"] if kind == "protect" else []
         tags = _tags("windows", "dpapi", "artifact:windows-credstore", "credstore:path-exact", f"credstore:type:{kind}", *more)
-        out.append(F.when(path().contains(token), match(f"wincredinspect.path.{kind}", "filename", severity, "windows-credentials", F.lit(token), path(), tags)))
+        out.append(F.when(p.contains(token), match(f"wincredinspect.path.{kind}", "filename", severity, "windows-credentials", F.lit(token), p, tags)))
     return present(*out)
 
 
-def windows_profile() -> Column:
+def windows_profile(p: Column | None = None) -> Column:
     """The user's profile that a path belongs to, empty if none."""
+    p = path() if p is None else p
     out = []
     for marker in ("/appdata/roaming/", "/appdata/local/"):
-        at = F.instr(path(), marker)
-        out.append(F.when(at > 1, X.bare(F.substring(path(), F.lit(1), at - 1))))
+        at = F.instr(p, marker)
+        out.append(F.when(at > 1, X.bare(F.substring(p, F.lit(1), at - 1))))
     return F.coalesce(*out, F.lit(""))
 
 
-def aws_kind() -> Column:
+def aws_kind(p: Column | None = None) -> Column:
     """``credentials``, ``config`` or null."""
-    name = X.base_name(path())
+    p = path() if p is None else p
+    name = X.base_name(p)
     copies = "(?:\\.(?:bak|old|backup|copy))?$"
-    inside = path().contains("/.aws/")
+    inside = p.contains("/.aws/")
     return F.when(inside & name.rlike("^credentials" + copies), "credentials").when(inside & name.rlike("^config" + copies), "config")
 
 
-def is_aws() -> Column:
-    return aws_kind().isNotNull()
+def is_aws(p: Column | None = None) -> Column:
+    return aws_kind(p).isNotNull()
 
 
-def aws_matches() -> Column:
+def aws_matches(p: Column | None = None) -> Column:
     """Files of a cloud profile, by their place."""
-    kind = aws_kind()
+    p = path() if p is None else p
+    kind = aws_kind(p)
     return present(
-        F.when(kind == "credentials", match("awsinspect.path.credentials", "filename", "high", "cloud", F.lit(".aws/credentials"), path(), _tags("aws", "cloud", "artifact:aws-credentials", "aws:type:credentials"), line=F.lit(1))),
-        F.when(kind == "config", match("awsinspect.path.config", "filename", "medium", "infrastructure", F.lit(".aws/config"), path(), _tags("aws", "cloud", "artifact:aws-config", "aws:type:config"), line=F.lit(1))),
+        F.when(kind == "credentials", match("awsinspect.path.credentials", "filename", "high", "cloud", F.lit(".aws/credentials"), p, _tags("aws", "cloud", "artifact:aws-credentials", "aws:type:credentials"), line=F.lit(1))),
+        F.when(kind == "config", match("awsinspect.path.config", "filename", "medium", "infrastructure", F.lit(".aws/config"), p, _tags("aws", "cloud", "artifact:aws-config", "aws:type:config"), line=F.lit(1))),
     )
 
 
-def aws_profile() -> Column:
-    at = F.instr(path(), "/.aws/")
-    return F.when(at > 1, X.bare(F.substring(path(), F.lit(1), at - 1))).otherwise("")
+def aws_profile(p: Column | None = None) -> Column:
+    p = path() if p is None else p
+    at = F.instr(p, "/.aws/")
+    return F.when(at > 1, X.bare(F.substring(p, F.lit(1), at - 1))).otherwise("")
 
 
 _KEY, _SECRET, _SESSION = "^(?:AKIA|ASIA)[A-Z0-9]{16}$", "^[A-Za-z0-9/+=]{40}$", "^[A-Za-z0-9/+=_-]{60,}$"
@@ -163,14 +172,17 @@ def aws_bundle(text: Column) -> Column:
     return F.struct(last(key).alias("access_key"), last(secret).alias("secret_key"), last(session).alias("session_token"), F.coalesce(first, F.lit(0)).alias("line"), profile.alias("profile"))
 
 
-def aws_content_matches(text: Column) -> Column:
+def aws_content_matches(text: Column, p: Column | None = None) -> Column:
     """A bundle of access and secret key in a cloud profile's file."""
-    b = aws_bundle(text)
+    return X.let(aws_bundle(text), lambda b: _bundle_match(b, p))
+
+
+def _bundle_match(b: Column, p: Column | None) -> Column:
     long = b["session_token"] != ""
     found = F.when(long, "aws_access_key_id + aws_secret_access_key + aws_session_token").otherwise("aws_access_key_id + aws_secret_access_key")
     lines = F.concat_ws("\n", F.concat(F.lit("aws_access_key_id="), b["access_key"]), F.concat(F.lit("aws_secret_access_key="), b["secret_key"]), F.when(long, F.concat(F.lit("aws_session_token="), b["session_token"])))
     tags = F.array_compact(F.array(F.lit("aws"), F.lit("cloud"), F.lit("credentials"), F.lit("artifact:aws-credentials"), F.lit("aws:type:bundle"), F.when(long, "aws:type:session-bundle"), F.when(b["profile"] != "", F.concat(F.lit("aws:profile:"), F.lower(b["profile"])))))
-    good = is_aws() & (b["access_key"] != "") & (b["secret_key"] != "")
+    good = is_aws(p) & (b["access_key"] != "") & (b["secret_key"] != "")
     return present(F.when(good, match("awsinspect.content.credentials_bundle", "content", "critical", "credentials", found, lines, tags, line=b["line"])))
 
 

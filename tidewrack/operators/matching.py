@@ -31,18 +31,23 @@ def _hit(rule: dict, at: int, found: Column) -> Column:
 def _exploded(files: DataFrame, hits: list[Column], drop: tuple[str, ...] = ()) -> DataFrame:
     if not hits:
         hits = [F.lit(None).cast("struct<seq:int,rule_id:string,rule_type:string,category:string,severity:string,confidence:string,match:string,tags:array<string>>")]
-    rows = files.select("*", F.explode(F.array_compact(F.array(*hits))).alias("hit")).drop(*drop)
-    return rows.select("*", "hit.*").drop("hit")
+    rows = X.once(files, __hits=X.aside(F.array_compact(F.array(*hits)))).drop(*drop)
+    return rows.select("*", F.explode("__hits").alias("hit")).select("*", "hit.*").drop("hit", "__hits")
 
 
-def metadata_matches(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """Matches of file name and extension rules, in the order of evaluation (``seq``); no content is touched."""
-    hits, at = [], 0
+def metadata_hits(rules: list[dict]) -> list[Column]:
+    """A struct or null for each file name and extension rule, in the order of evaluation (``seq``)."""
+    hits = []
     for kind, on in (("filename", F.col("name")), ("extension", F.lower("extension"))):
         for r in of_type(rules, kind):
-            hits.append(_hit(r, at, X.first_match(on, r["pattern"], ignore_case=not r["case_sensitive"])))
-            at += 1
-    return _exploded(files.drop("text"), hits)
+            hits.append(_hit(r, len(hits), X.first_match(on, r["pattern"], ignore_case=not r["case_sensitive"])))
+    return hits
+
+
+@X.untraced
+def metadata_matches(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """Matches of file name and extension rules, in the order of evaluation (``seq``); no content is touched."""
+    return _exploded(files.drop("text"), metadata_hits(rules))
 
 
 def xml_fallback(text: Column, labels: tuple[str, ...]) -> Column:
@@ -65,29 +70,40 @@ def content_match(rule: dict, text: Column) -> Column:
     return F.when(found != "", found).otherwise(xml_fallback(text, labels)) if labels else found
 
 
-def content_matches(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """First match of each content rule in each file's ``text``, with its context.
+def content_hits(rules: list[dict], text: Column) -> Column:
+    """Array of the first match of each content rule with its ``line``, ``context`` and ``account``.
 
-    Adds ``line``, ``context`` (the line and its neighbours) and ``account``
-    (an identity nearby). Positions are those of the first place where the
-    matched text stands.
+    The context is the line and its neighbours, the account an identity nearby;
+    positions are those of the first place where the matched text stands.
     """
-    text = F.col("text")
     hits = [_hit(r, 1000 + i, content_match(r, text)) for i, r in enumerate(of_type(rules, "content"))]
-    return with_context(_exploded(files, hits)).drop("text")
+    if not hits:
+        return F.array().cast("array<struct<seq:int,rule_id:string,rule_type:string,category:string,severity:string,confidence:string,match:string,tags:array<string>,line:int,context:string,account:string>>")
+    found = F.array_compact(F.array(*hits))
+    plain = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+    def placed(h: Column, clean: Column, lines: Column) -> Column:
+        line = F.size(F.split(F.substring(clean, F.lit(1), F.instr(clean, h["match"]) - 1), "\n"))
+        return X.let(line, lambda n: F.struct(*[h[c].alias(c) for c in ("seq", "rule_id", "rule_type", "category", "severity", "confidence", "match", "tags")], n.alias("line"), _around(lines, n).alias("context"), _account(lines, n).alias("account")))
 
+    both = F.struct(plain.alias("clean"), F.split(plain, "\n").alias("lines"))
+    return X.let(found, lambda hs: F.when(F.size(hs) == 0, F.array()).otherwise(X.let(both, lambda t: F.transform(hs, lambda h: placed(h, t["clean"], t["lines"])))))
 
-def with_context(rows: DataFrame) -> DataFrame:
-    """Rows with a ``text`` and a ``match`` in it, and where that stands: ``line context account``."""
-    clean = F.replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    lines = F.split(clean, "\n")
-    head = F.split(F.substring(clean, F.lit(1), F.instr(clean, F.col("match")) - 1), "\n")
-    rows = rows.withColumns({"__lines": lines, "line": F.size(head)})
-    context = X.strip(F.array_join(F.slice("__lines", F.greatest(F.col("line") - 1, F.lit(1)), F.when(F.col("line") > 1, 3).otherwise(2)), "\n"))
-    rows = rows.withColumn("context", context)
-    near = F.transform(F.array(*[F.lit(o) for o in (0, -1, 1, -2, 2, -3, 3)]), lambda o: identity(X.strip(F.coalesce(F.get("__lines", F.col("line") - 1 + o), F.lit("")))))
-    account = F.coalesce(F.get(F.filter(near, lambda x: x != ""), F.lit(0)), F.lit(""))
-    return rows.withColumn("account", account).drop("__lines")
+
+def _around(lines: Column, line: Column) -> Column:
+    return X.strip(F.array_join(F.slice(lines, F.greatest(line - 1, F.lit(1)), F.when(line > 1, 3).otherwise(2)), "\n"))
+
+
+def _account(lines: Column, line: Column) -> Column:
+    near = F.transform(F.array(*[F.lit(o) for o in (0, -1, 1, -2, 2, -3, 3)]), lambda o: identity(X.strip(F.coalesce(F.get(lines, line - 1 + o), F.lit("")))))
+    return F.coalesce(F.get(F.filter(near, lambda x: x != ""), F.lit(0)), F.lit(""))
+
+
+@X.untraced
+def content_matches(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """The matches of :func:`content_hits` as rows; a null text has none."""
+    rows = X.once(files, __hits=X.aside(content_hits(rules, F.col("text")))).drop("text")
+    return rows.select("*", F.explode("__hits").alias("hit")).select("*", "hit.*").drop("hit", "__hits")
 
 
 def identity(line: Column) -> Column:
@@ -101,15 +117,19 @@ def identity(line: Column) -> Column:
     return F.when(line == "", "").otherwise(F.coalesce(Q.parse_pair(line)["label"], element(line), F.when(line.rlike(to_java(words)), line), F.lit("")))
 
 
-def drop_weak(matches: DataFrame) -> DataFrame:
-    """Content matches without those whose values are all placeholders or weak; adds ``quality``."""
+@X.untraced
+def drop_weak(matches: DataFrame, where: Column | None = None) -> DataFrame:
+    """Content matches without those whose values are all placeholders or weak; adds ``quality``, null where that isn't asked.
+
+    ``where`` says which rows are content matches; the others stay.
+    """
     blob = F.when(X.strip(F.col("context")) != "", F.col("context")).otherwise(F.col("match"))
-    rows = matches.withColumn("__values", Q.sensitive_values(blob))
     connection = F.col("rule_id") == CONNECTION_RULE
-    judged = F.when(connection, Q.connection_quality(blob, F.col("__values"))).otherwise(Q.best_quality(F.col("__values")))
-    rows = rows.withColumn("quality", judged).drop("__values")
     applies = connection | X.norm(F.col("category")).isin("credentials", "infrastructure")
-    return rows.where(~(applies & (X.strip(blob) != "") & F.col("quality.weak")))
+    applies = applies if where is None else where & applies
+    judged = X.let(blob, lambda b: X.let(Q.sensitive_values(b), lambda v: X.let(Q.best_quality(v), lambda q: F.when(connection, F.when(Q.is_connection(b), Q.connection_of(v, q)).otherwise(Q.none())).otherwise(q))))
+    rows = X.once(matches, quality=judged if where is None else F.when(where, judged))
+    return rows.where(~F.coalesce(applies & (X.strip(blob) != "") & F.col("quality.weak"), F.lit(False)))
 
 
 def sample_matches(files: DataFrame, rules: list[dict], most: int = 5, around: int = 40) -> DataFrame:

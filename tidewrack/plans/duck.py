@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidewrack.operators import inspect_db, inspect_paths, planner
+from collections.abc import Callable
+from itertools import count
+
+from tidewrack.functions import quality as Q
+from tidewrack.operators import inspect_db, inspect_paths, matching, planner
 from tidewrack.sources import vfs
 
 
@@ -36,13 +40,102 @@ def pattern(rule: dict) -> str:
     return text(p if rule["case_sensitive"] or p.startswith("(?i") else "(?i)" + p if not p.startswith("(?") else p.replace("(?", "(?i", 1))
 
 
+_names = count()
+BLANK = "[\\s\\x0B\\x{85}\\x{A0}]+"
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` of a name that stands for the value."""
+    name = f"v{next(_names)}"
+    return f"(list_transform([{value}], lambda {name}: {body(name)})[1])"
+
+
+def strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{BLANK}', ''), '{BLANK}$', '')"
+
+
+def norm(c: str) -> str:
+    return f"lower({strip(c)})"
+
+
+def unwrap(c: str) -> str:
+    return strip(f"regexp_replace({c}, '^[\"'']+|[\"'']+$', '', 'g')")
+
+
+def entropy(v: str) -> str:
+    chars = f"string_split({v}, '')"
+    return f"(-coalesce(list_sum(list_transform(list_distinct({chars}), lambda c: (len(list_filter({chars}, lambda x: x = c)) / length({v})) * log2(len(list_filter({chars}, lambda x: x = c)) / length({v})))), 0))"
+
+
+def value_quality(raw: str) -> str:
+    """Struct ``score label weak strong`` of a value."""
+    q = lambda score, label, weak=False, strong=False: f"{{'score': {score}, 'label': {text(label)}, 'weak': {weak}, 'strong': {strong}}}"
+    words = among(["database", "server", "username", "token", "secret", "password"])
+
+    def known(v: str) -> str:
+        low = let(f"lower({unwrap(v)})", lambda w: f"{w} = '' OR regexp_matches({w}, '(?s)^(?:<.*>|\\$\\{{.*\\}}|\\{{.*\\}})$') OR {w} IN {words} OR {any_of(w, Q.PLACEHOLDERS)}")
+        flat = let(f"lower(regexp_replace({unwrap(v)}, '[^\\p{{L}}\\p{{Nd}}]', '', 'g'))", lambda w: f"{w} = '' OR {w} IN {among(Q.BASES)} OR regexp_matches({w}, '^{Q.NUMBERED}\\p{{Nd}}+$')")
+        return f"(({low}) OR ({flat}))"
+
+    def judged(m: str) -> str:
+        return (
+            f"CASE WHEN {m}.v = '' THEN {q(0, 'low', True)} WHEN {m}.known THEN {q(1, 'low', True)} WHEN {m}.n < 8 OR {m}.u <= 2 THEN {q(2, 'low', True)} WHEN {m}.h < 1.8 OR ({m}.h < 2.4 AND {m}.k < 2) THEN {q(3, 'low', True)} "
+            f"WHEN {m}.n >= 14 AND {m}.u >= 6 AND ({m}.k >= 3 OR {m}.h >= 3.2) THEN {q(18, 'high', False, True)} WHEN {m}.n >= 10 AND {m}.u >= 5 AND ({m}.k >= 2 OR {m}.h >= 2.7) THEN {q(12, 'medium')} ELSE {q(8, 'medium')} END"
+        )
+
+    kinds = lambda v: " + ".join(f"CAST(regexp_matches({v}, '{p}') AS INTEGER)" for p in ("\\p{Ll}", "\\p{Lu}", "\\p{Nd}", "[^\\p{Ll}\\p{Lu}\\p{Nd}]"))
+    measured = lambda v: f"{{'v': {v}, 'known': {known(v)}, 'n': strlen({v}), 'h': {entropy(v)}, 'k': {kinds(v)}, 'u': len(list_distinct(string_split({v}, '')))}}"
+    return let(unwrap(raw), lambda v: let(measured(v), judged))
+
+
+def pair_of(line: str) -> str:
+    """Struct ``label sep value`` of a line that pairs an account with a value, null for any other."""
+
+    def judged(p: str) -> str:
+        bad = f"((lower({p}.label) IN {among(Q.SCHEMES)} AND starts_with({p}.value, '//')) OR regexp_matches({p}.label, {text(Q.RESOURCE)}))"
+        good = f"(regexp_matches({p}.label, {text(Q.ACCOUNT)}) OR (regexp_matches({p}.label, {text(Q.ALIAS)}) AND NOT ({value_quality(f'{p}.value')}).weak))"
+        return f"CASE WHEN {p}.label <> '' AND NOT {bad} AND {good} THEN {p} END"
+
+    got = lambda x, i: f"regexp_extract({x}, {text(Q.PAIR)}, {i})"
+    taken = lambda x: f"{{'label': {strip(got(x, 1))}, 'sep': {got(x, 2)}, 'value': {strip(got(x, 3))}}}"
+    return let(strip(line), lambda x: f"CASE WHEN regexp_matches({x}, '[:=]') THEN {let(taken(x), judged)} END")
+
+
+def redacted(c: str) -> str:
+    """A text with its secret values starred out."""
+    stars, label = "********", "(?:" + "|".join(Q.SECRET_LABELS) + ")"
+    out = f"regexp_replace({c}, {text(Q.ASSIGNMENT)}, '\\1\\2\\3{stars}', 'g')"
+    out = f"regexp_replace({out}, {text(Q.XML_TAG)}, '<\\1>{stars}</\\1>', 'g')"
+    add = rf"(?i)(<add\b[^>]*\b(?:name|key)\s*=\s*[\"']\s*{label}\s*[\"'][^>]*\bvalue\s*=\s*[\"'])[^\"']+([\"'][^>]*/?>)"
+    attribute = rf"(?i)(<[^>]+\b(?:{Q._LABELS})\s*=\s*[\"'])[^\"']+([\"'][^>]*/?>)"
+    for p in (add, attribute):
+        out = f"regexp_replace({out}, {text(p)}, '\\1{stars}\\2', 'g')"
+    line = lambda x: let(pair_of(x), lambda p: f"coalesce({p}.label || {p}.sep || '{stars}', {x})")
+    return f"CASE WHEN {strip(c)} = '' THEN '' ELSE array_to_string(list_transform(string_split({out}, chr(10)), lambda x: {line('x')}), chr(10)) END"
+
+
+def _element(labels: tuple[str, ...]) -> str:
+    """First element of a text that gives one of the labels a value."""
+    first = lambda p: f"(list_filter(list_zip(regexp_extract_all(text, {text(p)}, 0), regexp_extract_all(text, {text(p)}, 1)), lambda z: {norm('z[2]')} IN {among(labels)})[1])[1]"
+    return f"coalesce({first(Q.XML_ADD)}, {first(Q.XML_ATTRIBUTE)}, '')"
+
+
+def content_match(rule: dict) -> str:
+    """A content rule's match in ``text``, empty if none."""
+    got = f"regexp_extract(text, {pattern(rule)}, 0)"
+    if rule["id"] == matching.NOTE_RULE:
+        return f"coalesce(list_filter(regexp_extract_all(text, {text(rule['pattern'])}, 0), lambda x: {pair_of('x')} IS NOT NULL)[1], '')"
+    labels = {matching.PASSWORD_RULE: Q.PASSWORD_LABELS, matching.SECRET_RULE: Q.SECRET_LABELS}.get(rule["id"])
+    return f"CASE WHEN {got} <> '' THEN {got} ELSE {_element(labels)} END" if labels else got
+
+
 def rule_hits(rules: list[dict], columns: str) -> str:
     """Matches of rules, by their types: a SELECT over ``files``."""
     on = {"filename": "name", "extension": "lower(extension)", "content": "text"}
     parts = []
     for r in rules:
-        got = f"regexp_extract({on[r['type']]}, {pattern(r)}, 0)"
-        parts.append(f"SELECT {columns}, {text(r['id'])} AS rule_id, {text(r['type'])} AS signal_type, {text(r['category'])} AS category, {text(r['severity'])} AS severity, {got} AS match FROM files WHERE {eligible(r)} AND {got} <> ''")
+        got = content_match(r) if r["type"] == "content" else f"regexp_extract({on[r['type']]}, {pattern(r)}, 0)"
+        parts.append(f"SELECT {columns}, {text(r['id'])} AS rule_id, {text(r['type'])} AS signal_type, {text(r['category'])} AS category, {text(r['severity'])} AS severity, match FROM (SELECT *, {got} AS match FROM files WHERE {eligible(r)}) WHERE match <> ''")
     return " UNION ALL ".join(parts)
 
 
@@ -72,10 +165,10 @@ RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' TH
 
 
 def hits(rules: list[dict]) -> str:
-    """``files`` and ``hits``: matches of name and path detectors, scored by their signals."""
-    rules = [r for r in rules if r["type"] != "content" and r["action"] != "skip"]
-    score = "CASE signal_type WHEN 'validated' THEN 40 WHEN 'filename' THEN 18 ELSE 10 END"
-    return f"{vfs.CTE}, hits AS (SELECT *, {score} AS confidence_score, {RANK} AS severity_rank FROM ({rule_hits(rules, COLUMNS)} UNION ALL {path_hits(COLUMNS)}))"
+    """``files`` and ``hits``: matches of all rules and of the path detectors, scored by their signals."""
+    rules = [r for r in rules if r["action"] != "skip"]
+    score = "CASE signal_type WHEN 'validated' THEN 40 WHEN 'content' THEN 32 WHEN 'filename' THEN 18 ELSE 10 END"
+    return f"{vfs.CTE}, hits AS MATERIALIZED (SELECT *, {score} AS confidence_score, {RANK} AS severity_rank FROM ({rule_hits(rules, COLUMNS)} UNION ALL {path_hits(COLUMNS)}))"
 
 
 def points(*cases: tuple[str, int]) -> str:
@@ -123,6 +216,7 @@ def pairs(rules: list[dict]) -> str:
         _anchors("ad", f"CASE WHEN regexp_matches({base}, '^ntds\\.dit(?:\\.(?:bak|old))?$') THEN 'ntds' WHEN regexp_matches({base}, '^system(?:\\.(?:bak|old))?$') THEN 'system' END", DIRECTORY),
         _anchors("aws", "CASE rule_id WHEN 'awsinspect.path.credentials' THEN 'credentials' WHEN 'awsinspect.path.config' THEN 'config' END", before("/.aws/")),
         _anchors("keys", key, tier),
+        _anchors("certs", f"CASE WHEN regexp_matches({base}, '[.](?:pfx|p12)$') AND rule_id = 'extension.key_and_certificate_extensions' THEN 'certificate' WHEN rule_id IN ('content.password_assignment_indicators', 'content.password_note_value_indicators', 'content.note_style_credential_pair_indicators') THEN 'password' END", tier),
         _anchors("browser", "CASE WHEN starts_with(rule_id, 'browsercredinspect.') THEN replace(substr(rule_id, 20), '.', '_') END", profile),
         _anchors("dpapi", "CASE WHEN starts_with(rule_id, 'wincredinspect.path.') THEN regexp_extract(rule_id, '([a-z]+)$', 1) END", f"coalesce({before('/appdata/roaming/')}, {before('/appdata/local/')})"),
         _anchors("stores", f"nullif(regexp_replace(regexp_extract({base}, '^(ntds\\.dit|system|sam|security)(?:\\.(?:bak|old))?$', 1), '\\.dit$', ''), '')", backup),
@@ -136,6 +230,7 @@ def pairs(rules: list[dict]) -> str:
         _pair("aws", "credentials", "config", "cloud.aws_profile_bundle", "'high'", "78", "'credentials + config'"),
         _pair("keys", "private_key", "client", "remote_access.private_key_bundle", "'critical'", "84", "'private key + client-auth artifact'"),
         _pair("keys", "private_key", "ssh", "remote_access.private_key_bundle", "'high'", "76", "'private key + SSH support'") + f" AND {gone('keys', 'client')}",
+        _pair("certs", "certificate", "password", "remote_access.certificate_bundle", "'critical'", "82", "'certificate + password evidence'"),
         _pair("browser", "firefox_logins", "firefox_key4", "browser.profile_credential_store", "'critical'", "84", "'Firefox logins + key4'"),
         _pair("browser", "chromium_login_data", "chromium_cookies", "browser.profile_credential_store", "'high'", "78", "'Chromium Login Data + Cookies'") + f" AND NOT {fire}",
         f"SELECT a.host, a.share, a.file_path, 'correlation.windows.dpapi_credential_store', 'critical', CASE WHEN {has('dpapi', 'credentials')} AND {has('dpapi', 'vault')} THEN 88 ELSE 84 END, "

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import quality as Q
 from tidewrack.functions import text as X
-from tidewrack.operators import compare, crossfile, gating, inspect_db, inspect_paths, matching, planner, review, summary
+from tidewrack.operators import compare, crossfile, findings, gating, inspect_db, inspect_paths, matching, planner, review, summary
 from tidewrack.plans import duck
 from tidewrack.sources import content, rules, scratch, vfs
 from tidewrack.streaming import incremental
@@ -21,8 +21,7 @@ from tidewrack.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = rules.select(rules.default_rules())
 PLACED = ["file_id", "host", "share", "file_path", "name", "extension", "size", "modified_at", "source", "from_sysvol"]
-#: Content rules that are one pattern; the others have logic of their own.
-PLAIN = [r for r in rules.of_type(RULES, "content") if r["id"] not in (matching.NOTE_RULE, matching.PASSWORD_RULE, matching.SECRET_RULE)]
+CONTENT = rules.of_type(RULES, "content")
 SUPPRESSIONS = [
     {"id": "s1", "enabled": True, "categories": ["scripts"], "shares": ["it-ops"]},
     {"id": "s2", "enabled": True, "path_contains": ["/archive/", "temp/"]},
@@ -48,19 +47,26 @@ _FILES = f"WITH {vfs.CTE} "
 _HITS = f"WITH {duck.hits(RULES)} "
 
 
-def name_hits(files: DataFrame) -> DataFrame:
-    """Matches of name and extension rules and of the detectors that need only a path."""
-    files = files.drop("text")
+def all_hits(files: DataFrame) -> DataFrame:
+    """Matches of all rules, contents included, and of the detectors that need only a path."""
     named = matching.metadata_matches(files, RULES).withColumn("signal_type", F.col("rule_type"))
-    every = [inspect_paths.backup_matches(), inspect_paths.browser_matches(), inspect_paths.windows_matches(), inspect_paths.aws_matches(), inspect_db.artifact_matches()]
-    placed = files.select("*", F.explode(F.concat(*every)).alias("m")).select("*", "m.rule_id", "m.category", "m.severity", "m.confidence", "m.match", "m.tags").withColumn("signal_type", F.lit("validated"))
+    inside = matching.content_matches(files, RULES).withColumn("signal_type", F.col("rule_type"))
     keep = [*PLACED, "rule_id", "signal_type", "category", "severity", "confidence", "match", "tags"]
-    rows = named.select(*keep).unionByName(placed.select(*keep))
-    return rows.withColumn("confidence_score", F.when(F.col("signal_type") == "validated", 40).when(F.col("signal_type") == "filename", 18).otherwise(10))
+    rows = named.select(*keep).unionByName(inside.select(*keep)).unionByName(path_hits(files).select(*keep))
+    return rows.withColumn("confidence_score", F.when(F.col("signal_type") == "validated", 40).when(F.col("signal_type") == "content", 32).when(F.col("signal_type") == "filename", 18).otherwise(10))
+
+
+def path_hits(files: DataFrame) -> DataFrame:
+    """Matches of the detectors that need only a path."""
+    files = X.once(files.drop("text"), __path=inspect_paths.path())
+    p = F.col("__path")
+    every = [inspect_paths.backup_matches(p), inspect_paths.browser_matches(p), inspect_paths.windows_matches(p), inspect_paths.aws_matches(p), inspect_db.artifact_matches()]
+    files = X.once(files, __found=X.aside(F.concat(*every))).drop("__path")
+    return files.select("*", F.explode("__found").alias("m")).select("*", "m.rule_id", "m.category", "m.severity", "m.confidence", "m.match", "m.tags").drop("__found", "m").withColumn("signal_type", F.lit("validated"))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_hits(vfs.files(spark, sf_dir))
+    return all_hits(vfs.files(spark, sf_dir))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,10 +154,10 @@ def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINE = "length(substr(text, 1, instr(text, match) - 1)) - length(replace(substr(text, 1, instr(text, match) - 1), chr(10), '')) + 1"
 
 
-@_query(f"{_FILES}, c AS ({duck.rule_hits(PLAIN, 'file_id, text')}) SELECT file_id, rule_id, category, severity, match, CAST({_LINE} AS INTEGER) AS line FROM c")
+@_query(f"{_FILES}, c AS ({duck.rule_hits(CONTENT, 'file_id, text')}) SELECT file_id, rule_id, category, severity, match, CAST({_LINE} AS INTEGER) AS line FROM c")
 def content_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3, M6: first match of each content rule, and its line."""
-    return matching.content_matches(vfs.files(spark, sf_dir), PLAIN).select("file_id", "rule_id", "category", "severity", "match", "line")
+    return matching.content_matches(vfs.files(spark, sf_dir), CONTENT).select("file_id", "rule_id", "category", "severity", "match", "line")
 
 
 _ASSIGNED = f"SELECT file_id, unnest(regexp_extract_all(text, {duck.text(Q.ASSIGNMENT)}, 4)) AS v FROM files"
@@ -169,14 +175,14 @@ def value_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_id", "value", F.round(Q.entropy(v), 6).alias("entropy"), Q.classes(v).alias("classes"), Q.unique(v).alias("n_unique"))
 
 
-@_query()
+@_query(f"{_FILES}, a AS ({_ASSIGNED}) SELECT file_id, v AS value, unnest({duck.value_quality('v')}) FROM a")
 def value_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of assigned values."""
     rows = vfs.files(spark, sf_dir).select("file_id", F.explode(X.all_matches(F.col("text"), Q.ASSIGNMENT, 4)).alias("value"))
     return rows.select("file_id", "value", Q.value_quality(F.col("value")).alias("q")).select("file_id", "value", "q.*")
 
 
-@_query()
+@_query(f"{_FILES} SELECT file_id, {duck.redacted('text')} AS text FROM files")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: texts with their secrets starred out."""
     return vfs.files(spark, sf_dir).select("file_id", Q.redact(F.col("text")).alias("text"))
@@ -206,7 +212,7 @@ def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_FILES} SELECT file_id, rule_id, category, severity, match FROM ({duck.path_hits('file_id')})")
 def path_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detectors that need only a path."""
-    return _hits(spark, sf_dir).where("signal_type = 'validated'").select("file_id", "rule_id", "category", "severity", "match")
+    return path_hits(vfs.files(spark, sf_dir)).select("file_id", "rule_id", "category", "severity", "match")
 
 
 @_query()
@@ -260,7 +266,7 @@ def _meets_sql(r: dict) -> str:
 
 
 _SUPPRESSED = "CASE " + " ".join(f"WHEN {_meets_sql(r)} THEN {duck.text(r['id'])}" for r in SUPPRESSIONS if r["enabled"]) + " END"
-_PRINT = "concat_ws('|', lower(rule_id), lower(host), lower(share), lower(file_path), lower(trim(match)))"
+_PRINT = f"concat_ws('|', lower(rule_id), lower(host), lower(share), lower(file_path), {duck.norm('match')})"
 
 
 @_query(f"{_HITS} SELECT file_id, rule_id FROM hits WHERE {_SUPPRESSED} IS NULL")
@@ -275,7 +281,7 @@ def suppression_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.suppression_summary(_hits(spark, sf_dir), SUPPRESSIONS)
 
 
-@_query(f"{_HITS} SELECT host, share, file_path, rule_id, match, confidence_score FROM (SELECT *, row_number() OVER (PARTITION BY lower(host), lower(share), lower(file_path), lower(rule_id), lower(category), lower(trim(match)) ORDER BY confidence_score DESC) AS n FROM hits) WHERE n = 1")
+@_query(f"{_HITS} SELECT host, share, file_path, rule_id, match, confidence_score FROM (SELECT *, row_number() OVER (PARTITION BY lower(host), lower(share), lower(file_path), lower(rule_id), lower(category), {duck.norm('match')} ORDER BY confidence_score DESC) AS n FROM hits) WHERE n = 1")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: findings without exact repeats."""
     return review.exact_dedup(_hits(spark, sf_dir)).select("host", "share", "file_path", "rule_id", "match", "confidence_score")
@@ -330,11 +336,11 @@ def backup_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"{_FILES}, c AS ({duck.rule_hits([r for r in PLAIN if r['id'] in summary.EXPORTED], 'host, share, file_path')}) SELECT rule_id, host, substr(sha256(trim(match)), 1, 16) AS value, count(DISTINCT (share, file_path)) AS n_places, string_agg(DISTINCT share || '/' || file_path, ';' ORDER BY share || '/' || file_path) AS places FROM c GROUP BY 1, 2, 3"
+    f"{_FILES}, c AS ({duck.rule_hits([r for r in CONTENT if r['id'] in summary.EXPORTED], 'host, share, file_path')}) SELECT rule_id, host, substr(sha256(trim(match)), 1, 16) AS value, count(DISTINCT (share, file_path)) AS n_places, string_agg(DISTINCT share || '/' || file_path, ';' ORDER BY share || '/' || file_path) AS places FROM c GROUP BY 1, 2, 3"
 )
 def credential_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exportable credentials, as digests."""
-    return summary.credential_inventory(matching.content_matches(vfs.files(spark, sf_dir), PLAIN))
+    return summary.credential_inventory(matching.content_matches(vfs.files(spark, sf_dir), CONTENT))
 
 
 #: The run before: it didn't know the hosts of one source, and judged one share less severe.
@@ -342,7 +348,7 @@ def _before(hits: DataFrame) -> DataFrame:
     return hits.where("source <> 'ldap'").withColumn("severity", F.when(F.col("share") == "it-ops", F.lit("low")).otherwise(F.col("severity")))
 
 
-_KEYS = "lower(rule_id) AS rule, lower(host) AS host_key, lower(share) AS share_key, lower(file_path) AS path, lower(trim(match)) AS match_key, category, severity, confidence_score, signal_type"
+_KEYS = f"lower(rule_id) AS rule, lower(host) AS host_key, lower(share) AS share_key, lower(file_path) AS path, {duck.norm('match')} AS match_key, category, severity, confidence_score, signal_type"
 _BEFORE = f"before AS (SELECT {_KEYS.replace(' severity,', ' CASE WHEN share = ' + duck.text('it-ops') + ' THEN ' + duck.text('low') + ' ELSE severity END AS severity,')} FROM hits WHERE source <> 'ldap'), now AS (SELECT {_KEYS} FROM hits)"
 
 
@@ -544,20 +550,23 @@ def sqlite_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a file stream, which must be those of the batch."""
     at = scratch.folder(spark)
-    files = vfs.files(spark, sf_dir).drop("text")
+    files = vfs.files(spark, sf_dir)
     files.write.parquet(f"{at}/files")
-    incremental.run(incremental.stream(spark, f"{at}/files", files.schema), name_hits, f"{at}/found", f"{at}/state").awaitTermination()
+    incremental.run(incremental.stream(spark, f"{at}/files", files.schema), all_hits, f"{at}/found", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/found").select("file_id", "rule_id", "match")
 
 
-@_query(
-    f"{_HITS}, c AS ({duck.rule_hits(PLAIN, 'file_id')}) SELECT category, severity, count(*) AS n, count(DISTINCT file_id) AS n_files FROM (SELECT file_id, category, severity FROM hits UNION ALL SELECT file_id, category, severity FROM c) GROUP BY category, severity"
-)
+@_query(f"{_HITS} SELECT category, severity, count(*) AS n, count(DISTINCT file_id) AS n_files FROM hits GROUP BY category, severity")
 def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by category and severity: names, paths and contents."""
-    files = vfs.files(spark, sf_dir)
-    found = name_hits(files).select("file_id", "category", "severity").union(matching.content_matches(files, PLAIN).select("file_id", "category", "severity"))
-    return found.groupBy("category", "severity").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files"))
+    return _hits(spark, sf_dir).groupBy("category", "severity").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files"))
+
+
+@_query()
+def scored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scored finding for each file and category, from all rules and inspectors."""
+    keep = ("file_id", "host", "share", "file_path", "category", "rule_id", "severity", "confidence", "confidence_score", "signal_type", "match", "line", "account", "content_score", "heuristic_score", "path_score", "correlation_score", "triage_class", "actionable", "correlated")
+    return findings.evaluate(vfs.files(spark, sf_dir), RULES).select(*keep, F.col("quality.label").alias("quality"), F.concat_ws(",", "matched_rule_ids").alias("rules"), F.concat_ws(",", "matched_signal_types").alias("signals"))
 
 
 flagship = finding_summary

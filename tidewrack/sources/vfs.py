@@ -9,6 +9,9 @@ that look secret are invented from a hash of the id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewrack.functions import text as X
 
 HOSTS = ["fs01.corp.example", "dc02.corp.example"]
 SHARES = ["SYSVOL", "it-ops", "Users$"]
@@ -111,7 +114,9 @@ FROM (
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus of a folder of tables."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return spark.sql(sql("{documents}").replace("{encode}", "text"), documents=documents)
+    rows = spark.sql(sql("{documents}").replace("{encode}", "text"), documents=documents)
+    # derived columns stand for those of a table: conditions on them aren't to copy how they were derived
+    return X.once(rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns]), **{c: F.col(f"_{c}") for c in rows.columns}).select(*rows.columns)
 
 
 #: Common table expression of the corpus for DuckDB.
