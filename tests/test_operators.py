@@ -220,3 +220,9 @@ def test_clean_paths(spark):
 def test_severities_without_findings_count(spark):
     got = {r["severity"]: r["n"] for r in summary.by_severity(spark.createDataFrame([finding("h", "a", "r")], FINDING)).collect()}
     assert got == {"info": 0, "low": 0, "medium": 0, "high": 1, "critical": 0}
+
+
+def test_a_run_with_nulls_doesnt_differ_from_itself(spark):
+    rows = spark.createDataFrame([("r", None, "s", "a/b", None, "high"), ("r", "h", None, "a/c", "m", "low"), (None, None, None, None, None, None)], "rule_id string, host string, share string, file_path string, match string, severity string")
+    assert {r["status"] for r in compare.diff(rows, rows).collect()} == {"unchanged"} and compare.diff(rows, rows).count() == 3
+    assert {r["status"] for r in compare.diff(rows.limit(0), rows).collect()} == {"new"}

@@ -15,7 +15,8 @@ FIELDS = ("category", "severity", "confidence", "confidence_score", "context", "
 def keyed(findings: DataFrame) -> DataFrame:
     """``findings`` with the five columns of a fingerprint, the last of duplicates in order of all fields."""
     path = F.replace(X.norm(F.col("file_path")), F.lit("\\"), F.lit("/"))
-    made = dict(zip(KEY, (X.norm(F.col("rule_id")), X.norm(F.col("host")), X.norm(F.col("share")), path, X.norm(F.col("match")))))
+    # a null counts as nothing, else no key that holds one would ever meet its like
+    made = {n: F.coalesce(c, F.lit("")) for n, c in zip(KEY, (X.norm(F.col("rule_id")), X.norm(F.col("host")), X.norm(F.col("share")), path, X.norm(F.col("match"))))}
     rows = findings.withColumns(made)
     fields = [c for c in FIELDS if c in findings.columns]
     last = Window.partitionBy(*KEY).orderBy(*[F.col(c).desc() for c in fields])

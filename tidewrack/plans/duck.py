@@ -241,3 +241,57 @@ def pairs(rules: list[dict]) -> str:
         "FROM (SELECT *, row_number() OVER (PARTITION BY kh, ks, ctx ORDER BY confidence_score DESC, severity_rank DESC, file_path) AS best, count(*) OVER (PARTITION BY kh, ks, ctx) AS many FROM stores) a WHERE best = 1 AND many >= 2",
     ]
     return f"WITH {hits(rules)}, {', '.join(ctes)} " + " UNION ALL ".join(selects)
+
+
+def cloud_bundles() -> str:
+    """Bundles of keys in the files of cloud profiles."""
+    plain = strip("regexp_replace(substr(x, cut + 1), '^[\"'']+|[\"'']+$', '', 'g')")
+    inside = f"contains({PATH}, '/.aws/') AND regexp_matches(lower(name), '^(?:credentials|config)(?:\\.(?:bak|old|backup|copy))?$')"
+    kinds = {"aws_access_key_id": inspect_paths._KEY, "aws_secret_access_key": inspect_paths._SECRET, "aws_session_token": inspect_paths._SESSION}
+    valid = " OR ".join(f"(k = '{k}' AND regexp_matches(v, '{p}'))" for k, p in kinds.items())
+    return f"""WITH {vfs.CTE}, split AS (SELECT file_id, list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: {strip('x')}) AS lines FROM files WHERE {inside}),
+l AS (SELECT file_id, unnest(lines) AS x, unnest(range(1, len(lines) + 1)) AS i FROM split),
+c AS (SELECT *, CASE WHEN instr(x, '=') > 1 THEN instr(x, '=') WHEN instr(x, ':') > 1 THEN instr(x, ':') END AS cut FROM l WHERE x <> '' AND NOT regexp_matches(x, '^[#;\\[]')),
+p AS (SELECT file_id, i, {norm('substr(x, 1, cut - 1)')} AS k, {plain} AS v FROM c WHERE cut IS NOT NULL),
+g AS (SELECT * FROM p WHERE NOT regexp_matches(v, '(?i)example|fake|test|changeme|placeholder') AND ({valid}))
+SELECT file_id, 'awsinspect.content.credentials_bundle' AS rule_id, 'aws_access_key_id + aws_secret_access_key' || CASE WHEN count(*) FILTER (WHERE k = 'aws_session_token') > 0 THEN ' + aws_session_token' ELSE '' END AS match,
+  CAST(min(i) AS INTEGER) AS line FROM g GROUP BY file_id HAVING count(*) FILTER (WHERE k = 'aws_access_key_id') > 0 AND count(*) FILTER (WHERE k = 'aws_secret_access_key') > 0"""
+
+
+def meaningful(c: str) -> str:
+    """A value without its wrapping, empty for a placeholder."""
+    words = among(["dsn", "dbname", "database", "host", "server", "pwd", "password", "user", "username"])
+    bad = lambda v: f"regexp_matches(lower({v}), '^(?:<.*>|\\$?\\{{.*\\}})$') OR lower({v}) IN {words} OR {any_of(f'lower({v})', inspect_db.PLACEHOLDERS)}"
+    return let(strip(f"regexp_replace({strip(c)}, '^[\"'']+|[\"'']+$', '', 'g')"), lambda v: f"CASE WHEN {bad(v)} THEN '' ELSE {v} END")
+
+
+def tns_blocks() -> str:
+    """Services of network files: a text is split before each alias."""
+    alias = "(?im)^\\s*([\\w.-]+)\\s*=\\s*\\(DESCRIPTION\\b"
+    got = lambda key, of: meaningful(f"regexp_extract(block, '(?i)\\b{key}\\s*=\\s*{of}', 1)")
+    value = "([^) \\t\\r\\n]+)"
+    return f"""WITH {vfs.CTE}, b AS (SELECT file_id, string_split(regexp_replace(text, '{alias.replace('([', '([', 1)}', chr(1) || '\\0', 'g'), chr(1)) AS blocks FROM files WHERE lower(name) = 'tnsnames.ora' OR contains(upper(text), '(DESCRIPTION=')),
+n AS (SELECT file_id, unnest(blocks) AS block, unnest(list_transform(range(1, len(blocks) + 1), lambda i: coalesce(list_sum(list_transform(blocks[1:i - 1], lambda x: length(x) - length(replace(x, chr(10), '')))), 0) + 1)) AS line FROM b),
+p AS (SELECT file_id, CAST(line AS INTEGER) AS line, regexp_extract(block, '{alias}', 1) AS alias, {got('HOST', value)} AS host_name, {got('PORT', '([0-9]{2,5})')} AS port, coalesce(nullif({got('SERVICE_NAME', value)}, ''), {got('SID', value)}) AS service FROM n),
+m AS (SELECT *, alias || ' -> ' || host_name || CASE WHEN port <> '' THEN ':' || port ELSE '' END || '/' || service AS match FROM p WHERE alias <> '' AND host_name <> '' AND service <> '')
+SELECT file_id, alias, host_name, port, service, match, line FROM (SELECT *, row_number() OVER (PARTITION BY file_id, lower(match) ORDER BY line) AS nth FROM m) WHERE nth = 1"""
+
+
+def exposure(rules: list[dict], top: int) -> str:
+    """The first ways in: correlated findings by how exploitable they are."""
+    both = "contains(lower(match), 'ntds') AND contains(lower(match), 'system')"
+    families = " + ".join(f"CAST(contains(lower(match), '{w}') AS INTEGER)" for w in ("ntds", "system", "sam", "security"))
+    every = " AND ".join(f"contains(lower(match), '{w}')" for w in ("credentials", "vault", "protect"))
+    kinds = [
+        ("ad.ntds_system", "", "ad-compromise-path", 95, "complete"), ("cloud.aws_profile_bundle", "", "cloud-credential-path", 88, "paired"),
+        ("windows.dpapi_credential_store", every, "windows-credential-store-exposure", 88, "complete"), ("windows.dpapi_credential_store", "", "windows-credential-store-exposure", 84, "paired"),
+        ("remote_access.private_key_bundle", "contains(lower(match), 'client-auth')", "vpn-client-auth-access-path", 86, "complete"), ("remote_access.private_key_bundle", "", "ssh-access-path", 78, "paired"),
+        ("remote_access.certificate_bundle", "", "certificate-client-auth-path", 88, "paired"),
+        ("browser.profile_credential_store", "contains(lower(match), 'firefox')", "browser-credential-store-exposure", 76, "paired"), ("browser.profile_credential_store", "", "browser-credential-store-exposure", 72, "paired"),
+        ("backup.system_state_exposure", both, "backup-exposure-path", 92, "complete"), ("backup.system_state_exposure", f"{families} >= 3", "backup-exposure-path", 90, "multi-artifact"), ("backup.system_state_exposure", "", "backup-exposure-path", 88, "paired"),
+    ]
+    case = "CASE " + " ".join(f"WHEN rule_id = 'correlation.{r}'{' AND ' + w if w else ''} THEN {{'t': '{t}', 's': {n}, 'c': '{c}'}}" for r, w, t, n, c in kinds) + " END"
+    order = f"score DESC, {RANK} DESC, host, share, file_path, rule_id"
+    return f"""SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank, score, CASE WHEN score >= 90 THEN 'high' WHEN score >= 75 THEN 'medium' ELSE 'low' END AS tier, k.t AS path_type, '' AS base_type,
+  k.c AS completeness, host, share, file_path, rule_id, severity, 2 AS n_related
+FROM (SELECT *, CAST(least(k.s + CASE k.c WHEN 'complete' THEN 4 WHEN 'multi-artifact' THEN 6 ELSE 2 END, 100) AS INTEGER) AS score FROM (SELECT *, {case} AS k FROM ({pairs(rules)})) WHERE k IS NOT NULL) ORDER BY {order} LIMIT {top}"""

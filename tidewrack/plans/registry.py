@@ -227,13 +227,13 @@ def dsn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect_db.sections(vfs.files(spark, sf_dir)).select("file_id", "rule_id", "severity", "match", "ecosystem", "section")
 
 
-@_query()
+@_query(duck.tns_blocks())
 def tns_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services of network files."""
     return inspect_db.tns_services(vfs.files(spark, sf_dir)).select("file_id", "alias", "host_name", "port", "service", "match", "line")
 
 
-@_query()
+@_query(duck.cloud_bundles())
 def cloud_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of cloud profiles, by their places only."""
     return vfs.files(spark, sf_dir).where(inspect_paths.is_aws()).select("file_id", F.explode(inspect_paths.aws_content_matches(F.col("text"))).alias("m")).select("file_id", "m.rule_id", "m.match", "m.line")
@@ -252,7 +252,7 @@ def cross_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossfile.correlated(rows).select("host", "share", "file_path", "rule_id", "severity", "confidence_score", "match")
 
 
-@_query()
+@_query(duck.exposure(RULES, 8))
 def exposure_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ways in."""
     rows = _hits(spark, sf_dir).withColumns({"context": F.col("match"), "matched_rule_ids": F.array("rule_id")})
