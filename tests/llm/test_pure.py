@@ -187,6 +187,20 @@ def test_best_fit_and_crossover_keep_every_piece():
     assert packing.fitness(packing.evolve(people, sizes, 100, 10, draw)[0], sizes, 100) >= packing.fitness(people[0], sizes, 100)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_evolution_packs_better_than_best_fit(seed):
+    draw = np.random.default_rng(seed)
+    sizes = []
+    for _ in range(60):  # three pieces fill a bin, which best fit doesn't see
+        a = int(draw.integers(380, 490))
+        b = int(draw.integers(250, (1000 - a) // 2 + 1))
+        sizes += [a, b, 1000 - a - b]
+    sizes = np.array(sizes)
+    people = packing.found(sizes, 1000, packing.POPULATION, draw)
+    best = packing.evolve(list(people), sizes, 1000, packing.GENERATIONS, draw)[0]
+    assert np.bincount(best, sizes).max() <= 1000 and len(np.unique(best)) < len(np.unique(people[0]))
+
+
 def test_sampled_pieces_follow_the_lattice():
     vocab = sampling.vocabulary(MODEL, 1.0)
     unit = b" there"

@@ -4,10 +4,12 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidewrack.llm import _text as X
 from tidewrack.llm import fingerprints, langid, packing, quality, queries, sampling, sharding, simhash, suffix_dedup, toxicity, url_filters
 from tidewrack.llm.queries import MODEL
 
@@ -55,12 +57,28 @@ OPERATORS = {
 STAGES = dict(corpus_pipeline.STAGES)
 
 
+def odd_results():
+    """What each operator gives for :func:`odd`, as (column values, rows)."""
+    long = prose(60_000, 2)
+    return {
+        "op2": lambda g: sorted((r["doc_id"] or 0, r["containment"] > 0.9) for r in g) == [(0, True), (1, True), (1, True), (4, False), (5, False), (6, False), (7, False), (7, True)],
+        "op3": lambda g: {(r["doc_id"], r["keeper_id"]) for r in g} == {(1, 1), (None, 1), (7, 1)} and len(g) == 3,
+        "op4": lambda g: sorted((r["doc_id"] or 0, r["n_lines"]) for r in g) == [(0, 17), (1, 17), (1, 17), (6, long.count("\n") + 1), (7, 1), (7, 17)],
+        "op6": lambda g: sum(len(r["doc_ids"]) for r in g) == sum(-(-n // packing.CAPACITY) for n in [-(-len(t.encode()) // 4) for t in [prose(200, 1)] * 3 + [" \n\t", "x", long, prose(200, 1) + " more.", "other text here."]]),
+        "op8": lambda g: g == [],
+        "op10": lambda g: sorted((r["doc_id"] or 0, r["first_word"], r["n_words"]) for r in g) == [(0, 0, 200), (1, 0, 200), (7, 0, 200)],
+    }
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_operators_take_odd_and_empty_tables(spark, name):
     assert OPERATORS[name](spark, table(spark, [])).count() == 0
-    n = len(OPERATORS[name](spark, odd(spark)).collect())
+    got = OPERATORS[name](spark, odd(spark)).collect()
     every = {"op1": 125, "op5": 11, "op7": 11, "op9": 11}
-    assert n == every.get(name, n)
+    if name in every:
+        assert len(got) == every[name]
+    else:
+        assert odd_results()[name](got), got
 
 
 @pytest.mark.parametrize("name", STAGES)
@@ -103,19 +121,33 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert left == set(prints) - {i for i, _ in got}
 
 
-def test_containment_is_that_of_brute_force(spark):
+@pytest.mark.parametrize("sampled", [64, 1])
+def test_containment_is_that_of_brute_force(spark, sampled):
     a, b = prose(900, 1), prose(900, 2)
-    docs = table(spark, [(1, a, "en"), (2, a[:3000] + b, "en"), (3, b, "en"), (4, prose(300, 3), "en")])
-    sets = {}
-    for r in fingerprints.chunk_sets(docs).collect():
-        sets.setdefault(r["id"], {})[r["digest"]] = r["size"]
-    got = {r["doc_id"]: r for r in fingerprints.containment(docs).collect()}
-    for i, own in sets.items():
-        others = set().union(*(set(s) for j, s in sets.items() if j != i))
-        shared = sum(n for d, n in own.items() if d in others)
-        assert got[i]["shared_bytes"] == shared
-        assert math.isclose(got[i]["containment"], shared / sum(own.values()), abs_tol=1e-6)
-    assert got[2]["containment"] > 0.8 and got[4]["containment"] == 0 and got[2]["source_id"] == 1
+    foot = " all of these texts end with the same few words which stand here in every one of them without change."
+    rows = [("one", a, "en"), ("two", a[:3000] + b, "en"), ("three", b, "en"), ("four", prose(300, 3), "en")] + [(f"d{k}", prose(40, 50 + k, 10**6) + foot, "en") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    held = {}
+    for i, text, _ in rows:
+        data, offsets = X.buffers(pa.array([text]))
+        begin, end, _ = fingerprints.word_chunks(data, offsets)
+        folded = " ".join(text.lower().split(" ")).replace("\n", " ")
+        held[i] = [folded.encode()[x:y] for x, y in zip(begin.tolist(), end.tolist())]
+    keys = {r["id"]: r["k1"] for r in fingerprints._rows(docs, "doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in fingerprints.containment(docs, sampled=sampled).collect()}
+    assert set(got) == set(held)
+    for i, own in held.items():
+        shared, by = 0, {}
+        for c in own:
+            holders = sorted((keys[j], j) for j, s in held.items() if c in s)
+            if len(holders) > 1:
+                shared += len(c)
+                named = holders[0][1] if holders[0][1] != i else holders[-1][1]
+                by[named] = by.get(named, 0) + len(c)
+        best = min(by, key=lambda j: (-by[j], keys[j])) if by else None
+        assert (got[i]["shared_bytes"], got[i]["source_id"], got[i]["source_bytes"], got[i]["n_chunks"]) == (shared, best, by.get(best, 0), len(own))
+        assert math.isclose(got[i]["containment"], shared / len(rows[list(held).index(i)][1]), abs_tol=1e-6)
+    assert got["two"]["containment"] > 0.8 and got["four"]["containment"] == 0 and got["d3"]["shared_bytes"] > 50
 
 
 def test_containment_of_near_copies_with_scattered_edits(spark):
@@ -138,7 +170,9 @@ def test_containment_of_near_copies_with_scattered_edits(spark):
     got = {r["doc_id"]: r for r in fingerprints.containment(table(spark, rows + rows[:2])).collect()}
     assert min(want.values()) > 0.5
     for i, share in want.items():
-        assert 0 < got[i]["containment"] <= share + 0.15 and got[i]["source_id"] == i - 1
+        assert 0 < got[i]["containment"] <= share + 0.15
+    # repeats of a base may stand for it only where they are the same text
+    assert sum(got[i]["source_id"] == i - 1 for i in want) >= len(want) - 1
     for lo, hi in ((2, 40), (40, 80), (80, 120)):
         mine = [i for i in want if lo <= i < hi]
         assert sum(got[i]["containment"] for i in mine) > 0.65 * sum(want[i] for i in mine)
@@ -158,6 +192,20 @@ def test_repeated_spans_are_those_of_sql(spark):
     assert left[2].split() == prose(70, 3).split()
 
 
+@pytest.mark.parametrize("contents", [4096, 3])
+def test_spans_of_a_passage_in_every_document_are_those_of_sql(spark, contents):
+    long, short = prose(80, 900).replace("\n", " "), prose(20, 901).replace("\n", " ")
+    rows = []
+    for i in range(40):  # all hold a long passage, and a phrase shorter than a window in different surroundings
+        rows.append((i, " ".join([prose(60, i, 10**6), long if i % 3 else "", prose(60, 100 + i, 10**6), short, prose(60, 200 + i, 10**6)]), "en"))
+    rows += [(100, " ".join(rows[7][1].split()[100:190]), "en"), (101, rows[8][1] + " and more", "en"), (102, rows[9][1], "en")]
+    docs = table(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    want = sorted(con.execute(suffix_dedup.SQL).fetchall())
+    assert len(want) > 25 and sorted(tuple(r) for r in suffix_dedup.repeated_spans(docs, contents=contents).collect()) == want
+
+
 def test_the_first_of_repeated_rows_keeps_what_others_share(spark):
     a = prose(130, 1)
     other = prose(70, 3) + " " + " ".join(a.split()[20:110]) + " " + prose(70, 4)
@@ -192,6 +240,12 @@ def test_bins_hold_every_piece_once(spark):
     assert len(bins) <= 1.03 * math.ceil(sum(tokens.values()) / packing.CAPACITY) + 1
 
 
+def test_rows_alike_are_packed_each_in_several_blocks(spark):
+    docs = table(spark, [(None, "b" * 2000, "en")] * 300)
+    bins = packing.pack(docs, block=50).collect()
+    assert sum(len(b["doc_ids"]) for b in bins) == 300 and len({b["bin_id"] >> 32 for b in bins}) > 3
+
+
 def test_shards_are_contiguous_and_balanced(spark):
     rows = [(i, "a" * int(n), "en") for i, n in enumerate(np.random.default_rng(2).integers(0, 500, 700))]
     got = sorted((r["doc_id"], r["n_bytes"], r["byte_start"], r["shard_id"]) for r in sharding.shard(table(spark, rows), ranges=13).collect())
@@ -201,13 +255,25 @@ def test_shards_are_contiguous_and_balanced(spark):
         at += n
 
 
+def test_shards_over_many_ranges_are_those_of_sql(spark):
+    draw = np.random.default_rng(3)
+    rows = [(None if i % 50 == 0 else int(draw.integers(0, 300)), "a" * int(n), "en") for i, n in enumerate(draw.integers(0, 500, 900))]
+    docs = table(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    want = sorted(con.execute(sharding.SQL).fetchall(), key=key)
+    for ranges in (1, 64, 200):
+        assert sorted((tuple(r) for r in sharding.shard(docs, ranges=ranges).collect()), key=key) == want
+
+
 def test_urls_and_quality_are_those_of_sql(spark):
     con = duckdb.connect()
     con.register("pages", pages(spark).toPandas().astype({"page_id": "Int64"}))
     con.register("labels", labels(spark).toPandas().astype({"doc_id": "Int64", "quality": "Int64"}))
     key = lambda r: tuple((x is None, x) for x in r)
     got = url_filters.judge(pages(spark), labels(spark))
-    r = con.execute(url_filters._sql())
+    r = con.execute(url_filters._sql(42))
     assert [d[0] for d in r.description] == got.columns
     assert sorted((tuple(x) for x in got.collect()), key=key) == sorted(r.fetchall(), key=key)
     con.register("documents", odd(spark).select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
@@ -215,12 +281,35 @@ def test_urls_and_quality_are_those_of_sql(spark):
     assert sorted((tuple(x) for x in quality.report(odd(spark)).collect()), key=key) == sorted(want, key=key)
 
 
+def test_many_sections_of_a_host_are_judged_one_by_one(spark):
+    rows, known = [], []
+    for k in range(40):  # equal sections, of which one is bad
+        for j in range(30):
+            rows.append((30 * k + j, f"https://big.example/sec{chr(97 + k % 26)}{'x' * (k // 26)}/item-{j}/page/deep/er/and/deep/er/still/so/{j}", ""))
+            known.append((30 * k + j, int(k != 7), 0))
+    both = spark.createDataFrame(rows, "page_id long, url string, html string"), spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in url_filters.judge(*both).collect()}
+    assert len(got) == 1200 and all(r["kept"] == (i // 30 != 7) for i, r in got.items())
+    assert got[215]["template"] == "/sech/{mixed}/page/deep/er/and/deep/er/still/so/{num}" and got[0]["template"].count("/") == 11
+
+
 def test_lines_fail_by_their_rules(spark):
     lines = {"A sentence stands here.": True, "He said \"no.\"": True, "No end": False, "Home | News | Sport | About.": False, "All Rights Reserved.": False, "Buy!!! Now!!! $$$ ###.": False, "© 2020 Someone.": False, "The licence was released under the act.": False}
     got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", quality.line_passes(F.col("x")).alias("ok")).collect()
     assert {r["x"]: r["ok"] for r in got} == lines
 
 
+def test_lines_may_end_as_on_any_system(spark):
+    lines = ["The first sentence stands here.", "\tA second one follows it.\u00a0", "And the third ends the text. \t", "Cliquez ici.", "No end"]
+    docs = table(spark, [(i, end.join(lines), "en") for i, end in enumerate(("\n", "\r\n", "\r", "\u2028"))] + [(9, "\r\n\t\u00a0\r\n", "en")])
+    want = "\n".join(x.strip() for x in lines[:3])
+    assert sorted((r["doc_id"], r["text"], r["n_lines"]) for r in quality.report(docs).collect()) == [(i, want, 3) for i in range(4)]
+    assert {r["text"] for r in quality.clean(docs).collect()} == {want}
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    assert sorted(con.execute(quality.SQL).fetchall()) == sorted(tuple(r) for r in quality.report(docs).collect())
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 60 and lang is not null")
     model = langid.train(docs.where("doc_id % 2 = 0"))
@@ -230,6 +319,22 @@ def test_held_out_languages(spark):
     assert right / n > 0.97
 
 
+def test_rows_alike_and_null_ids_dont_break_the_sample(spark):
+    rows = [(None, "same words again and again", "en")] * 300 + [(None, prose(20, k, 50), "en") for k in range(400)] + [(1, "ähnlich über größe", "de")]
+    model = langid.train(table(spark, rows), sample=40)
+    counts = (np.exp(model.table.astype(float)).sum(0) > 0).tolist()
+    assert model.languages == ("de", "en") and counts == [True, True]
+    assert math.isclose(float(np.exp(model.prior).sum()), 1.0) and model.prior[1] > model.prior[0]
+
+
+def test_contradictory_labels_count_as_toxic(spark):
+    docs = table(spark, [(i, ("vile awful rude " if i % 2 else "kind warm good ") + prose(15, i), "en") for i in range(60)])
+    both = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (3, 0), (5, 7)], "doc_id long, toxic int")
+    once = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    a, b = toxicity.train(docs, both.repartition(3)), toxicity.train(docs, once)
+    assert a.tokens.tolist() == b.tokens.tolist() and np.allclose(a.scores, b.scores)
+
+
 def test_a_rare_language_is_learned_whole(spark):
     draw = np.random.default_rng(6)
     text = lambda letters: " ".join("".join(draw.choice(list(letters), 5)) for _ in range(30))

@@ -55,10 +55,11 @@ def grams(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """
     texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
     many = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = np.frombuffer(" ".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    # each text follows and is followed by a space, wherever in the batch it stands
+    flat = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "replace"), np.uint32)
     small = flat < 0x500
     points = np.where(small, _FOLD[np.where(small, flat, 0)], np.where(flat < 0x2000, flat, np.where(flat < 0x2E80, 32, flat)))
-    row = np.repeat(np.arange(len(texts)), many + 1)[: len(points)]
+    row = np.concatenate([[-1], np.repeat(np.arange(len(texts)), many + 1)])[: len(points)]
     space = points == 32
     keep = np.ones(len(points), bool)
     keep[1:] = ~(space[1:] & space[:-1])
