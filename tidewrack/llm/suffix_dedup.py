@@ -9,13 +9,16 @@ are first parted into cells that can't share a window:
   it; equal windows have equal minimisers. A cell is a run of windows of one
   text with one minimiser. Only cells are shuffled, about one for 18 words.
 * Of cells that agree word for word the first stays and the rest are copies as
-  a whole. A minimiser that has one cell, which doesn't repeat itself, is done.
+  a whole; they are added up before they move, and a minimiser that has one
+  cell, which doesn't repeat itself, is done.
 * The rest, one cell for each content, brings its words. Blocks of whole
   minimisers get a suffix array by prefix doubling, to a depth above the
   window; previous and next smaller positions in suffix order give each
   suffix's longest previous factor.
-
-A minimiser's task holds its different contents only, however many texts have them.
+* A minimiser with more than ``CONTENTS`` different contents, such as a phrase
+  that very many texts hold in different surroundings, is too much for one
+  suffix array. Its windows are compared by a hash of 64 bits instead, which
+  finds the same ones and needs no task that holds them all.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -39,6 +42,8 @@ WINDOW = 50
 GRAM = 16
 #: Words that one suffix array is built over, or one minimiser's where it has more.
 BLOCK = 1 << 19
+#: Different contents of a minimiser that one suffix array takes.
+CONTENTS = 4096
 
 
 def _slide(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -247,11 +252,33 @@ def _factor_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         yield done(held)
 
 
+def _window_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Hash and place of each window of each content."""
+    for batch in batches:
+        data, offsets = X.buffers(batch.column("words"))
+        words = np.frombuffer(data.tobytes(), np.uint32).astype(np.uint64)
+        if not len(words):
+            continue
+        first = offsets // 4
+        many = batch.column("many").to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(many)), many)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        hashes = _grams(words, window)[first[row] + nth]
+        take = pa.array(row)
+        at = batch.column("at").to_numpy()[row] + nth
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "k1", "k2")), pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))], ["id", "k1", "k2", "at", "hash"])
+
+
 def _order() -> list:
     return [F.col("id").isNull(), F.col("id"), F.col("k1"), F.col("k2"), F.col("at")]
 
 
-def _covers(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
+def _place() -> Column:
+    """Where a window stands, in the order of the corpus."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "at")
+
+
+def _covers(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, contents: int) -> DataFrame:
     """Repeated windows: ``id k1 k2``, ``turn`` among rows alike, and runs ``at``, ``many``."""
     rows = narrow(docs, id_col, text_col)
     k1, k2 = key(rows["id"], rows["text"])
@@ -259,20 +286,35 @@ def _covers(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int)
     kind = T.StructField("id", rows.schema["id"].dataType)
     fields = lambda s: T.StructType([kind, *T._parse_datatype_string(s).fields])
     every = rows.mapInArrow(lambda b: _cell_batches(b, window, gram), fields("k1 long, k2 long, cell long, content long, at int, many int, loops boolean"))
-    alike = Window.partitionBy("cell", "content").orderBy(*_order())
-    group = Window.partitionBy("cell")
-    every = every.repartition("cell").withColumn("rank", F.rank().over(alike)).withColumn("turn", F.row_number().over(alike) - F.col("rank") + 1)
-    every = every.withColumn("one", F.min("content").over(group) == F.max("content").over(group))
-    every = cut(every.where("rank > 1 or turn > 1 or not one or loops").withColumn("whole", F.expr("rank > 1 or turn > 1")).select("id", "k1", "k2", "turn", "cell", "at", "many", "whole"))
-    wanted = every.where("not whole").groupBy("k1", "k2").agg(F.collect_set(F.struct("cell", "at", "many")).alias("cells"))
-    # rows alike bring their contents once: the first of them is no copy of the others
-    once = Window.partitionBy("k1", "k2").orderBy(F.lit(0))
-    held = rows.join(wanted, ["k1", "k2"]).withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    found = held.mapInArrow(lambda b: _content_batches(b, window), fields("k1 long, k2 long, cell long, at int, many int, words binary"))
+    # equal contents are added up before they move, so that a passage that very many texts hold is no hot group
+    groups = cut(every.groupBy("cell", "content").agg(F.min(_place()).alias("first"), F.count("*").alias("n"), F.max("loops").alias("loops")))
+    sizes = cut(groups.groupBy("cell").agg(F.count("*").alias("contents"), F.max(F.col("loops") | (F.col("n") > 1)).alias("alone")).where("contents > 1 or alone").drop("alone"))
+    large = not sizes.where(F.col("contents") > contents).isEmpty()
+    groups = groups.join(sizes, "cell").where("n > 1 or contents > 1 or loops").select("cell", "content", "first", (F.col("contents") > contents).alias("large"))
+    every = every.drop("loops").join(groups, ["cell", "content"]).withColumn("whole", _place() != F.col("first"))
+    # rows alike bring each cell as often as they are
+    every = every.groupBy("id", "k1", "k2", "cell", "at", "many", "large", "whole").agg(F.count("*").alias("rows"))
+    every = cut(every)
+    n = F.col("rows").cast("int")
+    copies = every.select("id", "k1", "k2", "at", "many", F.explode(F.when(F.col("whole"), F.sequence(F.lit(1), n)).when(n > 1, F.sequence(F.lit(2), n))).alias("turn"))
+
+    def contents_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("cell", "at", "many")).alias("cells"))
+        # rows alike bring their contents once: the first of them is no copy of the others
+        once = Window.partitionBy("k1", "k2").orderBy(F.lit(0))
+        held = rows.join(wanted, ["k1", "k2"]).withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
+        return held.mapInArrow(lambda b: _content_batches(b, window), fields("k1 long, k2 long, cell long, at int, many int, words binary"))
+
+    found = contents_of(every.where("not whole and not large"))
     found = found.repartition("cell").sortWithinPartitions("cell", *_order())
     found = found.mapInArrow(lambda b: _factor_batches(b, window), fields("k1 long, k2 long, at int, many int"))
-    whole = every.where("whole").select("id", "k1", "k2", "turn", "at", "many")
-    return whole.unionByName(found.withColumn("turn", F.lit(1)))
+    out = copies.select("id", "k1", "k2", "turn", "at", "many").unionByName(found.withColumn("turn", F.lit(1)))
+    if large:
+        windows = cut(contents_of(every.where("not whole and large")).mapInArrow(lambda b: _window_batches(b, window), fields("k1 long, k2 long, at int, hash long")))
+        first = windows.groupBy("hash").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = windows.join(first, "hash").where(_place() != F.col("first"))
+        out = out.unionByName(again.select("id", "k1", "k2", F.lit(1).alias("turn"), "at", F.lit(1).alias("many")))
+    return out
 
 
 def _spans(covers: DataFrame, window: int, by: list[str]) -> DataFrame:
@@ -284,7 +326,7 @@ def _spans(covers: DataFrame, window: int, by: list[str]) -> DataFrame:
     return runs.groupBy(*by, "span").agg(F.first("id").alias("id"), F.min("at").alias("first_word"), (F.max("end") - F.min("at")).alias("n_words")).drop("span")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
     """Spans that repeat earlier text: ``doc_id``, ``first_word`` (from 0) and ``n_words``.
 
     Words are runs without white space, compared as they stand. The first
@@ -295,7 +337,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text all but one are spans as a whole. Texts that are null, empty or of
     fewer words have none; an empty table gives no rows.
     """
-    spans = _spans(_covers(docs, id_col, text_col, window, gram), window, ["k1", "k2", "turn"])
+    spans = _spans(_covers(docs, id_col, text_col, window, gram, contents), window, ["k1", "k2", "turn"])
     return spans.select(F.col("id").alias("doc_id"), F.col("first_word").cast("long"), F.col("n_words").cast("long"))
 
 
@@ -326,13 +368,13 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
 
-def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = WINDOW, gram: int = GRAM, contents: int = CONTENTS) -> DataFrame:
     """``docs`` without the spans of :func:`repeated_spans`; same columns.
 
     A span goes with the white space after it. Rows that lose all their words
     go; rows that had none stay as they are. ``chars_col`` is counted anew.
     """
-    covers = _spans(_covers(docs, id_col, text_col, window, gram), window, ["k1", "k2", "turn"])
+    covers = _spans(_covers(docs, id_col, text_col, window, gram, contents), window, ["k1", "k2", "turn"])
     spans = covers.groupBy("k1", "k2").agg(F.collect_list(F.struct("turn", F.col("first_word").alias("a"), F.col("n_words").alias("n"))).alias("__tw_spans"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     flat = docs.toDF(*names)
