@@ -1,31 +1,31 @@
 """URL templates from a tree of path segments, and their labelled purity.
 
 URLs are reduced to different (host, path) pairs with counts, and the trees of
-all hosts are grown together, one level at a time. Under a node, a segment that
-holds too small a share of the URLs is variable and becomes a wildcard of its
+all hosts are grown together, one level at a time, as deep as the deepest path.
+Under a node, a segment with few URLs is variable and becomes a wildcard of its
 class: ``{num}``, ``{hex}``, ``{word}`` or ``{mixed}``, with a file's extension
-kept. Segments that stay are branches; those of a class whose continuations
-and labels don't differ significantly from all branches' together are merged
-into the wildcard too. A template's purity is its share of good labelled URLs,
-smoothed towards the share of all; impure templates are rejected.
+kept. Segments with enough URLs to judge are branches, however many there are;
+those of a class whose continuations and labels don't differ significantly from
+all branches' together are merged into the wildcard too. A template's purity is
+its share of good labelled URLs, smoothed towards the share of all; impure
+templates are rejected.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewrack.llm._scratch import cut
 
-#: Least share of its node's URLs, and least URLs, of a branch.
-LEAST_SHARE, LEAST_URLS = 0.05, 20
+#: Least URLs of a branch, too few of which can't be told from chance.
+LEAST_URLS = 20
 #: Greatest Jensen-Shannon divergence, in nats, and greatest z of label rates, of branches that merge.
 DIVERGENCE, LEAST_Z = 0.02, 1.96
 #: Weight of the prior in labelled URLs, and the least purity.
 WEIGHT, PURITY = 10.0, 0.75
-#: Levels of the tree; deeper segments are one ``{rest}``.
-LEVELS = 12
 
 _HOST = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]*)"
 _PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -78,17 +78,17 @@ def _branches(paths: DataFrame, level: int) -> DataFrame:
     child = paths.where(_segment(level).isNotNull()).select("host", "template", _segment(level).alias("segment"), "n", "labelled", "good", nexts.alias("next"))
     sums = [F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in KINDS]
     child = child.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"), *sums)
-    node = child.groupBy("host", "template").agg(F.sum("n").alias("node"))
-    child = child.join(node, ["host", "template"]).where((F.col("n") >= LEAST_URLS) & (F.col("n") >= F.col("node") * LEAST_SHARE))
-    child = child.withColumn("kind", _kind(F.col("segment")))  # at most 1 / LEAST_SHARE rows a node from here on
-    alike = Window.partitionBy("host", "template", "kind")
-    over = lambda c: F.sum(c).over(alike)
-    apart = _divergence([F.col(f"n_{k}") for k in KINDS], [over(f"n_{k}") for k in KINDS], F.col("n"), over("n"))
-    lab, good = over("labelled"), over("good")
+    child = cut(child.where(F.col("n") >= LEAST_URLS).withColumn("kind", _kind(F.col("segment"))))
+    # a node's branches are added up and joined back, so that a host with very many of them is no window in one task
+    sums = ["n", "labelled", "good", *[f"n_{k}" for k in KINDS]]
+    whole = child.groupBy("host", "template", "kind").agg(F.count("*").alias("siblings"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+    child = child.join(whole, ["host", "template", "kind"])
+    apart = _divergence([F.col(f"n_{k}") for k in KINDS], [F.col(f"all_n_{k}") for k in KINDS], F.col("n"), F.col("all_n"))
+    lab, good = F.col("all_labelled"), F.col("all_good")
     rate = good / F.greatest(lab, F.lit(1))
     spread = F.sqrt(rate * (1 - rate) / F.greatest(F.col("labelled"), F.lit(1)))
     z = F.when(F.col("labelled") == 0, 0.0).otherwise(F.abs(F.col("good") / F.greatest(F.col("labelled"), F.lit(1)) - rate) / F.greatest(spread, F.lit(1e-9)))
-    child = child.select("host", "template", "segment", F.count("*").over(alike).alias("siblings"), apart.alias("apart"), z.alias("z"))
+    child = child.select("host", "template", "segment", "siblings", apart.alias("apart"), z.alias("z"))
     return child.where((F.col("siblings") == 1) | (F.col("apart") > DIVERGENCE) | (F.col("z") > LEAST_Z)).select("host", "template", "segment", F.lit(True).alias("stays"))
 
 
@@ -96,16 +96,24 @@ def templates(pages: DataFrame, labels: DataFrame, page_col: str = "page_id", ur
     """Template of each (host, path): ``host``, ``path``, ``template``, ``n``, ``labelled``, ``good``."""
     paths = _paths(pages, labels, page_col, url_col, id_col, label_col)
     paths = cut(paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit("")))
-    depth = paths.agg(F.max(F.size("segments")).alias("d")).first()["d"] or 0
-    for level in range(min(depth, LEVELS)):
-        segment = _segment(level)
+    wild = lambda x: F.concat(F.lit("{"), _kind(x), F.lit("}"), F.lower(F.regexp_extract(x, _FILE, 0)))
+    done, level = [], 0
+    while True:
+        # below a node of few URLs nothing can stay literal, so its paths are done at once, however deep
+        deep = F.size("segments") > level
+        large = paths.where(deep).groupBy("host", "template").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_URLS).select("host", "template", F.lit(True).alias("large"))
+        paths = cut(paths.join(large, ["host", "template"], "left").withColumn("large", F.coalesce(F.col("large") & deep, F.lit(False))))
+        rest = F.array_join(F.transform(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), lambda x: F.concat(F.lit("/"), wild(x))), "")
+        done.append(paths.where(~F.col("large")).select("host", "path", F.concat("template", rest).alias("template"), "n", "labelled", "good"))
+        paths = paths.where("large").drop("large")
+        if paths.isEmpty():
+            break
         stays = _branches(paths, level)
-        joined = paths.withColumn("segment", segment).join(stays, ["host", "template", "segment"], "left")
-        wild = F.concat(F.lit("{"), _kind(F.col("segment")), F.lit("}"), F.lower(F.regexp_extract("segment", _FILE, 0)))
-        step = F.concat(F.col("template"), F.lit("/"), F.when(F.col("stays"), F.col("segment")).otherwise(wild))
-        paths = cut(joined.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(step)).select("host", "path", "n", "labelled", "good", "segments", "template"))
-    rest = F.when(F.size("segments") > LEVELS, F.concat(F.col("template"), F.lit("/{rest}"))).otherwise(F.col("template"))
-    return paths.select("host", "path", rest.alias("template"), "n", "labelled", "good")
+        joined = paths.withColumn("segment", _segment(level)).join(stays, ["host", "template", "segment"], "left")
+        step = F.concat(F.col("template"), F.lit("/"), F.when(F.col("stays"), F.col("segment")).otherwise(wild(F.col("segment"))))
+        paths = joined.withColumn("template", step).select("host", "path", "n", "labelled", "good", "segments", "template")
+        level += 1
+    return reduce(DataFrame.union, done)
 
 
 def judge(pages: DataFrame, labels: DataFrame, page_col: str = "page_id", url_col: str = "url", id_col: str = "doc_id", label_col: str = "quality", purity: float = PURITY) -> DataFrame:
@@ -130,7 +138,7 @@ def judge(pages: DataFrame, labels: DataFrame, page_col: str = "page_id", url_co
     return rows.select("page_id", "host", "template", "n_urls", "n_labelled", "n_good", "purity", "kept")
 
 
-def _sql(levels: int = LEVELS) -> str:
+def _sql(levels: int) -> str:
     """The same for DuckDB, with the levels unrolled."""
     kind = lambda s: (
         f"CASE WHEN {s} IS NULL THEN 'end' WHEN regexp_matches(regexp_replace({s}, '{_FILE}', ''), '^[0-9]+$') THEN 'num' "
@@ -140,7 +148,7 @@ def _sql(levels: int = LEVELS) -> str:
     out = [f"""
 known AS (SELECT doc_id AS page_id, max(quality) AS label FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 parsed AS (SELECT page_id, coalesce(lower(regexp_extract(url, '{_HOST}', 2)), '') AS host, coalesce(regexp_extract(url, '{_PATH}', 1), '') AS path FROM pages),
-t0 AS (
+t0 AS MATERIALIZED (
   SELECT host, path, '' AS template, count(*) AS n, count(label) AS labelled, count(*) FILTER (WHERE label > 0) AS good,
     list_filter(string_split(path, '/'), lambda s: s <> '') AS segments
   FROM parsed LEFT JOIN known USING (page_id) GROUP BY host, path
@@ -156,20 +164,20 @@ c{k} AS (
   SELECT host, template, segments[{k + 1}] AS segment, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good, {sums}
   FROM (SELECT *, {kind(f'segments[{k + 2}]')} AS nxt FROM t{k} WHERE len(segments) > {k}) GROUP BY 1, 2, 3
 ),
-b{k} AS (SELECT *, {kind('segment')} AS kind FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS node FROM c{k}) WHERE n >= {LEAST_URLS} AND n >= node * {LEAST_SHARE}),
-s{k} AS (
+b{k} AS (SELECT *, {kind('segment')} AS kind FROM c{k} WHERE n >= {LEAST_URLS}),
+s{k} AS MATERIALIZED (
   SELECT host, template, segment FROM (
     SELECT host, template, segment, count(*) {window} AS siblings, {parts} AS apart,
       CASE WHEN labelled = 0 THEN 0 ELSE abs(good / greatest(labelled, 1) - {rate}) / greatest(sqrt({rate} * (1 - {rate}) / greatest(labelled, 1)), 1e-9) END AS z
     FROM b{k}) WHERE siblings = 1 OR apart > {DIVERGENCE} OR z > {LEAST_Z}
 ),
-t{k + 1} AS (
+t{k + 1} AS MATERIALIZED (
   SELECT t.host, t.path, CASE WHEN len(t.segments) <= {k} THEN t.template ELSE t.template || '/' || CASE WHEN s.segment IS NOT NULL THEN s.segment
     ELSE '{{' || {kind(f't.segments[{k + 1}]')} || '}}' || lower(regexp_extract(t.segments[{k + 1}], '{_FILE}')) END END AS template, n, labelled, good, segments
   FROM t{k} t LEFT JOIN s{k} s ON t.host = s.host AND t.template = s.template AND t.segments[{k + 1}] = s.segment
 )""")
     return f"""WITH {','.join(out)},
-named AS (SELECT host, path, CASE WHEN len(segments) > {levels} THEN template || '/{{rest}}' ELSE template END AS template, n, labelled, good FROM t{levels}),
+named AS (SELECT host, path, template, n, labelled, good FROM t{levels} WHERE len(segments) <= {levels} OR error('a path is deeper than this query') IS NULL),
 prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good) / sum(labelled) ELSE 1.0 END AS prior FROM named),
 found AS (
   SELECT host, template, CAST(sum(n) AS BIGINT) AS n_urls, CAST(sum(labelled) AS BIGINT) AS n_labelled, CAST(sum(good) AS BIGINT) AS n_good,
@@ -181,5 +189,5 @@ FROM parsed JOIN named USING (host, path) JOIN found USING (host, template)
 """
 
 
-#: Four levels are more than the test tables' URLs have.
-SQL = _sql(4)
+#: As many levels as SQL is written out for; the operator has no such bound, and a deeper path makes this query fail instead of agreeing by chance.
+SQL = _sql(8)
