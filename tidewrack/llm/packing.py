@@ -27,9 +27,9 @@ from tidewrack.llm._scratch import cut
 CAPACITY, TOKEN_BYTES = 2048, 4
 #: Pieces of a block, about.
 BLOCK = 2000
-#: Tasks of an epoch, at most.
-TASKS = 10_000
-ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 8
+#: Blocks of a task.
+TASK_BLOCKS = 4
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 20
 #: Share of the other parent's bins that a child takes, at most, best-filled first.
 INJECTED = 0.5
 
@@ -92,10 +92,13 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, dr
 
 
 def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, generations: int, draw: np.random.Generator) -> list[np.ndarray]:
-    """The population after some generations, best first; its best never gets worse."""
+    """The population after some generations, best first; its best never gets worse. No more children than it takes to reach the fewest bins there can be."""
+    least = -(-int(sizes.sum()) // capacity)
     scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)), key=lambda x: (-x[0], x[1]))
     born = len(scored)
     for _ in range(generations if len(sizes) > 1 else 0):
+        if len(np.unique(scored[0][2])) <= least:
+            break
         i, j = draw.choice(len(scored), 2, replace=False) if len(scored) > 1 else (0, 0)
         child = crossover(scored[min(i, j)][2], scored[max(i, j)][2], sizes, capacity, draw)
         scored.append((fitness(child, sizes, capacity), born, child))
@@ -185,7 +188,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """
     rows = narrow(docs, id_col, text_col)
     k1, k2 = key(rows["id"], rows["text"])
-    sized = cut(rows.select("id", k1.alias("k1"), k2.alias("k2"), tokens(rows["text"]).alias("n")).where("n > 0"))
+    sized = rows.select("id", k1.alias("k1"), k2.alias("k2"), tokens(rows["text"]).alias("n")).where("n > 0")
+    # rows alike are numbered, so that they don't all fall into one block
+    sized = sized.groupBy("id", "k1", "k2", "n").agg(F.count("*").cast("int").alias("rows"))
+    sized = cut(sized.select("id", "k1", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("nth"), "k2", "n").withColumn("k1", F.when(F.col("nth") == 1, F.col("k1")).otherwise(F.xxhash64("k1", "nth"))).drop("nth"))
     last = F.floor((F.col("n") - 1) / capacity).cast("int")
     pieces = sized.select("id", "k1", "k2", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     pieces = pieces.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece").cast("long") * capacity).cast("int")).drop("n")
@@ -194,7 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     blocks = max(1, -(-rest.count() // block))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("k1", "piece"), F.lit(blocks)))
     # few bytes but much work: tasks are counted by blocks, not by the bytes that AQE would merge them by
-    tasks = min(TASKS, max(1, blocks // 4))
+    tasks = max(1, blocks // TASK_BLOCKS)
     state = rest.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     state = state.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(partial(_first_epoch, capacity=capacity, islands=islands), _STATE)
     for epoch in range(1, epochs):
