@@ -151,7 +151,7 @@ def test_encoded_texts(encoding, mark):
 
 
 def test_bytes_that_are_no_text():
-    assert content.decode(bytes(range(32)) * 20) is None and content.decode(None) is None and content.decode(b"") == ""
+    assert content.decode(bytes(range(32)) * 20) is None and content.decode(None) is None and content.decode(b"") is None
 
 
 def test_archives_and_their_limits():

@@ -47,6 +47,7 @@ _FILES = f"WITH {vfs.CTE} "
 _HITS = f"WITH {duck.hits(RULES)} "
 
 
+@X.untraced
 def all_hits(files: DataFrame) -> DataFrame:
     """Matches of all rules, contents included, and of the detectors that need only a path."""
     named = matching.metadata_matches(files, RULES).withColumn("signal_type", F.col("rule_type"))
@@ -56,6 +57,7 @@ def all_hits(files: DataFrame) -> DataFrame:
     return rows.withColumn("confidence_score", F.when(F.col("signal_type") == "validated", 40).when(F.col("signal_type") == "content", 32).when(F.col("signal_type") == "filename", 18).otherwise(10))
 
 
+@X.untraced
 def path_hits(files: DataFrame) -> DataFrame:
     """Matches of the detectors that need only a path."""
     files = X.once(files.drop("text"), __path=inspect_paths.path())
@@ -497,12 +499,14 @@ def share_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEXTS = "SELECT doc_id AS file_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"
 
 
-@_query(_TEXTS)
+@_query(f"SELECT * FROM ({_TEXTS}) WHERE text <> '' OR file_id % 5 < 3")
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in three encodings, decoded again."""
+    """Texts in five encodings, with and without a mark, decoded again; no bytes are no text."""
     docs = _table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
     mark = lambda name, raw: F.concat(F.unhex(F.lit(raw)), F.encode("text", name))
-    encoded = F.when(F.col("source") < "source2", mark("UTF-16LE", "FFFE")).when(F.col("source") < "source4", mark("UTF-16BE", "FEFF")).otherwise(mark("UTF-8", "EFBBBF"))
+    kind = F.pmod("doc_id", F.lit(5))
+    latin = F.col("text").rlike("^[\\x00-\\x7f\\u00a0-\\u00bf\\u00e0-\\u00ff]*$") & ~F.col("text").rlike("[\\u00e0-\\u00f7][\\u00a0-\\u00bf]")  # its bytes are no UTF-8
+    encoded = F.when(kind == 0, mark("UTF-16LE", "FFFE")).when(kind == 1, mark("UTF-16BE", "FEFF")).when(kind == 2, mark("UTF-8", "EFBBBF")).when((kind == 3) & latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return content.decoded(docs.select(F.col("doc_id").alias("file_id"), F.lit("a.txt").alias("name"), encoded.alias("content")))
 
 

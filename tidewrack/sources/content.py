@@ -8,10 +8,8 @@ bound what one hostile file may unpack to.
 from __future__ import annotations
 
 import io
-import os
 import sqlite3
 import tarfile
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,9 +56,9 @@ def _printable(s: str) -> float:
 def decode(raw: bytes | None) -> str | None:
     """Text of bytes: UTF-8, UTF-16 by mark or by its zero bytes, else Windows-1252 where that is printable.
 
-    Line ends become line feeds. Null, and bytes that are no text, give null.
+    Line ends become line feeds. Null, no bytes, and bytes that are no text, give null.
     """
-    if raw is None:
+    if not raw:
         return None
     candidates: list[tuple[str, int]] = []
     if raw[:3] == b"\xef\xbb\xbf":
@@ -168,33 +166,27 @@ def cells(raw: bytes | None, limits: DatabaseLimits = DatabaseLimits()) -> list[
     points = lambda name, weight: weight * sum(t in name.lower() for t in _COLUMNS)
     quote = lambda name: '"' + name.replace('"', '""') + '"'
     out, total = [], 0
-    with tempfile.TemporaryDirectory() as d:  # within one task: the file never outlives the call
-        path = os.path.join(d, "db")
-        with open(path, "wb") as f:
-            f.write(raw)
-        try:
-            db = sqlite3.connect(f"file:{path}?mode=ro&immutable=1", uri=True)
-        except sqlite3.Error:
-            return []
-        try:
-            tables = []
-            for (t,) in db.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite\\_%' escape '\\'"):
-                columns = [r[1] for r in db.execute(f"pragma table_info({quote(t)})")]
-                good = sorted((c for c in columns if points(c, 4)), key=lambda c: (-points(c, 4), c))[: limits.columns]
-                if good:
-                    tables.append((-(points(t, 3) + sum(points(c, 4) for c in good)), t, good))
-            for _, t, good in sorted(tables)[: limits.tables]:
-                for n, row in enumerate(db.execute(f"select {', '.join(map(quote, good))} from {quote(t)} limit {limits.rows}"), 1):
-                    for c, v in zip(good, row):
-                        v = v.decode("utf-8", "replace") if isinstance(v, bytes) else v
-                        if not isinstance(v, str) or not v.strip() or len(v.encode()) > limits.cell or total + len(v.encode()) > limits.total:
-                            continue
-                        total += len(v.encode())
-                        out.append((t, c, n, v))
-        except sqlite3.Error:
-            return out
-        finally:
-            db.close()
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(raw[:18] + b"\1\1" + raw[20:])  # a database with a write-ahead log opens without it
+        tables = []
+        for (t,) in db.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite\\_%' escape '\\'"):
+            columns = [r[1] for r in db.execute(f"pragma table_info({quote(t)})")]
+            good = sorted((c for c in columns if points(c, 4)), key=lambda c: (-points(c, 4), c))[: limits.columns]
+            if good:
+                tables.append((-(points(t, 3) + sum(points(c, 4) for c in good)), t, good))
+        for _, t, good in sorted(tables)[: limits.tables]:
+            for n, row in enumerate(db.execute(f"select {', '.join(map(quote, good))} from {quote(t)} limit {limits.rows}"), 1):
+                for c, v in zip(good, row):
+                    v = v.decode("utf-8", "replace") if isinstance(v, bytes) else v
+                    if not isinstance(v, str) or not v.strip() or len(v.encode()) > limits.cell or total + len(v.encode()) > limits.total:
+                        continue
+                    total += len(v.encode())
+                    out.append((t, c, n, v))
+    except sqlite3.Error:
+        return out
+    finally:
+        db.close()
     return out
 
 
