@@ -9,27 +9,45 @@ from tidewrack.llm._scratch import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their failing lines, and without those that lose too much."""
+    """Documents without their failing lines, and without those that lose too much.
+
+    Null, empty and blank texts go; repeated rows are judged alike; an empty
+    table stays empty; other columns stay as they are, ``n_chars`` is counted anew.
+    """
     return quality.clean(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure; the model is fitted on the rows labelled in ``lang``."""
+    """Documents whose language is sure; the model is fitted on a bounded sample of the rows labelled in ``lang``.
+
+    Texts without letters go, null ones too; without a labelled row no language
+    is sure, so everything goes. Null ids and repeated rows are rows like others.
+    """
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the least id, a null one only where there is no other.
+
+    Of repeated rows one stays; texts without words are in no group and stay.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand earlier in the corpus."""
+    """Documents without passages of 50 words and more that stand earlier in the corpus, in order of ids, null ids last.
+
+    Documents that lose all their words go, of repeated rows all but one; short,
+    empty and null texts stay as they are.
+    """
     return suffix_dedup.drop_repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the documents that are left."""
+    """Bins of the documents that are left: ``bin_id``, ``doc_ids``, ``pieces``, ``used``.
+
+    Null and empty texts have no piece; null ids stay null; no documents, no bins.
+    """
     return packing.pack(docs)
 
 
