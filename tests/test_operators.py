@@ -226,3 +226,11 @@ def test_a_run_with_nulls_doesnt_differ_from_itself(spark):
     rows = spark.createDataFrame([("r", None, "s", "a/b", None, "high"), ("r", "h", None, "a/c", "m", "low"), (None, None, None, None, None, None)], "rule_id string, host string, share string, file_path string, match string, severity string")
     assert {r["status"] for r in compare.diff(rows, rows).collect()} == {"unchanged"} and compare.diff(rows, rows).count() == 3
     assert {r["status"] for r in compare.diff(rows.limit(0), rows).collect()} == {"new"}
+
+
+def test_cells_of_databases_give_findings(spark):
+    rows = [(1, "accounts", "password", 1, "Xk9#mQ2vLp7zR4"), (1, "accounts", "token", 1, "changeme"), (1, "settings", "connection_string", 1, "Server=db1;Database=erp;User Id=app;Password=Qw8kLm2Zx"), (1, "settings", "dsn", 2, "no connection"), (2, "t", "secret", 1, None), (2, "t", "secret", 2, "  "), (2, "t", "user", 1, "abcdefgh-1")]
+    cells = spark.createDataFrame(rows, "file_id long, table_name string, column_name string, row_number long, value string")
+    got = sorted((r["file_id"], r["match"], r["rule_id"].split(".")[1], r["category"], r["severity"]) for r in inspect_db.cell_findings(cells).collect())
+    assert got == [(1, "accounts.password", "credentials", "credentials", "high"), (1, "settings.connection_string", "access", "database-access", "high"), (2, "t.user", "credentials", "credentials", "medium")]
+    assert inspect_db.cell_findings(cells.limit(0)).count() == 0

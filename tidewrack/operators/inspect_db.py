@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewrack.functions import quality as Q
 from tidewrack.functions import text as X
 from tidewrack.functions.regex import to_java
 from tidewrack.operators.inspect_paths import match, present
@@ -248,3 +249,32 @@ def tns_services(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("match", found)
     first = Window.partitionBy("file_id", F.lower("match")).orderBy("line")
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "block")
+
+
+_SAMPLES = ["changeme", "placeholder", "replace_me", "replace-me", "example", "sample", "test"]
+_ACCESS = ["connection", "dsn", "db_url", "database_url"]
+
+
+def cell_findings(cells: DataFrame) -> DataFrame:
+    """Findings in the cells of databases (``file_id table_name column_name row_number value``).
+
+    A cell of a column that speaks of connections is taken apart like a line of
+    settings; any other is a finding if its value looks usable. Adds ``rule_id
+    category severity confidence match quality``; null and blank values give
+    none, repeated cells one each, an empty table none.
+    """
+    name = X.norm(F.col("column_name"))
+    where = F.concat_ws(".", "table_name", "column_name")
+    spoken = X.contains_any(name, _ACCESS)
+    low = F.lower(unwrap(F.col("value")))
+    rows = X.once(cells.where(~spoken), q=Q.value_quality(F.col("value")))
+    plain = rows.where(~F.col("q.weak") & ~X.contains_any(low, _SAMPLES)).select(
+        "file_id", "table_name", "column_name", "row_number", F.lit("sqliteinspect.credentials.sensitive_value").alias("rule_id"), F.lit("credentials").alias("category"),
+        F.when(F.col("q.strong"), "high").otherwise("medium").alias("severity"), F.when(F.col("q.strong"), "high").otherwise("medium").alias("confidence"), where.alias("match"), F.col("q.label").alias("quality"),
+    )
+    # each cell is a text of its own for the parser of connections
+    texts = cells.where(spoken & F.col("value").isNotNull()).select(F.struct("file_id", "table_name", "column_name", "row_number").alias("file_id"), F.col("value").alias("text"))
+    access = connections(texts).select(
+        "file_id.*", F.lit("sqliteinspect.access.connection_string").alias("rule_id"), "category", "severity", F.lit("high").alias("confidence"), F.concat_ws(".", "file_id.table_name", "file_id.column_name").alias("match"), F.lit("high").alias("quality"),
+    )
+    return plain.unionByName(access)

@@ -544,12 +544,24 @@ def _database(number: int, text: str) -> bytes:
     return db.serialize()
 
 
-@_query("SELECT doc_id AS file_id, 'accounts' AS table_name, column_name, row_number, CASE WHEN column_name = 'user' THEN 'user' || doc_id ELSE doc_id || '-' || length(text) || '-' || row_number END AS value FROM documents, (SELECT unnest(['user', 'password']) AS column_name), (SELECT unnest([1, 2]) AS row_number) WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+_CELLS = "SELECT doc_id AS file_id, 'accounts' AS table_name, column_name, row_number, CASE WHEN column_name = 'user' THEN 'user' || doc_id ELSE doc_id || '-' || length(text) || '-' || row_number END AS value FROM documents, (SELECT unnest(['user', 'password']) AS column_name), (SELECT unnest([1, 2]) AS row_number) WHERE doc_id IS NOT NULL AND text IS NOT NULL"
+
+
+@_query(_CELLS)
 def sqlite_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of databases."""
     return content.sqlite_cells(_packed(_table(spark, sf_dir, "documents"), _database, "a.sqlite"))
 
 
+@_query(
+    f"SELECT file_id, table_name, column_name, row_number, 'sqliteinspect.credentials.sensitive_value' AS rule_id, 'credentials' AS category, CASE WHEN q.strong THEN 'high' ELSE 'medium' END AS severity, CASE WHEN q.strong THEN 'high' ELSE 'medium' END AS confidence, "
+    f"table_name || '.' || column_name AS match, q.label AS quality FROM (SELECT *, {duck.value_quality('value')} AS q FROM ({_CELLS})) WHERE NOT q.weak AND NOT {duck.any_of('lower(value)', inspect_db._SAMPLES)}"
+)
+def sqlite_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable secrets in the cells of databases."""
+    return inspect_db.cell_findings(content.sqlite_cells(_packed(_table(spark, sf_dir, "documents"), _database, "a.sqlite")))
+
+
 @_query(f"{_HITS} SELECT file_id, rule_id, match FROM hits")
 def streaming_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a file stream, which must be those of the batch."""
