@@ -7,6 +7,7 @@ import sqlite3
 import tarfile
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,14 @@ def test_archives_and_their_limits():
     assert content.members("a.docx", doc.getvalue())[0][2] == "pass\nword"
 
 
+def test_members_of_archives_are_those_of_sql(spark):
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/documents.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["archive_members"]).fetchall())
+    assert want and sorted(tuple(r) for r in registry.queries()["archive_members"](spark, at).collect()) == want
+
+
 def test_database_cells():
     db = sqlite3.connect(":memory:")
     db.execute("create table plain (a text)")
