@@ -125,6 +125,35 @@ def test_range_join_of_real_fingerprints_is_exact():
     assert len(pairs) > 500 and groups(len(prints), joined(prints, simhash.DISTANCE, 2)) == groups(len(prints), pairs)
 
 
+def test_range_join_compares_few_of_millions():
+    table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])
+    data, offsets = X.buffers(table["text"])
+    prints = np.unique(np.concatenate([simhash.simhash(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[1] for a, b in X.pieces(offsets)]), axis=0)
+    masks, chosen = simhash.blocks(simhash.DISTANCE, simhash.grids(3_000_000))
+    met = 0
+    for half in (0, 1):
+        for c in chosen:
+            many = np.unique(prints[:, half] & np.uint64(sum(int(masks[b]) for b in c)), return_counts=True)[1]
+            met += int((many * (many - 1) // 2).sum())
+    # of all pairs, those that share a cell, as often as they do, and the rows that this takes
+    assert met < 0.13 * len(prints) * (len(prints) - 1) / 2 and 2 * len(chosen) < 240
+
+
+@pytest.mark.parametrize("most, r", [(20, 1), (20, 2), (20, 3), (20, 4), (21, 4), (7, 1), (2, 2), (1, 1)])
+def test_pairs_meet_in_the_first_grid_that_is_theirs(most, r):
+    draw = np.random.default_rng(most * 8 + r)
+    apart = np.zeros((4000, 2), np.uint64)
+    for i in range(len(apart)):
+        for b in draw.choice(128, draw.integers(1, most + 1), replace=False):
+            apart[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    masks, chosen = simhash.blocks(most, r)
+    grid = simhash._first_grid(apart[:, 0], apart[:, 1], most, r)
+    assert (grid >= 0).all()
+    for k, (x, y) in zip(grid.tolist(), apart.tolist()):
+        assert (x, y)[k // len(chosen)] & sum(int(masks[b]) for b in chosen[k % len(chosen)]) == 0
+        assert k < len(chosen) or 0 not in chosen[k % len(chosen)] or not simhash._spare(most, 1)
+
+
 def test_fingerprints_know_order_and_all_words():
     draw = np.random.default_rng(4)
     text = words(300, 8, 3000).split()

@@ -6,17 +6,20 @@ segments of two bits, and the counts of set bits per segment embed it in a grid
 {0, 1, 2}^64. Flipping one bit moves one count by one, so the Manhattan
 distance of two embeddings never exceeds the Hamming distance.
 
-The range join is exact. Of two points within ``most`` bits, one half of the
-fingerprint is within ``most // 2``; cut into ``most // 2 + r`` blocks of whole
-segments, it agrees in at least ``r`` of them, in counts and in bits. So there
-is a grid for each half and each choice of ``r`` blocks, whose cells are the
-values of those blocks: every pair meets in one of them. Points of a cell are
-compared by Manhattan distance first, then by the exact Hamming distance. ``r``
-grows with the number of points to keep cells small; the result doesn't depend
-on it. A small cell gives each of its pairs once, in the first grid where they
-meet; a larger one gives a forest that connects what its pairs connect, and
-pairs that are connected already aren't compared, so a cell full of copies
-costs a few passes and a star of edges.
+The range join is exact. Of two points within ``most`` bits, the lower half of
+the fingerprint is within ``h = most // 2``, or the upper one within ``most - h
+- 1``. A half is cut into parts whose limits add up to its own less their
+number, plus one: were all of them exceeded, so would be the half's. A part of
+limit ``t`` is cut into ``t + r`` blocks, of which at least ``r`` agree, in
+counts and in bits. So there is a grid for each part and each choice of ``r``
+of its blocks, whose cells are the values of those blocks: every pair meets in
+one of them. Points of a cell are compared by the half that the grid doesn't
+look at, then by both. ``r`` grows with the number of points, weighing rows
+against comparisons; the result doesn't depend on it. A small cell gives each
+of its pairs once, in the first grid where they meet; a larger one gives a
+forest that connects what its pairs connect, and leaves out those that the
+largest group connects already, so a cell full of copies costs a few passes and
+a star of edges.
 """
 
 from __future__ import annotations
@@ -41,10 +44,14 @@ from tidewrack.llm._scratch import cut
 DISTANCE = 20
 #: Weights of a word and of a pair of words that stand once.
 WORD, PAIR = 16, 8
-#: Unlike points that share a cell with a point, at most on average; more need one more block.
-MATES = 20_000
+#: Chance that a bit of two unlike texts agrees, a little over a half as common words and languages lean.
+AGREE = 0.55
+#: Comparisons that cost as much as a row that is shuffled, by measurement.
+ROW = 800
 #: Points of a cell whose pairs are listed; larger cells are compared in blocks of this many rows.
 SMALL = 64
+#: Points that such a block is compared with at once: what a processor's cache holds.
+TILE = 4096
 
 _EVEN = 0x5555555555555555
 _SPREAD = np.array([int.from_bytes(bytes(v >> b & 1 for b in range(8)), "little") for v in range(256)], np.uint64)
@@ -126,41 +133,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def grids(points: int, most: int = DISTANCE) -> int:
-    """Blocks that make a cell: the fewest that leave :data:`MATES` unlike points in it. Pairs are found with any number."""
-    half = most // 2
+    """Blocks that make a cell: those of the least cost, of rows and of comparisons. Pairs are found with any number."""
+
+    def cost(r: int) -> float:
+        masks, chosen = blocks(most, r)
+        bits = np.bitwise_count(masks).tolist()
+        return sum(ROW + points / 2 * AGREE ** sum(bits[b] for b in c) for c in chosen)
+
     r = 1
-    while r < 64 - 2 * half and points * 2.0 ** (-64 * r / (half + r)) > MATES:
+    while r < 6 and cost(r + 1) < cost(r):
         r += 1
     return r
 
 
+@cache
+def _parts(most: int, r: int) -> list[tuple[int, int]]:
+    """Limit and bits of each part of a half: as many parts as measured best, bits in proportion to what blocks they hold."""
+    half = most // 2
+    many = min(4 if r < 3 else 3, half + 1)
+    left = half - many + 1
+    limits = [left // many + (k < left % many) for k in range(many)]
+    weight = np.cumsum([0, *(t + r for t in limits)])
+    ends = np.rint(64 * weight / weight[-1]).astype(int).tolist()
+    return [(t, b - a) for t, a, b in zip(limits, ends, ends[1:])]
+
+
 @cache
 def blocks(most: int, r: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """Masks of the blocks of a half, of whole segments where there are enough, and the choices of ``r`` of them."""
-    many = most // 2 + r
-    unit = 2 if many <= 32 else 1
-    ends = [unit * (k * (64 // unit) // many) for k in range(many + 1)]
-    masks = np.array([(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])], np.uint64)
-    return masks, list(combinations(range(many), r))
+    """Masks of the blocks of a half, part by part, and the choices of ``r`` of a part's."""
+    masks, chosen, begin = [], [], 0
+    for t, size in _parts(most, r):
+        ends = [begin + k * size // (t + r) for k in range(t + r + 1)]
+        chosen += combinations(range(len(masks), len(masks) + t + r), r)
+        masks += [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+        begin += size
+    return np.array(masks, np.uint64), chosen
+
+
+def _spare(most: int, half: int) -> bool:
+    """Whether a half does without the choices that hold its first block: its limit, and so that of its first part, is less by one."""
+    return half == 1 and most - most // 2 - 1 < most // 2
 
 
 def _first_grid(x: np.ndarray, y: np.ndarray, most: int, r: int) -> np.ndarray:
     """Number of the first grid that pairs share, by the differing bits ``x`` and ``y`` of their halves."""
     masks, chosen = blocks(most, r)
     number = {sum(1 << b for b in c): k for k, c in enumerate(chosen)}
+    sizes = [t + r for t, _ in _parts(most, r)]
     out = np.full(len(x), -1, np.int64)
     for k in (1, 0):
         v = (x, y)[k]
         equal = np.zeros(len(v), np.int64)
         for b, m in enumerate(masks):
-            equal |= ((v & m) == 0).astype(np.int64) << b
-        low, left = np.zeros(len(v), np.int64), equal
-        for _ in range(r):
-            bit = left & -left
-            low, left = low | bit, left ^ bit
-        enough = np.bitwise_count(low) == r
-        keys, inverse = np.unique(low[enough], return_inverse=True)
-        out[enough] = np.array([number[c] + k * len(chosen) for c in keys.tolist()], np.int64)[inverse]
+            if b or not _spare(most, k):
+                equal |= ((v & m) == 0).astype(np.int64) << b
+        for p in reversed(range(len(sizes))):
+            begin = sum(sizes[:p])
+            low, left = np.zeros(len(v), np.int64), equal & ((1 << begin + sizes[p]) - (1 << begin))
+            for _ in range(r):
+                bit = left & -left
+                low, left = low | bit, left ^ bit
+            enough = np.bitwise_count(low) == r
+            keys, inverse = np.unique(low[enough], return_inverse=True)
+            out[enough] = np.array([number[c] + k * len(chosen) for c in keys.tolist()], np.int64)[inverse]
     return out
 
 
@@ -176,9 +211,10 @@ def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return good
 
 
-def _forest(prints: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of one cell that connect exactly the points that its near pairs connect; ``other``: a half to compare first."""
+def _forest(prints: np.ndarray, half: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of one cell that connect exactly the points that its near pairs connect; ``half``: the one to compare first."""
     m = len(prints)
+    other = np.ascontiguousarray(prints[:, half])
     label = np.arange(m)
     tails, heads = [], []
 
@@ -207,13 +243,15 @@ def _forest(prints: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarra
     inside = label == giant if most_points[giant] > 1 else np.zeros(m, bool)
     order = np.concatenate([np.flatnonzero(~inside), np.flatnonzero(inside)])
     rows = int((~inside).sum())
-    x = other[order]
+    x, y = other[order], prints[order, 1 - half]
     for lo in range(0, rows, SMALL):
         hi = min(lo + SMALL, rows)
-        for left in range(lo + 1, m, 1 << 16):
-            right = min(m, left + (1 << 16))
-            a, b = np.nonzero(np.bitwise_count(x[lo:hi, None] ^ x[None, left:right]) <= most)
-            a, b = order[a + lo], order[b + left]
+        for left in range(lo + 1, m, TILE):
+            right = min(m, left + TILE)
+            a, b = np.divmod(np.flatnonzero(np.bitwise_count(x[lo:hi, None] ^ x[None, left:right]) <= most), right - left)
+            a, b = a + lo, b + left
+            good = np.bitwise_count(x[a] ^ x[b]) + np.bitwise_count(y[a] ^ y[b]) <= most
+            a, b = order[a[good]], order[b[good]]
             good = label[a] != label[b]
             a, b = a[good], b[good]
             good = _near(prints[a], prints[b], most)
@@ -234,8 +272,7 @@ def link(cell: np.ndarray, prints: np.ndarray, most: int, r: int) -> tuple[np.nd
     per_half = len(blocks(most, r)[1])
     tails, heads = [], []
     for b, m in zip(begin[many > SMALL].tolist(), many[many > SMALL].tolist()):
-        other = np.ascontiguousarray(prints[b : b + m, 1 if grid[b] < per_half else 0])
-        x, y = _forest(prints[b : b + m], other, most)
+        x, y = _forest(prints[b : b + m], 1 if grid[b] < per_half else 0, most)
         tails.append(x + b)
         heads.append(y + b)
     small = (many > 1) & (many <= SMALL)
@@ -299,13 +336,13 @@ def near_pairs(prints: DataFrame, most: int = DISTANCE, r: int | None = None) ->
         r = grids(points.count(), most)
     masks, chosen = blocks(most, r)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(sum(int(masks[b]) for b in c)) for c in chosen]
-    low = (1 << _SHIFT) - 1
-    cell = lambda t, half, m: F.xxhash64(F.lit(t), F.col(half).bitwiseAND(F.lit(m))).bitwiseAND(F.lit(low)) + F.lit(t << _SHIFT)
-    cells = F.array(*[cell(k * len(masks) + t, half, m) for k, half in enumerate(("lo", "hi")) for t, m in enumerate(masks)])
+    every = [(half * len(chosen) + t, half, signed(sum(int(masks[b]) for b in c))) for half in (0, 1) for t, c in enumerate(chosen) if 0 not in c or not _spare(most, half)]
+    every = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(m if half == 0 else 0).cast("long").alias("lo"), F.lit(m if half == 1 else 0).cast("long").alias("hi")) for t, half, m in every])
+    cell = F.xxhash64("g.t", F.col("lo").bitwiseAND(F.col("g.lo")), F.col("hi").bitwiseAND(F.col("g.hi")))
+    cell = cell.bitwiseAND(F.lit((1 << _SHIFT) - 1)) + F.shiftleft("g.t", _SHIFT)
     # few bytes become many rows: tasks aren't counted by the bytes that AQE would merge them by
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.repartition(tasks, "lo", "hi").select(F.explode(cells).alias("cell"), "lo", "hi")
+    rows = points.repartition(tasks, "lo", "hi").select(F.explode(every).alias("g"), "lo", "hi").select(cell.alias("cell"), "lo", "hi")
     rows = rows.repartition("cell").sortWithinPartitions("cell", "lo", "hi")
     return rows.mapInArrow(lambda b: _link_batches(b, most, r), "a_lo long, a_hi long, b_lo long, b_hi long").distinct()
 
