@@ -150,6 +150,30 @@ def test_containment_is_that_of_brute_force(spark, sampled):
     assert got["two"]["containment"] > 0.8 and got["four"]["containment"] == 0 and got["d3"]["shared_bytes"] > 50
 
 
+@pytest.mark.parametrize("sampled, every", [(64, 1), (1, 1), (1, 3)])
+def test_the_document_that_holds_most_is_that_of_brute_force(spark, sampled, every):
+    foot = " all of these texts end with the same few words which stand here in every one of them without change."
+    whole = prose(200, 1).replace("\n", " ")
+    parts = [whole[k : k + 260] for k in range(0, 1040, 260)]  # each piece of the text stands first in another document
+    rows = [(100 + k, p + " " + prose(30, 20 + k, 10**6), "en") for k, p in enumerate(parts * 3)] + [(200, whole + " " + prose(40, 3, 10**6), "en"), (201, whole, "en"), (201, whole, "en"), (202, whole[300:] + " " + whole[300:], "en")]
+    rows += [(300 + k, prose(20, 50 + k, 10**6) + foot + (whole[:200] if k % 7 == 0 else ""), "en") for k in range(40)] + [(400, prose(60, 7, 10**6), "en")]
+    docs = table(spark, rows)
+    keys = {r["id"]: r["k1"] for r in fingerprints._rows(docs, "doc_id", "text").collect()}
+    held = {}
+    for i, text, _ in rows:
+        data, offsets = X.buffers(pa.array([text]))
+        begin, end, _ = fingerprints.word_chunks(data, offsets)
+        held[i] = [text.lower().replace("\n", " ").encode()[x:y] for x, y in zip(begin.tolist(), end.tolist())]
+    got = {r["doc_id"]: r for r in fingerprints.containment(docs, sampled=sampled, every=every).collect()}
+    differ = 0
+    for i, own in held.items():
+        by = {j: sum(len(c) for c in own if c in set(s)) for j, s in held.items() if j != i}
+        most, best = min(((-n, keys[j], j) for j, n in by.items() if n), default=(0, 0, None))[::2]
+        assert (got[i]["holder_id"], got[i]["holder_bytes"]) == ((best, -most) if i % every == 0 else (None, None)), i
+        differ += got[i]["source_bytes"] < -most
+    assert differ > 5 and got[400]["holder_id"] is None
+
+
 def test_containment_of_near_copies_with_scattered_edits(spark):
     draw = np.random.default_rng(9)
     rows, want = [], {}

@@ -99,6 +99,8 @@ SIZE_BITS = 8
 SAMPLED, HOT_SHARE = 64, 0.002
 #: Hot digests at most: there can't be many more, as a document has few chunks; any others go the usual way.
 HOT_MOST = 100_000
+#: One row of so many, by its id, is searched for the document that holds most of it.
+EVERY = 50
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,9 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             begin, end, row = word_chunks(d, o)
             digest = X.span_hashes(d, begin, end, FOLDED) & ~low | (end - begin).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(pa.array(row + lo)), pa.array(digest.view(np.int64))], ["k1", "digest"])
+            own = pa.array(row + lo)
+            rest = batch.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(own), pa.array(digest.view(np.int64)), *(batch.column(c).take(own) for c in rest)], ["k1", "digest", *rest])
 
 
 def _size_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +151,37 @@ def _hot(sets: DataFrame, sampled: int) -> DataFrame:
     return found.orderBy(F.col("n").desc(), "digest").limit(HOT_MOST).select("digest")
 
 
-def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampled: int = SAMPLED) -> DataFrame:
+def _asked(rows: DataFrame, every: int) -> Column:
+    """Whether a row is searched for: its id is divisible by ``every``, or its key where ids are no numbers."""
+    number = isinstance(rows.schema["id"].dataType, T.NumericType)
+    return F.coalesce((F.col("id") if number else F.col("k1")) % every == 0, F.lit(False))
+
+
+def _holders(cold: DataFrame, warm: DataFrame) -> DataFrame:
+    """The document that holds most of each that is ``asked``: ``k1``, ``holder`` and ``holder_bytes``, exactly.
+
+    Both tables are chunks (``k1 digest asked``). Those of ``cold`` meet
+    document by document; the hot ones of ``warm`` meet by the different sets
+    of them that documents hold. Who shares hot chunks alone is no better than
+    the least key of those with the same set.
+    """
+    mine = lambda t: t.where("asked").groupBy("k1", "digest").agg((F.count("*") * chunk_size(F.col("digest"))).alias("size"))
+    pairs = mine(cold).join(cold.select("digest", F.col("k1").alias("holder")).distinct(), "digest").where("k1 <> holder")
+    pairs = pairs.groupBy("k1", "holder").agg(F.sum("size").alias("size"))
+    kinds = cut(warm.groupBy("k1").agg(F.sort_array(F.collect_set("digest")).alias("held")).select("k1", F.xxhash64("held").alias("kind"), "held"))
+    least = kinds.groupBy("kind").agg(F.min("k1").alias("low"), F.first("held").alias("held"))
+    second = kinds.join(least.select("kind", "low"), "kind").where("k1 <> low").groupBy("kind").agg(F.min("k1").alias("next"))
+    held = least.select("kind", F.explode("held").alias("digest"))
+    met = cut(mine(warm).join(held, "digest").groupBy("k1", "kind").agg(F.sum("size").alias("hot")))
+    alone = met.join(least.select("kind", "low"), "kind").join(second, "kind", "left")
+    alone = alone.select("k1", F.when(F.col("low") != F.col("k1"), F.col("low")).otherwise(F.col("next")).alias("holder"), F.col("hot").alias("size")).where("holder is not null")
+    both = pairs.join(kinds.select(F.col("k1").alias("holder"), "kind"), "holder", "left").join(met, ["k1", "kind"], "left")
+    both = both.select("k1", "holder", (F.col("size") + F.coalesce("hot", F.lit(0))).alias("size"))
+    best = F.min(F.struct((-F.col("size")).alias("minus"), "holder"))
+    return both.union(alone).groupBy("k1").agg(best.alias("best")).select("k1", F.col("best.holder").alias("holder"), (-F.col("best.minus")).alias("holder_bytes"))
+
+
+def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampled: int = SAMPLED, every: int = EVERY) -> DataFrame:
     """How much of each document lies in others: one row for each that has text.
 
     Columns: ``doc_id``; ``n_chunks``; ``n_bytes``; ``shared_bytes``, in chunks
@@ -155,8 +189,12 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``source_id``, the document that stands for the most of these bytes (ties to
     the least row key; null if nothing is shared, or if its own id is null); and
     ``source_bytes``, how many. Another document stands for a chunk by the least
-    row key of its holders, or by the greatest where the least is its own. Ids
-    may be of any type.
+    row key of its holders, or by the greatest where the least is its own. Rows
+    whose id is divisible by ``every`` (or whose key is, where ids are no
+    numbers) are searched for among all rows: ``holder_id`` is the document that
+    holds the most bytes of such a row, of all that share any chunk (ties to the
+    least row key), and ``holder_bytes`` how many; null for other rows. Ids may
+    be of any type.
 
     A digest's holders are documents, so a chunk that only one text repeats
     isn't shared. Repeated rows share everything and are one document here:
@@ -165,24 +203,27 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is in proportion to the chunks. Digests that very many documents hold are
     added up before they move and never meet in one task.
     """
-    sets = chunk_sets(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col)
+    sets = rows.select("k1", "text", _asked(rows, every).alias("asked")).mapInArrow(_chunk_batches, "k1 long, digest long, asked boolean")
     hot = F.broadcast(cut(_hot(sets, sampled)))  # at most HOT_MOST numbers
     named = lambda low, high: F.when(F.col(low) != F.col("k1"), F.col(low)).otherwise(F.col(high))
     same = Window.partitionBy("digest")
-    cold = sets.join(hot, "digest", "left_anti").withColumns({"low": F.min("k1").over(same), "high": F.max("k1").over(same)})
-    warm = sets.join(hot, "digest")
+    cold = sets.join(hot, "digest", "left_anti").withColumns({"low": F.min("k1").over(same), "high": F.max("k1").over(same), "meets": F.max("asked").over(same)})
+    cold = cut(cold.where("low <> high"))
+    warm = cut(sets.join(hot, "digest"))
+    holders = _holders(cold.where("meets").select("k1", "digest", "asked"), warm)
     ends = cut(warm.groupBy("digest").agg(F.min("k1").alias("low"), F.max("k1").alias("high")))
     warm = warm.join(F.broadcast(ends), "digest")
-    shared = [rows.where("low <> high").select("k1", named("low", "high").alias("source"), chunk_size(F.col("digest")).cast("int").alias("size")) for rows in (cold, warm.select(*cold.columns))]
+    shared = [rows.where("low <> high").select("k1", named("low", "high").alias("source"), chunk_size(F.col("digest")).cast("int").alias("size")) for rows in (cold, warm)]
     by = shared[0].union(shared[1]).groupBy("k1", "source").agg(F.sum("size").alias("size"))
     best = F.min(F.struct((-F.col("size")).alias("minus"), F.col("source").alias("source")))
     by = by.groupBy("k1").agg(F.sum("size").alias("shared_bytes"), best.alias("best"))
-    rows = _rows(docs, id_col, text_col)
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in ("k1", "k2", "n_chunks", "n_bytes"))])
     whole = rows.mapInArrow(_size_batches, schema)
     # rows alike all bring their chunks, so sums are divided by their number
     whole = cut(whole.groupBy("k1").agg(F.first("id").alias("id"), F.first("n_chunks").alias("n_chunks"), F.first("n_bytes").alias("n_bytes"), F.count("*").alias("rows")))
-    out = whole.join(by, "k1", "left").select("*", F.col("best.source").alias("source"), (-F.col("best.minus")).alias("source_bytes")).drop("best")
+    names = whole.select(F.col("k1").alias("holder"), F.col("id").alias("holder_id"))
+    out = whole.join(cut(holders.join(names, "holder")), "k1", "left").join(by, "k1", "left").select("*", F.col("best.source").alias("source"), (-F.col("best.minus")).alias("source_bytes")).drop("best")
     out = out.join(whole.select(F.col("k1").alias("source"), F.col("id").alias("source_id")), "source", "left")
     alone = F.coalesce(F.expr("shared_bytes div rows"), F.lit(0).cast("long"))
     out = out.withColumn("shared_bytes", F.when(F.col("rows") > 1, F.col("n_bytes")).otherwise(alone))
@@ -190,4 +231,5 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(
         F.col("id").alias("doc_id"), "n_chunks", "n_bytes", "shared_bytes", F.round(F.col("shared_bytes") / F.col("n_bytes"), 6).alias("containment"), "source_id",
         F.coalesce(F.expr("source_bytes div rows"), F.lit(0).cast("long")).alias("source_bytes"),
+        "holder_id", F.when(_asked(whole, every), F.coalesce(F.expr("holder_bytes div rows"), F.lit(0).cast("long"))).alias("holder_bytes"),
     )
