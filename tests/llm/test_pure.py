@@ -117,6 +117,29 @@ def test_range_join_loses_no_link(most, r, n, centres, flips):
     assert groups(len(prints), edges) == groups(len(prints), pairs)
 
 
+@pytest.mark.parametrize("matches", [1, 60, 1 << 20])
+def test_best_holders_of_a_block_are_those_of_brute_force(monkeypatch, matches):
+    monkeypatch.setattr(fingerprints, "MATCHES", matches)
+    draw = np.random.default_rng(matches)
+    for n_docs, n_digests in ((60, 6), (60, 30), (1, 1), (0, 1)):
+        docs = draw.integers(-(1 << 62), 1 << 62, 90).tolist()
+        digests = (draw.integers(-(1 << 54), 1 << 54, n_digests) * 256 + draw.integers(16, 40, n_digests)).tolist()
+        held = {d: {digests[k] for k in draw.integers(0, n_digests, 3)} for d in docs[:n_docs]}
+        asks = {d: [digests[k] for k in draw.integers(0, n_digests, 4)] for d in docs[40:80]} | {docs[85]: [digests[0] + (1 << 20)]}
+        pairs = [(docs[a], docs[b], int(n)) for a, b, n in zip(draw.integers(30, 80, 80), draw.integers(0, 90, 80), draw.integers(16, 40, 80)) if a != b]
+        rows = [(d, c, 0) for d, s in held.items() for c in [*s, *s]] + [(d, c, -1) for d, s in asks.items() for c in s] + pairs
+        one, two, size = zip(*(rows[k] for k in draw.permutation(len(rows))))
+        best = {}
+        for k1, holder, n in zip(*fingerprints._block_best(pa.table({"one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64()), "size": pa.array(size, pa.int64())})).to_pydict().values()):
+            best[k1] = min(best.get(k1, (1, 0)), (-n, holder))
+        want = {}
+        for q in docs:
+            by = {d: sum(c & 255 for c in asks.get(q, []) if c in held.get(d, ())) + sum(n for a, b, n in pairs if (a, b) == (q, d)) for d in docs if d != q}
+            if any(by.values()):
+                want[q] = min((-n, d) for d, n in by.items() if n)
+        assert best == want
+
+
 def test_range_join_of_real_fingerprints_is_exact():
     table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])
     data, offsets = X.buffers(table["text"])

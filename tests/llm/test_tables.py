@@ -174,6 +174,39 @@ def test_the_document_that_holds_most_is_that_of_brute_force(spark, sampled, eve
     assert differ > 5 and got[400]["holder_id"] is None
 
 
+def shuffled_rows(spark, after=-1):
+    """The last stage's number, and the rows that stages after that one shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max((x.stageId() for x in stages), default=after), sum(x.shuffleWriteRecords() for x in stages if x.stageId() > after)
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_pairs_of_documents_that_hold_common_chunks_never_move(spark, monkeypatch, few):
+    monkeypatch.setattr(fingerprints, "FEW", few)
+    feet = [prose(16, 900 + k) for k in range(5)]  # each document has two of them: too rare to be hot in the sample, too common for pairs
+    rows = [(k, prose(8, 2000 + k // 2, 10**6) + " " + feet[k % 5] + " " + prose(8, 5000 + k, 10**6) + " " + feet[k % 3], "en") for k in range(600)]
+    docs = table(spark, rows)
+    keys = {r["id"]: r["k1"] for r in fingerprints._rows(docs, "doc_id", "text").collect()}
+    held = {}
+    for i, text, _ in rows:
+        data, offsets = X.buffers(pa.array([text]))
+        begin, end, _ = fingerprints.word_chunks(data, offsets)
+        held[i] = [text.lower().replace("\n", " ").encode()[x:y] for x, y in zip(begin.tolist(), end.tolist())]
+    last, _ = shuffled_rows(spark)
+    got = {r["doc_id"]: r for r in fingerprints.containment(docs, every=1).collect()}
+    moved = shuffled_rows(spark, last)[1]
+    sets, pairs = {i: set(s) for i, s in held.items()}, 0
+    for i, own in held.items():
+        by = {j: n for j, s in sets.items() if j != i and (n := sum(len(c) for c in own if c in s))}
+        pairs += len(by)
+        best = min(by, key=lambda j: (-by[j], keys[j]), default=None)
+        assert (got[i]["holder_id"], got[i]["holder_bytes"]) == (best, by.get(best, 0)), i
+    assert 2 * moved < pairs, (moved, pairs)
+
+
 def test_containment_of_near_copies_with_scattered_edits(spark):
     draw = np.random.default_rng(9)
     rows, want = [], {}

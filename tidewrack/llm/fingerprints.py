@@ -101,6 +101,12 @@ SAMPLED, HOT_SHARE = 64, 0.002
 HOT_MOST = 100_000
 #: One row of so many, by its id, is searched for the document that holds most of it.
 EVERY = 50
+#: Rows of a digest up to which documents meet pair by pair.
+FEW = 64
+#: Blocks of documents in which all others meet: so many, and one more for each ``BLOCK`` rows.
+LEAST_BLOCKS, BLOCK = 8, 1 << 20
+#: Matches in a block that are added up at once, or those of one document.
+MATCHES = 1 << 21
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,28 +163,119 @@ def _asked(rows: DataFrame, every: int) -> Column:
     return F.coalesce((F.col("id") if number else F.col("k1")) % every == 0, F.lit(False))
 
 
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(sorted_)])
+
+
+def _most(asked: np.ndarray, size: np.ndarray, holder: np.ndarray) -> list[np.ndarray]:
+    """Of each that is asked (ascending), the least holder of those of most bytes."""
+    if not len(asked):
+        return [asked, holder, size]
+    at = _starts(asked)
+    most = np.maximum.reduceat(size, at)
+    first = size == np.repeat(most, np.diff(np.append(at, len(asked))))
+    asked, holder = asked[first], holder[first]
+    at = _starts(asked)
+    return [asked[at], np.minimum.reduceat(holder, at), most]
+
+
+def _block_best(block: pa.Table) -> pa.Table:
+    """The best holders among a block's documents: ``k1``, ``holder`` and ``size``, one or two rows of each that is asked.
+
+    The block's rows have ``one``, ``two`` and ``size``: a document and a digest
+    it holds (0), one that is asked and its digest (-1), or one that is asked and
+    its holder, by so many bytes in chunks that few hold. What is asked meets
+    the different sets of digests here; no pair leaves the block but the best.
+    """
+    one, two, size = (block.column(c).to_numpy() for c in ("one", "two", "size"))
+    digests, column = np.unique(two[size == 0], return_inverse=True)
+    docs, row = np.unique(one[size == 0], return_inverse=True)
+    row, column = np.divmod(np.unique(row * max(1, len(digests)) + column), max(1, len(digests)))
+    mixed = digests.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    sets = np.add.reduceat(mixed[column], _starts(row)) if len(row) else mixed
+    _, low, kind = np.unique(sets, return_index=True, return_inverse=True)  # documents ascend, so the first has the least key
+    by_kind = np.argsort(kind, kind="stable")
+    at = np.searchsorted(kind[by_kind], np.arange(len(low)))
+    several = np.diff(np.append(at, len(docs))) > 1
+    second = np.where(several, by_kind[np.minimum(at + 1, max(0, len(docs) - 1))], -1) if len(docs) else at
+    own = low[kind[row]] == row  # one document's digests for each set
+    row, column = kind[row[own]], column[own]
+    by_digest = np.argsort(column, kind="stable")
+    row, begin = row[by_digest], np.searchsorted(column[by_digest], np.arange(len(digests) + 1))
+
+    asks, digest = one[size == -1], two[size == -1]
+    place = np.searchsorted(digests, digest)
+    here = np.append(digests, 0)[place] == digest
+    here &= place < len(digests)
+    asks, digest, place = asks[here], digest[here], place[here]
+    order = np.argsort(asks, kind="stable")
+    asks, digest, place = asks[order], digest[order] & ((1 << SIZE_BITS) - 1), place[order]
+    met_by = begin[place + 1] - begin[place]
+    asked, holder, held = one[size > 0], two[size > 0], size[size > 0]
+    order = np.lexsort((holder, asked))
+    asked, holder, held = asked[order], holder[order], held[order]
+    if len(asked):
+        at = np.flatnonzero(np.append(True, (asked[1:] != asked[:-1]) | (holder[1:] != holder[:-1])))
+        asked, holder, held = asked[at], holder[at], np.add.reduceat(held, at)
+    where = np.minimum(np.searchsorted(docs, holder), max(0, len(docs) - 1))
+    of = np.where(docs[where] == holder, kind[where], -1) if len(docs) else np.full(len(holder), -1)
+
+    out = []
+    who = _starts(asks)
+    done = np.append(0, np.cumsum(met_by))[np.append(who, len(asks))]
+    i = 0
+    while i < len(who):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + MATCHES, side="right")) - 1)
+        lo, hi = who[i], who[j] if j < len(who) else len(asks)
+        many = met_by[lo:hi]
+        at = np.arange(many.sum()) + np.repeat(begin[place[lo:hi]] - np.append(0, np.cumsum(many)[:-1]), many)
+        number = np.repeat(np.cumsum(np.append(False, asks[lo + 1 : hi] != asks[lo : hi - 1])), many)
+        met = np.sort((number * len(low) + row[at]) << SIZE_BITS | np.repeat(digest[lo:hi], many))
+        at = _starts(met >> SIZE_BITS)
+        total = np.add.reduceat(met & ((1 << SIZE_BITS) - 1), at)
+        met = met[at] >> SIZE_BITS
+        number, to = np.divmod(met, len(low))
+        by = asks[who[i:j]]
+        best = low[to]
+        best = np.where(docs[best] == by[number], second[to], best)
+        is_one = best >= 0
+        out.append(_most(by[number[is_one]], total[is_one], docs[best[is_one]]))
+        lo, hi = np.searchsorted(asked, by[0]), np.searchsorted(asked, by[-1], side="right")
+        wanted = np.searchsorted(by, asked[lo:hi])
+        wanted = np.where((of[lo:hi] >= 0) & (by[wanted] == asked[lo:hi]), wanted * len(low) + of[lo:hi], -1)
+        at = np.minimum(np.searchsorted(met, wanted), len(met) - 1)
+        held[lo:hi] += np.where(met[at] == wanted, total[at], 0)
+        i = j
+    out.append(_most(asked, held, holder))
+    return pa.table([np.concatenate(c) for c in zip(*out)], names=["k1", "holder", "size"])
+
+
 def _holders(cold: DataFrame, warm: DataFrame) -> DataFrame:
     """The document that holds most of each that is ``asked``: ``k1``, ``holder`` and ``holder_bytes``, exactly.
 
-    Both tables are chunks (``k1 digest asked``). Those of ``cold`` meet
-    document by document; the hot ones of ``warm`` meet by the different sets
-    of them that documents hold. Who shares hot chunks alone is no better than
-    the least key of those with the same set.
+    Both tables are chunks (``k1 digest asked``), ``cold`` with ``n``, the rows of
+    each digest. Where these are few, documents meet pair by pair. Of all other
+    digests, and the hot ones of ``warm``, what is asked is brought to every
+    block of documents and met there (see ``_block_best``), so that pairs never
+    move: their number grows with the square of the documents.
     """
-    mine = lambda t: t.where("asked").groupBy("k1", "digest").agg((F.count("*") * chunk_size(F.col("digest"))).alias("size"))
-    pairs = mine(cold).join(cold.select("digest", F.col("k1").alias("holder")).distinct(), "digest").where("k1 <> holder")
-    pairs = pairs.groupBy("k1", "holder").agg(F.sum("size").alias("size"))
-    kinds = cut(warm.groupBy("k1").agg(F.sort_array(F.collect_set("digest")).alias("held")).select("k1", F.xxhash64("held").alias("kind"), "held"))
-    least = kinds.groupBy("kind").agg(F.min("k1").alias("low"), F.first("held").alias("held"))
-    second = kinds.join(least.select("kind", "low"), "kind").where("k1 <> low").groupBy("kind").agg(F.min("k1").alias("next"))
-    held = least.select("kind", F.explode("held").alias("digest"))
-    met = cut(mine(warm).join(held, "digest").groupBy("k1", "kind").agg(F.sum("size").alias("hot")))
-    alone = met.join(least.select("kind", "low"), "kind").join(second, "kind", "left")
-    alone = alone.select("k1", F.when(F.col("low") != F.col("k1"), F.col("low")).otherwise(F.col("next")).alias("holder"), F.col("hot").alias("size")).where("holder is not null")
-    both = pairs.join(kinds.select(F.col("k1").alias("holder"), "kind"), "holder", "left").join(met, ["k1", "kind"], "left")
-    both = both.select("k1", "holder", (F.col("size") + F.coalesce("hot", F.lit(0))).alias("size"))
+    few = cold.where(F.col("n") <= FEW).repartition("digest").groupBy("digest", "k1").agg((F.count("*") * chunk_size(F.col("digest"))).alias("size"), F.max("asked").alias("asked"))
+    few = few.groupBy("digest").agg(F.collect_list(F.struct("k1", "size", "asked")).alias("all"))  # where it was brought to: nothing moves again
+    pairs = few.select(F.explode(F.filter("all", lambda x: x["asked"])).alias("mine"), "all").select("mine", F.explode("all").alias("other")).where("mine.k1 <> other.k1")
+    pairs = pairs.select(F.col("mine.k1").alias("one"), F.col("other.k1").alias("two"), F.col("mine.size").alias("size"))
+    often = cold.where(F.col("n") > FEW).select("k1", "digest", "asked").union(warm.select("k1", "digest", "asked"))
+    rows = often.count() + (cold.where((F.col("n") <= FEW) & F.col("asked")).agg(F.sum("n")).first()[0] or 0)
+    blocks = LEAST_BLOCKS + rows // BLOCK
+    named = often.select(F.col("k1").alias("one"), F.col("digest").alias("two"), "asked")
+    of = lambda k: F.pmod(F.col(k), F.lit(blocks)).cast("int").alias("block")
+    met = pairs.select(of("two"), "one", "two", "size")
+    met = met.union(named.select(of("one"), "one", "two", F.lit(0).cast("long").alias("size")))
+    met = met.union(named.where("asked").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "one", "two", F.lit(-1).cast("long").alias("size")))
+    met = met.groupBy("block").applyInArrow(_block_best, "k1 long, holder long, size long")
     best = F.min(F.struct((-F.col("size")).alias("minus"), "holder"))
-    return both.union(alone).groupBy("k1").agg(best.alias("best")).select("k1", F.col("best.holder").alias("holder"), (-F.col("best.minus")).alias("holder_bytes"))
+    return met.groupBy("k1").agg(best.alias("best")).select("k1", F.col("best.holder").alias("holder"), (-F.col("best.minus")).alias("holder_bytes"))
 
 
 def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampled: int = SAMPLED, every: int = EVERY) -> DataFrame:
@@ -199,23 +296,26 @@ def containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A digest's holders are documents, so a chunk that only one text repeats
     isn't shared. Repeated rows share everything and are one document here:
     each such row is reported, with all its bytes shared. Null and empty texts
-    have no row; an empty table gives no rows; extra columns are ignored. Cost
-    is in proportion to the chunks. Digests that very many documents hold are
-    added up before they move and never meet in one task.
+    have no row; an empty table gives no rows; extra columns are ignored. What
+    moves is in proportion to the chunks, but for those of rows that are
+    searched for which more than ``FEW`` rows hold: these go to every block of
+    documents. Comparing them there grows with the square of the documents.
+    Digests that very many documents hold are added up before they move and
+    never meet in one task.
     """
     rows = _rows(docs, id_col, text_col)
     sets = rows.select("k1", "text", _asked(rows, every).alias("asked")).mapInArrow(_chunk_batches, "k1 long, digest long, asked boolean")
     hot = F.broadcast(cut(_hot(sets, sampled)))  # at most HOT_MOST numbers
     named = lambda low, high: F.when(F.col(low) != F.col("k1"), F.col(low)).otherwise(F.col(high))
     same = Window.partitionBy("digest")
-    cold = sets.join(hot, "digest", "left_anti").withColumns({"low": F.min("k1").over(same), "high": F.max("k1").over(same), "meets": F.max("asked").over(same)})
-    cold = cut(cold.where("low <> high"))
+    cold = sets.join(hot, "digest", "left_anti").withColumns({"low": F.min("k1").over(same), "high": F.max("k1").over(same), "n": F.when(F.max("asked").over(same), F.count("*").over(same)).otherwise(0).cast("int")})
+    shared = lambda t, *more: t.where("low <> high").select("k1", named("low", "high").alias("source"), chunk_size(F.col("digest")).cast("int").alias("size"), *more)
+    cold = cut(shared(cold, F.when(F.col("n") > 0, F.col("digest")).alias("digest"), "asked", "n"))  # digests that nothing asked holds aren't written
     warm = cut(sets.join(hot, "digest"))
-    holders = _holders(cold.where("meets").select("k1", "digest", "asked"), warm)
+    holders = _holders(cold.where("n > 0").select("k1", "digest", "asked", "n"), warm)
     ends = cut(warm.groupBy("digest").agg(F.min("k1").alias("low"), F.max("k1").alias("high")))
     warm = warm.join(F.broadcast(ends), "digest")
-    shared = [rows.where("low <> high").select("k1", named("low", "high").alias("source"), chunk_size(F.col("digest")).cast("int").alias("size")) for rows in (cold, warm)]
-    by = shared[0].union(shared[1]).groupBy("k1", "source").agg(F.sum("size").alias("size"))
+    by = cold.select("k1", "source", "size").union(shared(warm)).groupBy("k1", "source").agg(F.sum("size").alias("size"))
     best = F.min(F.struct((-F.col("size")).alias("minus"), F.col("source").alias("source")))
     by = by.groupBy("k1").agg(F.sum("size").alias("shared_bytes"), best.alias("best"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in ("k1", "k2", "n_chunks", "n_bytes"))])
