@@ -8,6 +8,7 @@ import tarfile
 import zipfile
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +244,16 @@ def test_cells_of_databases_give_findings(spark):
     got = sorted((r["file_id"], r["match"], r["rule_id"].split(".")[1], r["category"], r["severity"]) for r in inspect_db.cell_findings(cells).collect())
     assert got == [(1, "accounts.password", "credentials", "credentials", "high"), (1, "settings.connection_string", "access", "database-access", "high"), (2, "t.user", "credentials", "credentials", "medium")]
     assert inspect_db.cell_findings(cells.limit(0)).count() == 0
+
+
+def test_readers_pass_on_what_they_have_before_a_batch_ends():
+    ids, texts = pa.array(range(1000)), pa.array(["t" * 9] * 1000)
+    made = registry._made(iter([pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])]), registry._database, "a.sqlite")
+    packed = list(made)
+    assert len(packed) > 1 and all(b.nbytes < 4 << 20 for b in packed) and [i for b in packed for i in b.column(0).to_pylist()] == list(range(1000))
+    whole = pa.Table.from_batches(packed).combine_chunks().to_batches()
+    assert len(whole) == 1
+    fields = [("table_name", pa.string(), "string"), ("column_name", pa.string(), "string"), ("row_number", pa.int64(), "long"), ("value", pa.string(), "string")]
+    got = list(content.read_all(iter(whole), lambda _, raw: content.cells(raw), fields))
+    assert 1 < len(got) < 100 and max(b.num_rows for b in got) < content.ROWS + 4
+    assert [i for b in got for i in b.column(0).to_pylist()] == [i for i in range(1000) for _ in range(4)]

@@ -510,15 +510,31 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.decoded(docs.select(F.col("doc_id").alias("file_id"), F.lit("a.txt").alias("name"), encoded.alias("content")))
 
 
-def _packed(docs: DataFrame, of, name: str) -> DataFrame:
-    """Files whose content ``of`` makes of a text, for the readers to open."""
+#: Files and bytes of content that are made before they are passed on.
+_FILES_AT_ONCE, _BYTES_AT_ONCE = 256, 1 << 20
+
+
+def _made(batches: Iterator[pa.RecordBatch], of, name: str) -> Iterator[pa.RecordBatch]:
+    """Files of texts, a few at a time: a database is several times as large as its text, and a batch has thousands."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [of(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * len(made)), pa.array(made, pa.binary())], ["file_id", "name", "content"])
+    def some(ids: pa.Array, contents: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array([name] * len(contents)), pa.array(contents, pa.binary())], ["file_id", "name", "content"])
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "file_id long, name string, content binary")
+    for b in batches:
+        start, contents, held = 0, [], 0
+        for i, (number, text) in enumerate(zip(b.column(0), b.column(1))):
+            contents.append(of(number.as_py(), text.as_py()))
+            held += len(contents[-1])
+            if len(contents) >= _FILES_AT_ONCE or held >= _BYTES_AT_ONCE:
+                yield some(b.column(0).slice(start, len(contents)), contents)
+                start, contents, held = i + 1, [], 0
+        if contents:
+            yield some(b.column(0).slice(start, len(contents)), contents)
+
+
+def _packed(docs: DataFrame, of, name: str) -> DataFrame:
+    """Files whose content ``of`` makes of a text, for the readers to open."""
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(lambda batches: _made(batches, of, name), "file_id long, name string, content binary")
 
 
 def _zipped(number: int, text: str) -> bytes:
