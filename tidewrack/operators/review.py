@@ -51,12 +51,21 @@ def survivors(findings: DataFrame, rules: list[dict]) -> DataFrame:
     return suppressed_by(findings, rules).where("suppression_id is null").drop("suppression_id")
 
 
+#: Parts that a group is cut into by hash where groups are few and large.
+PARTS = 256
+
+
 def suppression_summary(findings: DataFrame, rules: list[dict], sample: int = 3) -> DataFrame:
-    """``suppression_id``, ``n`` and the first ``sample`` fingerprints."""
-    rows = suppressed_by(findings, rules).where("suppression_id is not null").withColumn("f", fingerprint())
-    first = F.row_number().over(Window.partitionBy("suppression_id").orderBy("f"))
-    rows = rows.withColumn("at", first)
-    return rows.groupBy("suppression_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("at") <= sample, F.col("f")))), ";").alias("samples"))
+    """``suppression_id``, ``n`` and the first ``sample`` fingerprints.
+
+    Rules are few, so each one's findings are counted and sorted in parts.
+    """
+    rows = suppressed_by(findings, rules).where("suppression_id is not null").select("suppression_id", fingerprint().alias("f"))
+    rows = X.once(rows, part=F.pmod(F.xxhash64("f"), F.lit(PARTS)))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("suppression_id", "part").orderBy("f")))
+    parts = rows.groupBy("suppression_id", "part").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("at") <= sample, F.col("f"))).alias("first"))
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, sample)
+    return parts.groupBy("suppression_id").agg(F.sum("n").alias("n"), F.array_join(first, ";").alias("samples"))
 
 
 def exact_dedup(findings: DataFrame) -> DataFrame:
@@ -72,10 +81,12 @@ def duplicate_groups(findings: DataFrame, most: int = 20) -> DataFrame:
     The canonical place has the greatest score, then the least path.
     """
     place = F.concat_ws("/", F.lower("host"), F.lower("share"), F.col("file_path"))
-    rows = findings.where(X.strip(F.col("match")) != "").select("rule_id", "category", "match", "confidence_score", place.alias("place")).distinct()
-    near = Window.partitionBy("rule_id", "category", "match").orderBy(F.col("confidence_score").desc(), "place")
-    rows = rows.withColumn("at", F.row_number().over(near))
-    g = rows.groupBy("rule_id", "category", "match").agg(
-        F.max(F.when(F.col("at") == 1, F.col("place"))).alias("canonical"), F.count("*").alias("n_places"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("at") <= most, F.col("place")))), ";").alias("places")
-    )
-    return g.where("n_places > 1")
+    rows = findings.where(X.strip(F.col("match")) != "").select("rule_id", "category", "match", "confidence_score", place.alias("place"))
+    group = ["rule_id", "category", "match"]
+    # material of one name may stand in a good share of all files, so its places are gone through in parts; one shuffle serves all steps up to those
+    rows = X.once(rows, part=F.pmod(F.xxhash64("place"), F.lit(PARTS))).repartition(*group, "part").distinct()
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*group, "part").orderBy(F.col("confidence_score").desc(), "place")))
+    one = F.struct(F.col("confidence_score").isNull().alias("unscored"), (-F.col("confidence_score")).alias("score"), "place")
+    parts = rows.groupBy(*group, "part").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("at") <= most, one)).alias("first"))
+    g = parts.groupBy(*group).agg(F.sum("n").alias("n_places"), F.array_sort(F.flatten(F.collect_list("first"))).alias("first")).where("n_places > 1")
+    return g.select(*group, F.get("first", F.lit(0))["place"].alias("canonical"), "n_places", F.array_join(F.array_sort(F.transform(F.slice("first", 1, most), lambda x: x["place"])), ";").alias("places"))
