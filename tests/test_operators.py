@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidewrack.functions import needed
 from tidewrack.functions import quality as Q
 from tidewrack.functions import regex
 from tidewrack.functions import text as X
@@ -257,3 +258,67 @@ def test_readers_pass_on_what_they_have_before_a_batch_ends():
     got = list(content.read_all(iter(whole), lambda _, raw: content.cells(raw), fields))
     assert 1 < len(got) < 100 and max(b.num_rows for b in got) < content.ROWS + 4
     assert [i for b in got for i in b.column(0).to_pylist()] == [i for i in range(1000) for _ in range(4)]
+
+
+@pytest.mark.parametrize("pattern, want", [
+    (r"(?im)\b(pwd|passwd|password)\b\s*[:=]\s*\S{4,}", (("passwd", "password", "pwd"), (":", "="))), (r"-{5}BEGIN (?:RSA )?KEY-{5}", (("-----begin key-----", "-----begin rsa key-----"),)),
+    (r"(?i)a?\w+", ()), (r"(?i)(?:x|\d)y*", ()), (r"(?i)(?:ab|c\d)", (("ab", "c"),)), (r"[[:alpha:]]key", ()), (r"(?:abc)?", ()),
+])
+def test_what_each_match_of_a_pattern_contains(pattern, want):
+    assert needed.strings(pattern) == want
+
+
+def test_a_search_for_what_patterns_need_loses_no_match(spark):
+    active = rules.of_type(registry.RULES, "content")
+    texts = ["PASSWORD = Xk9mQ2vLp7", "Paſſword = Xk9mQ2vLp7", "toKen\nsvc_x: Ab3dEf6h1\n", "clİent_ıd = 5\nclıent_id=7", "nothing here", "", "<add key='pwd' value='Xk9mQ2vLp7'/>", "<x toKen='Xk9mQ2vLp7'/>", "-----begin rsa private key-----", "host a b uid", "hoſt a b uıd"]
+    f = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in active:
+        plain = X.first_match(F.col("text"), r["pattern"], ignore_case=not r["case_sensitive"]) != ""
+        rows = f.select("text", plain.alias("match"), X.let(needed.folded(F.col("text")), lambda s: needed.may_match(s, r["pattern"])).alias("may")).collect()
+        assert not [x for x in rows if x["match"] and not x["may"]] and not all(x["may"] for x in rows), r["id"]
+
+
+def _sources(spark, name):
+    """Columns that each scan of a query's plan reads."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    return re.findall("ReadSchema: struct<([^>]*)>", plan)
+
+
+@pytest.mark.parametrize("name", ["suppression_survivors", "host_summary", "cross_file_findings", "exposure_rank", "diff_status", "class_deltas", "suppression_summary", "duplicate_groups"])
+def test_files_are_read_once_for_all_rules_and_runs(spark, name):
+    assert len(_sources(spark, name)) == 1
+
+
+@pytest.mark.parametrize("name", ["eval_summary", "eval_noisy", "verify_found", "verify_unexpected", "class_coverage"])
+def test_what_is_expected_of_files_is_known_without_their_texts(spark, name):
+    read = _sources(spark, name)
+    assert len(read) == 2 and sum("text" in r for r in read) == 1
+
+
+def test_what_followed_from_findings_before_isnt_added_again(spark):
+    columns = "host string, share string, file_path string, rule_id string, category string, severity string, confidence string, confidence_score int, match string, context string, matched_rule_ids array<string>"
+    row = lambda host, path, rule, score=40: (host, "s", path, rule, "c", "high", "high", score, "m", "m", [rule])
+    pair = [("a/ntds.dit", "x.ntds"), ("a/SYSTEM", "x.system")]
+    both = [row(h, p, r) for h in ("h1", "H2", "h3") for p, r in pair]
+    made = "correlation.ad.ntds_system"
+    there = [row("h1", "a/ntds.dit", made, 30), row("h2", "a/ntds.dit", made, 30), row("h3", "a/ntds.dit", "correlation.other", 30), row("h3", "a/SYSTEM", made, 30), row(None, "a/ntds.dit", made, 30)]
+    got = crossfile.correlated(spark.createDataFrame(both + there, columns)).collect()
+    assert sorted((r["host"], r["rule_id"]) for r in got) == [("H2", made), ("h3", made)]
+
+
+def test_large_groups_are_counted_in_parts(spark):
+    rows = spark.createDataFrame([("r", "h", "s", f"p{i:04d}", "c", "m", i % 7) for i in range(2000)], "rule_id string, host string, share string, file_path string, category string, match string, confidence_score int")
+    s = review.suppression_summary(rows.union(rows), [{"id": "a", "enabled": True, "hosts": ["h"]}])
+    assert s.collect() == [("a", 4000, "r|h|s|p0000|m;r|h|s|p0000|m;r|h|s|p0001|m")]
+    g = review.duplicate_groups(rows.union(rows)).first()
+    assert g["n_places"] == 2000 and g["canonical"] == "h/s/p0006" and g["places"] == ";".join(f"h/s/p{i:04d}" for i in range(6, 146, 7))
+    for found in (s, review.duplicate_groups(rows)):
+        assert "part" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_compared_in_one_pass(spark):
+    f = "rule_id string, host string, share string, file_path string, match string, severity string"
+    before = spark.createDataFrame([("r", "h", "s", "a", "m", "low"), ("r", "h", "s", "a", "m", "high"), ("r", "h", "s", "b", "m", None)], f)
+    now = spark.createDataFrame([("r", "h", "s", "a", "m", "low"), ("r", "h", "s", "c", "m", None), ("r", "h", "s", "d", "m", "low")], f)
+    assert {tuple(r) for r in compare.class_deltas(before, now, "severity").collect()} == {("low", 1, 2, 1), ("high", 1, 0, -1), (None, 1, 0, -1), (None, 0, 1, 1)}
+    assert {(r["path"], r["status"]) for r in compare.diff(before, now).collect()} == {("a", "unchanged"), ("b", "removed"), ("c", "new"), ("d", "new")}

@@ -18,18 +18,32 @@ from tidewrack.operators import inspect_paths
 COLUMNS = ("host", "share", "file_path", "rule_id", "category", "severity", "confidence", "confidence_score", "match", "context", "matched_rule_ids", "archive_path")
 
 
+def _once(findings: DataFrame) -> DataFrame:
+    """``findings`` with what the families ask of each, computed once for all of them."""
+    plain = F.regexp_replace(F.col("file_path"), "(?:!|::).*$", "")
+    values = {
+        "path": inspect_paths.path(), "base": X.norm(X.base_name(F.col("file_path"))), "dir": X.norm(X.directory(F.col("file_path"))), "rule": X.norm(F.col("rule_id")), "archive": X.norm(F.col("archive_path")),
+        "host": X.norm(F.col("host")), "share": X.norm(F.col("share")), "plain_base": X.norm(X.base_name(plain)), "plain_dir": X.norm(X.directory(plain)),
+    }
+    return X.once(findings, **{f"__{n}": v for n, v in values.items()})
+
+
 def _base() -> Column:
-    return X.norm(X.base_name(F.col("file_path")))
+    return F.col("__base")
+
+
+def _path() -> Column:
+    return F.col("__path")
 
 
 def _directory() -> Column:
     """Archive, or directory of a file."""
-    return F.when(F.col("archive_path") != "", X.norm(F.col("archive_path"))).otherwise(X.norm(X.directory(F.col("file_path"))))
+    return F.when(F.col("archive_path") != "", F.col("__archive")).otherwise(F.col("__dir"))
 
 
 def _access_directory() -> Column:
     """Directory of a file; a last segment that only numbers a tier doesn't count."""
-    d = X.norm(X.directory(F.col("file_path")))
+    d = F.col("__dir")
     return F.when(d.rlike("/tier-?[0-9]+$"), X.directory(d)).otherwise(d)
 
 
@@ -60,9 +74,9 @@ def _ad_pair(a: Column) -> Column:
 
 
 def _cloud() -> list[tuple[Column, Column, bool]]:
-    rule = X.norm(F.col("rule_id"))
+    rule = F.col("__rule")
     family = F.when(rule.isin("awsinspect.path.credentials", "awsinspect.content.credentials_bundle"), "credentials").when(rule == "awsinspect.path.config", "config")
-    return [(family, inspect_paths.aws_profile(), False)]
+    return [(family, inspect_paths.aws_profile(_path()), False)]
 
 
 def _cloud_pair(a: Column) -> Column:
@@ -72,7 +86,7 @@ def _cloud_pair(a: Column) -> Column:
 
 
 def _keys() -> list[tuple[Column, Column, bool]]:
-    ext, rule = X.extension(_base()), X.norm(F.col("rule_id"))
+    ext, rule = X.extension(_base()), F.col("__rule")
     family = (
         F.when(_base().isin(*inspect_paths.KEY_FILES), "private_key").when(_base().isin("authorized_keys", "known_hosts"), "ssh").when(ext.isin(".ovpn", ".ppk"), "client")
         .when(rule.isin("keyinspect.content.private_key_header", "filename.private_key_artifacts"), "private_key").when(rule == "filename.ssh_supporting_artifacts", "ssh").when(rule == "extension.client_auth_artifacts", "client")
@@ -89,7 +103,7 @@ def _key_bundle(a: Column) -> Column:
 
 
 def _certificates() -> list[tuple[Column, Column, bool]]:
-    rule = X.norm(F.col("rule_id"))
+    rule = F.col("__rule")
     passwords = ("content.password_assignment_indicators", "content.password_note_value_indicators", "content.note_style_credential_pair_indicators")
     family = F.when(X.extension(_base()).isin(".pfx", ".p12") & (rule == "extension.key_and_certificate_extensions"), "certificate").when(rule.isin(*passwords), "password")
     return [(family, _access_directory(), True)]
@@ -102,7 +116,7 @@ def _certificate_bundle(a: Column) -> Column:
 
 def _browsers() -> list[tuple[Column, Column, bool]]:
     family = F.when(F.col("rule_id").startswith("browsercredinspect."), F.replace(F.regexp_extract("rule_id", "^browsercredinspect\\.(.*)$", 1), F.lit("."), F.lit("_")))
-    return [(family, inspect_paths.browser_profile(), False)]
+    return [(family, inspect_paths.browser_profile(_path()), False)]
 
 
 def _browser_pair(a: Column) -> Column:
@@ -115,7 +129,7 @@ def _browser_pair(a: Column) -> Column:
 
 
 def _dpapi() -> list[tuple[Column, Column, bool]]:
-    return [(F.when(F.col("rule_id").startswith("wincredinspect.path."), F.regexp_extract("rule_id", "([a-z]+)$", 1)), inspect_paths.windows_profile(), False)]
+    return [(F.when(F.col("rule_id").startswith("wincredinspect.path."), F.regexp_extract("rule_id", "([a-z]+)$", 1)), inspect_paths.windows_profile(_path()), False)]
 
 
 def _dpapi_pair(a: Column) -> Column:
@@ -131,7 +145,7 @@ _STORES = ("ntds", "sam", "system", "security")
 def _backups() -> list[tuple[Column, Column, bool]]:
     artifact = F.regexp_extract(_base(), "^(ntds|system|sam|security)(?:\\.dit)?(?:\\.(?:bak|old))?$", 1)
     exact = _base().rlike("^(?:ntds\\.dit|system|sam|security)(?:\\.(?:bak|old))?$")
-    context = inspect_paths.backup_context()
+    context = inspect_paths.backup_context(_path())
     return [(F.when(exact, artifact), context, False), (F.when(F.col("rule_id").startswith("backupinspect.path."), "place"), context, False)]
 
 
@@ -145,10 +159,9 @@ def _backup_set(a: Column) -> Column:
 
 
 def _databases() -> list[tuple[Column, Column, bool]]:
-    path = F.regexp_replace(F.col("file_path"), "(?:!|::).*$", "")
-    name = X.norm(X.base_name(path))
+    name = F.col("__plain_base")
     support = name.isin(".env", "appsettings.json", "web.config", "docker-compose.yml") | X.extension(name).isin(".bak", ".sql", ".dump") | F.col("rule_id").isin("dbinspect.access.connection_string", "dbinspect.access.dsn", "dbinspect.artifact.database_backup")
-    return [(F.when(F.col("rule_id").startswith("sqliteinspect."), "sqlite").when(support, "support"), X.norm(X.directory(path)), True)]
+    return [(F.when(F.col("rule_id").startswith("sqliteinspect."), "sqlite").when(support, "support"), F.col("__plain_dir"), True)]
 
 
 def _database_support(a: Column) -> Column:
@@ -163,21 +176,27 @@ KINDS = {
 }
 
 
+_THERE = "there"
+
+
 @X.untraced
 def anchors(findings: DataFrame) -> DataFrame:
     """One row for each kind, host, share and context: a map of its families' anchors.
 
     An anchor has the greatest score of its family, then severity, then the
     least path and rule. All kinds share one pass over the findings and one
-    shuffle of those that are in a family at all.
+    shuffle of those that are in a family at all. Findings that followed from
+    others before are a kind of their own, by exact place and rule.
     """
     roles = []
     for kind, (of, _) in KINDS.items():
         for family, context, full in of():
-            known = (X.norm(F.col("host")) != "") & (X.norm(F.col("share")) != "") if full else F.lit(True)
+            known = (F.col("__host") != "") & (F.col("__share") != "") if full else F.lit(True)
             roles.append(F.when(family.isNotNull() & known, F.struct(F.lit(kind).alias("kind"), family.alias("family"), context.alias("ctx"))))
-    rows = findings.select(*COLUMNS, F.explode(F.array_compact(F.array(*roles))).alias("role")).select(*COLUMNS, "role.*").where("ctx <> ''")
-    rows = rows.withColumns({"k_host": X.norm(F.col("host")), "k_share": X.norm(F.col("share"))})
+    place = F.concat(*[F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in ("host", "share", "file_path")])  # null where a part is: such a place meets none
+    roles.append(F.when(F.col("rule_id").startswith("correlation."), F.struct(F.lit(_THERE).alias("kind"), F.col("rule_id").alias("family"), place.alias("ctx"))))
+    rows = X.once(_once(findings), __roles=X.aside(F.array_compact(F.array(*roles)))).select(*COLUMNS, "__host", "__share", F.explode("__roles").alias("role"))
+    rows = rows.select(*COLUMNS, F.col("__host").alias("k_host"), F.col("__share").alias("k_share"), "role.*").where("ctx <> ''")
     keys = ["kind", "k_host", "k_share", "ctx"]
     order = Window.partitionBy(*keys, "family").orderBy(F.col("confidence_score").desc(), X.severity_rank(F.col("severity")).desc(), "file_path", "rule_id")
     keep = F.struct("host", "share", "file_path", "rule_id", "confidence_score", "severity", "matched_rule_ids", "archive_path")
@@ -187,12 +206,19 @@ def anchors(findings: DataFrame) -> DataFrame:
 
 @X.untraced
 def correlated(findings: DataFrame) -> DataFrame:
-    """The findings that follow from several others; where a place has one of the rule already, none is added."""
+    """The findings that follow from several others; where a place has one of the rule already, none is added.
+
+    The findings are gone through once: those that are there already come with the anchors.
+    """
     rows = findings if "archive_path" in findings.columns else findings.withColumn("archive_path", F.lit(""))
     made = F.coalesce(*[F.when(F.col("kind") == kind, make(F.col("anchors"))) for kind, (_, make) in KINDS.items()])
-    new = anchors(rows).select(made.alias("f")).where("f is not null").select("f.*")
-    there = rows.where(F.col("rule_id").startswith("correlation.")).select("host", "share", "file_path", "rule_id").distinct()
-    return new.join(there, ["host", "share", "file_path", "rule_id"], "left_anti").select(*COLUMNS)
+    found = X.once(anchors(rows), f=X.aside(made))
+    keys = ("host", "share", "file_path", "rule_id")
+    new = F.array_compact(F.array(F.when(F.col("f").isNotNull(), F.struct(*[F.col(f"f.{k}").alias(k) for k in keys], F.col("f").alias("f")))))
+    there = F.transform(F.map_values("anchors"), lambda a: F.struct(*[a[k].alias(k) for k in keys], F.lit(None).alias("f")))
+    each = found.select(F.explode(F.when(F.col("kind") == _THERE, there).otherwise(new)).alias("x")).select("x.*")
+    g = each.groupBy(*keys).agg(F.collect_list("f").alias("new"), F.bool_or(F.col("f").isNull()).alias("there"))
+    return g.where("not there").select(F.explode("new").alias("f")).select("f.*").select(*COLUMNS)
 
 
 @X.untraced

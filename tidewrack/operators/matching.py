@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.functions import needed
 from tidewrack.functions import quality as Q
 from tidewrack.functions import text as X
 from tidewrack.functions.regex import to_java
@@ -22,10 +23,11 @@ WEIGHTS = {"validated": 40, "content": 32, "filename": 18, "extension": 10, "pat
 
 
 def _hit(rule: dict, at: int, found: Column) -> Column:
-    """A struct for a rule's match, null where it has none."""
-    fields = [("seq", F.lit(at)), ("rule_id", F.lit(rule["id"])), ("rule_type", F.lit(rule["type"])), ("category", F.lit(rule["category"])), ("severity", F.lit(rule["severity"])), ("confidence", F.lit(rule["confidence"])),
-              ("match", found), ("tags", F.array(*[F.lit(t) for t in rule["tags"]]) if rule["tags"] else F.array().cast("array<string>"))]
-    return F.when(eligible(rule) & (found != ""), F.struct(*[v.alias(n) for n, v in fields]))
+    """A struct for a rule's match, null where it has none; the match is looked for once."""
+    fields = [("seq", F.lit(at)), ("rule_id", F.lit(rule["id"])), ("rule_type", F.lit(rule["type"])), ("category", F.lit(rule["category"])), ("severity", F.lit(rule["severity"])), ("confidence", F.lit(rule["confidence"]))]
+    tags = F.array(*[F.lit(t) for t in rule["tags"]]) if rule["tags"] else F.array().cast("array<string>")
+    made = lambda m: F.when(m != "", F.struct(*[v.alias(n) for n, v in fields], m.alias("match"), tags.alias("tags")))
+    return F.when(eligible(rule), X.let(found, made))
 
 
 def _exploded(files: DataFrame, hits: list[Column], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -50,24 +52,33 @@ def metadata_matches(files: DataFrame, rules: list[dict]) -> DataFrame:
     return _exploded(files.drop("text"), metadata_hits(rules))
 
 
-def xml_fallback(text: Column, labels: tuple[str, ...]) -> Column:
-    """First element that gives one of the labels a value; empty if none."""
+def xml_fallback(text: Column, labels: tuple[str, ...], seen: Column) -> Column:
+    """First element that gives one of the labels a value; empty if none. ``seen`` is the text, folded."""
 
     def first(pattern: str) -> Column:
         got = F.arrays_zip(X.all_matches(text, pattern, 0).alias("m"), X.all_matches(text, pattern, 1).alias("k"))
-        return F.get(F.filter(got, lambda p: X.norm(p["k"]).isin(*labels)), F.lit(0))["m"]
+        return F.when(needed.may_match(seen, pattern), F.get(F.filter(got, lambda p: X.norm(p["k"]).isin(*labels)), F.lit(0))["m"])
 
     return F.coalesce(first(Q.XML_ADD), first(Q.XML_ATTRIBUTE), F.lit(""))
 
 
-def content_match(rule: dict, text: Column) -> Column:
-    """A rule's first match in a text, empty if none; of account lines the first valid one."""
+def content_match(rule: dict, text: Column, seen: Column) -> Column:
+    """A rule's first match in a text, empty if none; of account lines the first valid one. ``seen`` is the text, folded: a pattern is tried where that has what it needs."""
+    worth = needed.may_match(seen, rule["pattern"])
     if rule["id"] == NOTE_RULE:
         lines = X.all_matches(text, rule["pattern"], 0)
-        return F.coalesce(F.get(F.filter(lines, lambda x: Q.parse_pair(x).isNotNull()), F.lit(0)), F.lit(""))
-    found = X.first_match(text, rule["pattern"], ignore_case=not rule["case_sensitive"])
+        return F.when(worth, F.coalesce(F.get(F.filter(lines, lambda x: Q.parse_pair(x).isNotNull()), F.lit(0)), F.lit(""))).otherwise("")
+    found = F.when(worth, X.first_match(text, rule["pattern"], ignore_case=not rule["case_sensitive"])).otherwise("")
     labels = {PASSWORD_RULE: Q.PASSWORD_LABELS, SECRET_RULE: Q.SECRET_LABELS}.get(rule["id"])
-    return F.when(found != "", found).otherwise(xml_fallback(text, labels)) if labels else found
+    return X.let(found, lambda f: F.when(f != "", f).otherwise(xml_fallback(text, labels, seen))) if labels else found
+
+
+def content_found(rules: list[dict], text: Column) -> Column:
+    """Array of the first match of each content rule, without its place; null or empty for a null text."""
+    numbered = list(enumerate(of_type(rules, "content")))
+    if not numbered:
+        return F.array().cast("array<struct<seq:int,rule_id:string,rule_type:string,category:string,severity:string,confidence:string,match:string,tags:array<string>>>")
+    return X.let(needed.folded(text), lambda seen: F.array_compact(F.array(*[_hit(r, 1000 + i, content_match(r, text, seen)) for i, r in numbered])))
 
 
 def content_hits(rules: list[dict], text: Column) -> Column:
@@ -76,10 +87,8 @@ def content_hits(rules: list[dict], text: Column) -> Column:
     The context is the line and its neighbours, the account an identity nearby;
     positions are those of the first place where the matched text stands.
     """
-    hits = [_hit(r, 1000 + i, content_match(r, text)) for i, r in enumerate(of_type(rules, "content"))]
-    if not hits:
+    if not of_type(rules, "content"):
         return F.array().cast("array<struct<seq:int,rule_id:string,rule_type:string,category:string,severity:string,confidence:string,match:string,tags:array<string>,line:int,context:string,account:string>>")
-    found = F.array_compact(F.array(*hits))
     plain = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
     def placed(h: Column, clean: Column, lines: Column) -> Column:
@@ -87,7 +96,7 @@ def content_hits(rules: list[dict], text: Column) -> Column:
         return X.let(line, lambda n: F.struct(*[h[c].alias(c) for c in ("seq", "rule_id", "rule_type", "category", "severity", "confidence", "match", "tags")], n.alias("line"), _around(lines, n).alias("context"), _account(lines, n).alias("account")))
 
     both = F.struct(plain.alias("clean"), F.split(plain, "\n").alias("lines"))
-    return X.let(found, lambda hs: F.when(F.size(hs) == 0, F.array()).otherwise(X.let(both, lambda t: F.transform(hs, lambda h: placed(h, t["clean"], t["lines"])))))
+    return X.let(content_found(rules, text), lambda hs: F.when(F.size(hs) == 0, F.array()).otherwise(X.let(both, lambda t: F.transform(hs, lambda h: placed(h, t["clean"], t["lines"])))))
 
 
 def _around(lines: Column, line: Column) -> Column:

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions import quality as Q
@@ -47,13 +47,27 @@ _FILES = f"WITH {vfs.CTE} "
 _HITS = f"WITH {duck.hits(RULES)} "
 
 
+_HIT = ("rule_id", "signal_type", "category", "severity", "confidence", "match", "tags")
+
+
+def _as_hits(matches: Column, signal: Callable[[Column], Column]) -> Column:
+    """Matches of rules or detectors as structs alike."""
+    return F.transform(matches, lambda m: F.struct(*[(signal(m) if n == "signal_type" else m[n]).cast("array<string>" if n == "tags" else "string").alias(n) for n in _HIT]))
+
+
+def _path_found() -> Column:
+    p = F.col("__path")
+    return F.concat(inspect_paths.backup_matches(p), inspect_paths.browser_matches(p), inspect_paths.windows_matches(p), inspect_paths.aws_matches(p), inspect_db.artifact_matches())
+
+
 @X.untraced
 def all_hits(files: DataFrame) -> DataFrame:
-    """Matches of all rules, contents included, and of the detectors that need only a path."""
-    named = matching.metadata_matches(files, RULES).withColumn("signal_type", F.col("rule_type"))
-    inside = matching.content_matches(files, RULES).withColumn("signal_type", F.col("rule_type"))
-    keep = [*PLACED, "rule_id", "signal_type", "category", "severity", "confidence", "match", "tags"]
-    rows = named.select(*keep).unionByName(inside.select(*keep)).unionByName(path_hits(files).select(*keep))
+    """Matches of all rules, contents included, and of the detectors that need only a path: each file is read once, by all of them."""
+    files = X.once(files, __path=inspect_paths.path())
+    of_rules = lambda m: m["rule_type"]
+    named, inside = F.array_compact(F.array(*matching.metadata_hits(RULES))), matching.content_found(RULES, F.col("text"))
+    every = F.concat(_as_hits(named, of_rules), F.when(F.col("text").isNotNull(), _as_hits(inside, of_rules)).otherwise(F.array()), _as_hits(_path_found(), lambda _: F.lit("validated")))
+    rows = X.once(files, __hits=X.aside(every)).select(*PLACED, F.explode("__hits").alias("h")).select(*PLACED, "h.*")
     return rows.withColumn("confidence_score", F.when(F.col("signal_type") == "validated", 40).when(F.col("signal_type") == "content", 32).when(F.col("signal_type") == "filename", 18).otherwise(10))
 
 
@@ -61,9 +75,7 @@ def all_hits(files: DataFrame) -> DataFrame:
 def path_hits(files: DataFrame) -> DataFrame:
     """Matches of the detectors that need only a path."""
     files = X.once(files.drop("text"), __path=inspect_paths.path())
-    p = F.col("__path")
-    every = [inspect_paths.backup_matches(p), inspect_paths.browser_matches(p), inspect_paths.windows_matches(p), inspect_paths.aws_matches(p), inspect_db.artifact_matches()]
-    files = X.once(files, __found=X.aside(F.concat(*every))).drop("__path")
+    files = X.once(files, __found=X.aside(_path_found())).drop("__path")
     return files.select("*", F.explode("__found").alias("m")).select("*", "m.rule_id", "m.category", "m.severity", "m.confidence", "m.match", "m.tags").drop("__found", "m").withColumn("signal_type", F.lit("validated"))
 
 
@@ -71,6 +83,11 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_hits(vfs.files(spark, sf_dir))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the files of the corpus lie, without a look at their texts."""
+    return vfs.files(spark, sf_dir, "file_id", "host", "share", "file_path", "name", "extension", "source")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -345,9 +362,12 @@ def credential_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.credential_inventory(matching.content_matches(vfs.files(spark, sf_dir), CONTENT))
 
 
-#: The run before: it didn't know the hosts of one source, and judged one share less severe.
-def _before(hits: DataFrame) -> DataFrame:
-    return hits.where("source <> 'ldap'").withColumn("severity", F.when(F.col("share") == "it-ops", F.lit("low")).otherwise(F.col("severity")))
+def _runs(hits: DataFrame) -> DataFrame:
+    """Findings of this run and the one before, from one pass: the one before didn't know the hosts of one source, and judged one share less severe."""
+    run = lambda name, severity: F.struct(F.lit(name).alias("run"), severity.alias("severity"))
+    severity = F.col("severity")
+    sides = F.array_compact(F.array(run("now", severity), F.when(F.col("source") != "ldap", run("before", F.when(F.col("share") == "it-ops", F.lit("low")).otherwise(severity)))))
+    return hits.select(*[c for c in hits.columns if c != "severity"], F.explode(sides).alias("side")).select("*", "side.*").drop("side")
 
 
 _KEYS = f"lower(rule_id) AS rule, lower(host) AS host_key, lower(share) AS share_key, lower(file_path) AS path, {duck.norm('match')} AS match_key, category, severity, confidence_score, signal_type"
@@ -360,15 +380,13 @@ _BEFORE = f"before AS (SELECT {_KEYS.replace(' severity,', ' CASE WHEN share = '
 )
 def diff_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run against the one before."""
-    now = _hits(spark, sf_dir).drop("confidence")
-    return compare.diff(_before(now), now)
+    return compare.diff_runs(_runs(_hits(spark, sf_dir).drop("confidence")))
 
 
 @_query(f"{_HITS}, {_BEFORE} SELECT coalesce(b.severity, c.severity) AS severity, coalesce(b.n, 0) AS before, coalesce(c.n, 0) AS now, coalesce(c.n, 0) - coalesce(b.n, 0) AS delta FROM (SELECT severity, count(*) AS n FROM before GROUP BY 1) b FULL JOIN (SELECT severity, count(*) AS n FROM now GROUP BY 1) c ON b.severity = c.severity")
 def class_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: counts against the run before."""
-    now = _hits(spark, sf_dir)
-    return compare.class_deltas(_before(now), now, "severity")
+    return compare.class_deltas_of_runs(_runs(_hits(spark, sf_dir)), "severity")
 
 
 _LABELS = "labels_ AS (SELECT 'e' || file_id AS id, lower(file_path) AS p, CASE WHEN extension IN ('.txt', '') THEN 'credentials' ELSE 'configuration' END AS c, CASE WHEN name = 'SAM' THEN 'filename.secret_store_artifacts' END AS wanted FROM files WHERE extension IN ('.txt', '', '.xml', '.ini', '.yaml'))"
@@ -387,7 +405,7 @@ def _labels(files: DataFrame) -> DataFrame:
 @_query(f"{_JUDGED} SELECT * FROM j")
 def eval_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expectations and what met them."""
-    return compare.judge(_hits(spark, sf_dir), _labels(vfs.files(spark, sf_dir)))
+    return compare.judge(_hits(spark, sf_dir), _labels(_placed(spark, sf_dir)))
 
 
 _NOISY = "noisy AS (SELECT h.* FROM hits h ANTI JOIN labels_ l ON lower(h.file_path) = l.p AND h.category = l.c)"
@@ -396,13 +414,13 @@ _NOISY = "noisy AS (SELECT h.* FROM hits h ANTI JOIN labels_ l ON lower(h.file_p
 @_query(f"{_HITS}, {_LABELS}, {_NOISY} SELECT file_id, rule_id FROM noisy")
 def eval_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that nobody expects."""
-    return compare.noisy(_hits(spark, sf_dir), _labels(vfs.files(spark, sf_dir))).select("file_id", "rule_id")
+    return compare.noisy(_hits(spark, sf_dir), _labels(_placed(spark, sf_dir))).select("file_id", "rule_id")
 
 
 @_query(f"{_JUDGED}, {_NOISY} SELECT expected, matched, expected - matched AS missed, noisy, round(matched / (matched + noisy), 6) AS precision_like, round(matched / expected, 6) AS recall_like FROM (SELECT count(*) AS expected, count(*) FILTER (WHERE matched) AS matched FROM j), (SELECT count(*) AS noisy FROM noisy)")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall."""
-    return compare.judge_summary(_hits(spark, sf_dir), _labels(vfs.files(spark, sf_dir)))
+    return compare.judge_summary(_hits(spark, sf_dir), _labels(_placed(spark, sf_dir)))
 
 
 _MANIFEST = "manifest AS (SELECT host, share, file_path AS path, CASE WHEN extension IN ('.log', '.md') THEN 'noise' ELSE 'planted' END AS intended_as, CASE WHEN extension = '' THEN 'actionable' ELSE 'config-only' END AS expected_class FROM files WHERE source <> 'file')"
@@ -420,19 +438,19 @@ _VERIFIED = f"{_HITS}, {_MANIFEST}, v AS (SELECT m.*, coalesce(f.observed, 0) AS
 @_query(f"{_VERIFIED} SELECT host, share, path, intended_as, expected_class, observed, found FROM v")
 def verify_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted items and what was found."""
-    return compare.verify(_hits(spark, sf_dir), _manifest(vfs.files(spark, sf_dir)))
+    return compare.verify(_hits(spark, sf_dir), _manifest(_placed(spark, sf_dir)))
 
 
 @_query(f"{_VERIFIED} SELECT expected_class, count(*) AS expected, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE NOT found) AS missed FROM v GROUP BY expected_class")
 def class_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of planted items."""
-    return compare.coverage(compare.verify(_hits(spark, sf_dir), _manifest(vfs.files(spark, sf_dir))), "expected_class")
+    return compare.coverage(compare.verify(_hits(spark, sf_dir), _manifest(_placed(spark, sf_dir))), "expected_class")
 
 
 @_query(f"{_HITS}, {_MANIFEST} SELECT file_id, rule_id FROM hits h ANTI JOIN manifest m ON h.host = m.host AND h.share = m.share AND lower(h.file_path) = lower(m.path)")
 def verify_unexpected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings at places that weren't planted."""
-    return compare.unexpected(_hits(spark, sf_dir), _manifest(vfs.files(spark, sf_dir))).select("file_id", "rule_id")
+    return compare.unexpected(_hits(spark, sf_dir), _manifest(_placed(spark, sf_dir))).select("file_id", "rule_id")
 
 
 _TARGETS = "targets AS (SELECT c_custkey AS seq, 'FS' || c_nationkey || '.corp.example' AS host, CASE WHEN c_mktsegment = 'BUILDING' THEN '10.0.0.' || c_nationkey ELSE '' END AS ip, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'ldap' ELSE 'cli' END AS source, c_acctbal >= 0 AS reachable FROM customer)"

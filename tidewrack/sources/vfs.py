@@ -111,12 +111,13 @@ FROM (
 """
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus of a folder of tables."""
+def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The corpus of a folder of tables; only some ``columns``, where named: without text and size no text is read."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = spark.sql(sql("{documents}").replace("{encode}", "text"), documents=documents)
+    names = columns or rows.columns
     # derived columns stand for those of a table: conditions on them aren't to copy how they were derived
-    return X.once(rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns]), **{c: F.col(f"_{c}") for c in rows.columns}).select(*rows.columns)
+    return X.once(rows.select(*[F.col(c).alias(f"_{c}") for c in names]), **{c: F.col(f"_{c}") for c in names}).select(*names)
 
 
 #: Common table expression of the corpus for DuckDB.
