@@ -168,6 +168,8 @@ def url_values(fragment: Column) -> Column:
 
 def fragments(files: DataFrame) -> DataFrame:
     """Pieces of each line that may be connection strings: the line, a labelled value, quoted values."""
+    text = F.col("text")  # most texts have none, so they aren't taken apart
+    files = files.where((text.contains("=") & text.contains(";")) | text.contains("://") | F.lower(text).contains("jdbc:"))
     lines = files.select("*", F.posexplode(F.split("text", "\n")).alias("line0", "raw")).withColumn("raw", X.strip(F.col("raw")))
     lines = lines.where((F.col("raw").contains("=") & F.col("raw").contains(";")) | F.col("raw").contains("://") | F.lower("raw").contains("jdbc:"))
     p = pair(F.col("raw"))
@@ -209,6 +211,7 @@ def connections(files: DataFrame) -> DataFrame:
 
 def sections(files: DataFrame) -> DataFrame:
     """DSN sections of INI files: ``rule_id category severity match ecosystem section`` for each that says where or who."""
+    files = files.where(F.col("text").contains("[") & F.col("text").contains("]"))  # others have no head of a section
     rows = files.select("*", F.posexplode(F.split("text", "\n")).alias("at", "raw")).drop("text").withColumn("raw", X.strip(F.col("raw"))).where("raw <> '' and not raw rlike '^[;#]'")
     head = F.col("raw").rlike("^\\[.*\\]$")
     order = Window.partitionBy("file_id").orderBy("at")
