@@ -173,8 +173,8 @@ def aws_bundle(text: Column) -> Column:
 
 
 def aws_content_matches(text: Column, p: Column | None = None) -> Column:
-    """A bundle of access and secret key in a cloud profile's file."""
-    return X.let(aws_bundle(text), lambda b: _bundle_match(b, p))
+    """A bundle of access and secret key in a cloud profile's file; texts of other files aren't looked at."""
+    return F.when(is_aws(p), X.let(aws_bundle(text), lambda b: _bundle_match(b, p))).otherwise(F.array().cast(MATCH))
 
 
 def _bundle_match(b: Column, p: Column | None) -> Column:
